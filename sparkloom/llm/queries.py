@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, packing, pii, quality, secrets
+from sparkloom.llm import bpe, chat, jaccard, licences, packing, pii, quality, secrets, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,17 +26,37 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_report(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(_table(spark, folder, "embeddings"), "vec_id % 50 = 0", k=5, scale=256)
+
+
 def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pii_report(_table(spark, folder, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.components(_table(spark, folder, "documents"), n=3, percent=90)
+
+
+def op7_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.report(_table(spark, folder, "documents"))
+
+
+def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chats(_table(spark, folder, "conversations"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     kept = quality.quality_verdicts(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_byte_bpe, op5_personal_data, op10_quality_rules)
-}
-
-ORACLE_SQL: dict[str, str] = {}
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_best_fit_packing, op3_byte_bpe, op4_top_k, op5_personal_data,
+        op6_ngram_jaccard, op7_licence_scan, op9_chat_format, op10_quality_rules,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {"op4_top_k": topk.ORACLE, "op9_chat_format": chat.ORACLE}
