@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, chat, jaccard, licences, packing, pii, quality, secrets, topk
+from sparkloom.llm import bpe, chat, jaccard, licences, packing, pii, quality, secrets, suffixes, topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.report(_table(spark, folder, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeat_report(_table(spark, folder, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.format_chats(_table(spark, folder, "conversations"))
 
@@ -55,7 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_best_fit_packing, op3_byte_bpe, op4_top_k, op5_personal_data,
-        op6_ngram_jaccard, op7_licence_scan, op9_chat_format, op10_quality_rules,
+        op6_ngram_jaccard, op7_licence_scan, op8_suffix_dedup, op9_chat_format, op10_quality_rules,
     )
 }
 
