@@ -272,10 +272,11 @@ def spans_of(text: str, weights: dict[str, np.ndarray]) -> list[dict]:
 
 
 def sampled_weights(docs: DataFrame, text: str = "text") -> dict[str, np.ndarray]:
-    """Weights fitted on at most SAMPLE documents that have a digit or an at-sign, chosen by a hash of the text (of each, the islands of 20,000 code points)."""
-    able = docs.select(F.substring(F.col(text), 1, 20_000).alias("t")).filter(F.col("t").rlike(r"@|[0-9]{3}"))
-    rows = able.distinct().orderBy(F.xxhash64("t"), "t").limit(SAMPLE).collect()
-    return fit([r[0] for r in rows])
+    """Weights fitted on at most SAMPLE texts that have a digit or an at-sign, those of least hash (of each, the first 20,000 code points)."""
+    hashed = docs.select(F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h"))
+    picked = hashed.filter(F.col("t").rlike(r"@|[0-9]{3}")).groupBy("h").agg(F.count("*")).orderBy("h").limit(SAMPLE).select("h").collect()
+    texts = hashed.filter(F.col("h").isin([r["h"] for r in picked])).groupBy("h").agg(F.first(F.substring("t", 1, 20_000)).alias("t"))
+    return fit([r["t"] for r in sorted(texts.collect(), key=lambda r: r["h"])])
 
 
 def with_pii(docs: DataFrame, text: str = "text", out: str = "pii", weights: dict[str, np.ndarray] | None = None) -> DataFrame:
