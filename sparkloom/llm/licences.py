@@ -104,7 +104,9 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
     spark = docs.sparkSession
     known = _examples(spark).withColumn("w", words(F.col("line")))
     template_grams = [r[0] for r in known.select(F.explode(grams(F.col("w"), 3))).distinct().collect()]
-    texts = docs.filter(F.col(text).isNotNull()).select("doc_id", F.substring(F.col(text), 1, 4000).alias(text)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(NEGATIVES // 3)
+    hashed = docs.filter(F.col(text).isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("h"), F.substring(F.col(text), 1, 4000).alias(text))
+    picked = [r["h"] for r in hashed.groupBy("h").agg(F.count("*")).orderBy("h").limit(NEGATIVES // 3).select("h").collect()]
+    texts = hashed.filter(F.col("h").isin(picked)).dropDuplicates(["h"])
     lines = paragraphs(texts, text).select(F.lit(UNKNOWN).alias("family"), F.substring("line", 1, 400).alias("line")).withColumn("w", words(F.col("line")))
     others = lines.filter(~F.arrays_overlap(grams(F.col("w"), 3), F.array(*map(F.lit, template_grams)))).orderBy(F.xxhash64("line"), "line").limit(NEGATIVES)
     plain = spark.createDataFrame([(UNKNOWN, x) for x in ("the work of this program", "a copy of the software is free", "version 3 of the terms", "you may use this file", "")], "family string, line string").withColumn("w", words(F.col("line")))
