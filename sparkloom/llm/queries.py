@@ -63,4 +63,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_top_k": topk.ORACLE, "op9_chat_format": chat.ORACLE}
+WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+JACCARD_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM w WHERE len(w) >= 3),
+g AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, t || ' ' || lead(t, 1) OVER o || ' ' || lead(t, 2) OVER o AS g FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE g IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 2),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1) c USING (doc_id)
+"""
+
+_RULES_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, lang, base_failed, '{r}' AS rule, CASE WHEN {a} > 0 AND {b} > 0 THEN least((1000 * {a} - 1) // ({b}), {quality.STEPS}) ELSE -1 END AS level FROM m" for r, (a, b) in quality.RULES.items()
+)
+_ALPHA = quality.ALPHA / len(quality.RULES)
+
+QUALITY_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM d WHERE len(w) >= 5),
+g AS (SELECT doc_id, i, t || ' ' || lead(t, 1) OVER o || ' ' || lead(t, 2) OVER o || ' ' || lead(t, 3) OVER o || ' ' || lead(t, 4) OVER o AS g FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, i FROM g WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM h, range(5) AS x(k) GROUP BY 1),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+f AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(string_split(text, chr(10))) AS n_lines FROM d LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+m AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f),
+v AS ({_RULES_SQL}),
+good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0 END) = 1),
+hold AS (SELECT lang, rule, level FROM v JOIN good USING (doc_id) WHERE NOT base_failed),
+size AS (SELECT lang, rule, count(*) AS n, (SELECT greatest(1, count(DISTINCT lang)) FROM hold) AS strata FROM hold GROUP BY ALL),
+k AS (SELECT lang, rule, n, strata, unnest(range(0, CAST(floor(n * {_ALPHA}) AS BIGINT) + 1)) AS k FROM size),
+tail AS (SELECT *, sum(exp(lgamma(n + 1) - (CASE WHEN k > 0 THEN lgamma(k + 1) ELSE 0 END) - (CASE WHEN n > k THEN lgamma(n - k + 1) ELSE 0 END) + k * ln({_ALPHA}) + (n - k) * ln(1 - {_ALPHA}))) OVER (PARTITION BY lang, rule ORDER BY k) AS p FROM k),
+most AS (SELECT lang, rule, coalesce(max(CASE WHEN p <= {quality.DELTA} / (strata * {len(quality.RULES)}) THEN k END), -1) AS most FROM tail GROUP BY ALL),
+rej AS (SELECT lang, rule, level, sum(count(*)) OVER (PARTITION BY lang, rule ORDER BY level DESC) AS rejected FROM hold GROUP BY lang, rule, level),
+cut AS (SELECT lang, rule, CASE WHEN max(most) >= 0 THEN coalesce(max(CASE WHEN rejected > most THEN level END), -1) + 1 END AS cutoff FROM rej JOIN most USING (lang, rule) GROUP BY ALL),
+ok AS (SELECT doc_id, bool_and(coalesce(level < cutoff, true)) AS passed FROM v LEFT JOIN cut USING (lang, rule) GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND passed AS kept FROM m JOIN ok USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_top_k": topk.ORACLE, "op6_ngram_jaccard": JACCARD_SQL, "op9_chat_format": chat.ORACLE, "op10_quality_rules": QUALITY_SQL}
