@@ -21,6 +21,7 @@ that are equal in both count as one document, each with its result. Defined resu
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,10 @@ from sparkloom.llm.common import bounded_batches, checkpointed
 
 WIDTH, GRAM = 100, 16
 #: Bytes that are looked at together, and sorted together.
-CHUNK, SORT_CHUNK = 2_000_000, 400_000
+CHUNK, SORT_CHUNK = 1_000_000, 400_000
 MOST_SEGMENTS = 2_000
+#: Anchors are broadcast up to this count, else shuffled.
+MAX_BROADCAST = 500_000
 
 _RNG = np.random.Generator(np.random.PCG64(17))
 _BYTES = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
@@ -251,7 +254,7 @@ def repeated_windows(texts: list[bytes], keys: list[tuple], width: int = WIDTH)
 
 
 def _sorted_out(width: int):
-    """Of rows (anchor, doc, place, bytes) sorted by anchor: repeats, by sorting the suffixes of whole anchors together."""
+    """Of rows (anchor, doc, place, bytes) sorted so: repeats, by sorting the suffixes of whole anchors together."""
 
     def solve(rows: list[tuple[int, int, int, bytes]]):
         found = repeated_windows([r[3] for r in rows], [(r[1], r[2]) for r in rows], width)
@@ -262,6 +265,8 @@ def _sorted_out(width: int):
         rows, size, last = [], 0, None
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if rows and row[:3] == rows[-1][:3]:
+                    continue  # of a document that is there twice
                 if size >= SORT_CHUNK and row[0] != last:
                     yield solve(rows)
                     rows, size = [], 0
@@ -276,14 +281,30 @@ def _sorted_out(width: int):
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc, place of all repeated runs of windows; docs: doc_id, text."""
-    bounded_batches(docs.sparkSession, 4096)
+    bounded_batches(docs.sparkSession, 1024, "2m")
     listed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_listed(width), ROW)
     dealt = listed.repartition("anchor").sortWithinPartitions("anchor", "body", "doc", "place")
     settled = checkpointed(dealt.mapInArrow(_settled, "kind long, anchor long, doc long, place long, others long"))
     several = settled.filter("kind = 1")
-    crowded = several.groupBy("anchor").agg(F.max("others").alias("most")).filter(F.col("most") > MOST_SEGMENTS).select("anchor", F.lit(True).alias("crowded"))
-    wanted = several.select("anchor", "doc", "place", F.shiftright("place", 40).bitwiseAND(0xFFFFFF).alias("sum"))
-    by_doc = wanted.groupBy("doc", "sum").agg(F.collect_list(F.struct("anchor", "place")).alias("of"))
+    crowded = checkpointed(several.groupBy("anchor").agg(F.max("others").alias("most")).filter(F.col("most") > MOST_SEGMENTS).select("anchor"))
+    any_crowded = crowded.count()
+    if 0 < any_crowded <= MAX_BROADCAST:
+        crowded = F.broadcast(crowded)
+    calm = _fetched(docs, several.join(crowded, "anchor", "left_anti") if any_crowded else several, width).repartition("anchor").sortWithinPartitions("anchor", "doc", "place")
+    found = [settled.filter("kind = 0").select("doc", "place"), checkpointed(calm.mapInArrow(_sorted_out(width), "doc long, place long"))]
+    if any_crowded:
+        pieces = _fetched(docs, several.join(crowded, "anchor", "left_semi"), width)
+        windows = pieces.select("doc", "place", "bytes", F.explode(F.sequence(F.lit(0), F.length("bytes") - width)).alias("w"))
+        window = F.substring("bytes", F.col("w") + 1, F.lit(width))
+        windows = checkpointed(windows.select("doc", (F.shiftleft(F.shiftright("place", 8) + F.col("w"), 8) + 1).alias("place"), F.xxhash64(F.lit(1), window).alias("h1"), F.xxhash64(F.lit(2), window).alias("h2")))
+        least = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("h1", "h2", "first")
+        found.append(checkpointed(windows.join(least, ["h1", "h2"]).filter(F.struct("doc", "place") > F.col("first")).select("doc", "place")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _fetched(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """anchor, doc, place, bytes of the segments in wanted (anchor, doc, place)."""
+    by_doc = wanted.select("anchor", "doc", "place", F.shiftright("place", 40).bitwiseAND(0xFFFFFF).alias("sum")).groupBy("doc", "sum").agg(F.collect_list(F.struct("anchor", "place")).alias("of"))
     keyed = docs.select(document_key().alias("k"), "text").select("k.*", "text")
 
     def cut(texts: pa.Array, of: pa.Array) -> pa.Array:
@@ -294,16 +315,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return pa.array(out, pa.list_(pa.binary()))
 
     fetched = keyed.join(by_doc.hint("shuffle_hash"), ["doc", "sum"]).select("doc", "of", F.arrow_udf(cut, "array<binary>")("text", "of").alias("bytes"))
-    pieces = fetched.select("doc", F.explode(F.arrays_zip("of", "bytes")).alias("p")).select(F.col("p.of.anchor").alias("anchor"), "doc", F.col("p.of.place").alias("place"), F.col("p.bytes").alias("bytes"))
-    pieces = checkpointed(pieces.distinct().join(crowded, "anchor", "left"))
-    calm = pieces.filter("crowded is null").select("anchor", "doc", "place", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    sorted_out = calm.mapInArrow(_sorted_out(width), "doc long, place long")
-    # Crowded anchors: by window.
-    windows = pieces.filter("crowded").select("doc", "place", "bytes", F.explode(F.sequence(F.lit(0), F.length("bytes") - width)).alias("w"))
-    windows = windows.select("doc", (F.shiftleft(F.shiftright("place", 8) + F.col("w"), 8) + 1).alias("place"), F.sha2(F.substring("bytes", F.col("w") + 1, F.lit(width)), 256).alias("h"))
-    least = windows.groupBy("h").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("h", "first")
-    again = windows.join(least, "h").filter(F.struct("doc", "place") > F.col("first")).select("doc", "place")
-    return settled.filter("kind = 0").select("doc", "place").unionByName(sorted_out).unionByName(again)
+    return fetched.select("doc", F.explode(F.arrays_zip("of", "bytes")).alias("p")).select(F.col("p.of.anchor").alias("anchor"), "doc", F.col("p.of.place").alias("place"), F.col("p.bytes").alias("bytes"))
 
 
 def _runs(places: list[int], width: int) -> list[tuple[int, int]]:
