@@ -4,8 +4,8 @@ Documents with equal sets form a class, and classes are what is joined. The matr
 documents first, those of more than HEAVY_SHARE last, and the product is taken in blocks of columns:
 
 - First block: the head of each class's set, n - ceil(t * n) + 1 columns. Linked classes share a column there. Columns with
-  one class give no pair and go. To begin with, every class is paired only with the smallest class of each of its columns
-  (as many pairs as entries); links found so make components. Then pairs from different components that share a column are
+  one class give no pair and go. To begin with, every class is paired only with one other: of the smallest classes of its
+  columns the one it shares most columns with; links found so make components. Then pairs from different components that share a column are
   formed, size by size: only pairs whose sizes allow the similarity. Pairs inside a component need no comparison, so a group
   of near copies costs as many pairs as it has members.
 - A pair goes if a bound from sizes (and from the sizes of the HISTOGRAM parts of either set) rules the similarity out.
@@ -30,7 +30,7 @@ from sparkloom.llm.common import bounded_batches, checkpointed
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.shingles import sets
 
-HEAVY_SHARE, HISTOGRAM, BLOCKS = 0.001, 32, 8
+HEAVY_SHARE, HISTOGRAM, BLOCKS = 0.001, 128, 8
 #: Ids are broadcast up to this count (16 bytes each or so), else shuffled.
 MAX_BROADCAST = 500_000
 
@@ -38,44 +38,101 @@ MAX_BROADCAST = 500_000
 def _heavy(docs: DataFrame, n: int, total: int) -> list[int]:
     """N-grams that more than HEAVY_SHARE of the documents hold, rarest first; at most (mean set size) / HEAVY_SHARE.
 
-    A batch reports n-grams that three documents in it, and half of HEAVY_SHARE of them, hold; more precision isn't needed for an order.
+    About a million entries at a time, n-grams are reported that three documents, and half of HEAVY_SHARE of those at hand, hold; more precision isn't needed for an order.
     """
 
+    def often(all_of: list[np.ndarray]) -> pa.RecordBatch:
+        g, c = np.unique(np.concatenate([*all_of, np.zeros(0, np.int64)]), return_counts=True)
+        keep = c >= max(3, HEAVY_SHARE / 2 * len(all_of))
+        return pa.RecordBatch.from_arrays([pa.array(g[keep]), pa.array(c[keep])], ["g", "c"])
+
     def count(batches):
+        held, size = [], 0
         for batch in batches:
-            all_of = sets(batch.column(0).to_pylist(), n)
-            g, c = np.unique(np.concatenate([*all_of, np.zeros(0, np.int64)]), return_counts=True)
-            often = c >= max(3, HEAVY_SHARE / 2 * len(all_of))
-            yield pa.RecordBatch.from_arrays([pa.array(g[often]), pa.array(c[often])], ["g", "c"])
+            held += sets(batch.column(0).to_pylist(), n)
+            size += sum(len(s) for s in held[-batch.num_rows :])
+            if size > 1_000_000:
+                yield often(held)
+                held, size = [], 0
+        yield often(held)
 
     found = docs.select("text").mapInArrow(count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
     rows = found.filter(F.col("c") > max(2.0, HEAVY_SHARE * total)).collect()
     return [r["g"] for r in sorted(rows, key=lambda r: (r["c"], r["g"]))]
 
 
-def _described(docs: DataFrame, n: int, percent: int, heavy: list[int]) -> DataFrame:
-    """doc_id, n (set size), class (hash of the set), head (its first columns) and histogram of every document."""
+def _class_of(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
+
+
+def _described(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n (set size), class (hash of the set) and histogram of every document. A part of over 127 n-grams doesn't fit; then the histogram is null."""
+    kind = pa.struct([("n", pa.int64()), ("class", pa.int64()), ("histogram", pa.list_(pa.int8()))])
+
+    def column(texts: pa.Array) -> pa.Array:
+        own = sets(texts.to_pylist(), n)
+        counts = [np.bincount(s & (HISTOGRAM - 1), minlength=HISTOGRAM) for s in own]
+        histogram = [c.astype(np.int8) if c.max() < 128 else None for c in counts]
+        return pa.StructArray.from_arrays([pa.array([len(s) for s in own], pa.int64()), pa.array(map(_class_of, own), pa.int64()), pa.array(histogram, kind[2].type)], fields=list(kind))
+
+    udf = F.arrow_udf(column, "struct<n:bigint,class:bigint,histogram:array<tinyint>>")
+    return docs.select("doc_id", udf("text").alias("s")).select("doc_id", "s.*")
+
+
+def _entries(docs: DataFrame, n: int, percent: int, heavy: list[int]) -> DataFrame:
+    """g (a column) and class: the head of each document's set."""
     order = np.array(sorted(heavy), np.int64)
     rank = {g: i for i, g in enumerate(heavy)}
     ranks = np.array([rank[int(g)] for g in order], np.int64)
-    kind = pa.struct([("n", pa.int64()), ("class", pa.int64()), ("head", pa.list_(pa.int64())), ("histogram", pa.list_(pa.int32()))])
 
-    def column(texts: pa.Array) -> pa.Array:
-        size, klass, head, histogram = [], [], [], []
-        for s in sets(texts.to_pylist(), n):
-            at = np.minimum(np.searchsorted(order, s), max(0, len(order) - 1))
-            is_heavy = order[at] == s if len(order) else np.zeros(len(s), bool)
-            late = s[is_heavy][np.argsort(ranks[at[is_heavy]])] if len(order) else s[:0]
-            size.append(len(s))
-            klass.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63)
-            most = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-            light = s[~is_heavy][:most]
-            head.append(np.concatenate([light, late[: most - len(light)]]))
-            histogram.append(np.bincount(s & (HISTOGRAM - 1), minlength=HISTOGRAM).astype(np.int32))
-        return pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(klass, pa.int64()), pa.array(head, kind[2].type), pa.array(histogram, kind[3].type)], fields=list(kind))
-
-    udf = F.arrow_udf(column, "struct<n:bigint,class:bigint,head:array<bigint>,histogram:array<int>>")
-    return docs.select("doc_id", udf("text").alias("s")).select("doc_id", "s.*")
+    def heads(batches):
+        for batch in batches:
+            columns, classes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for s in sets(batch.column(0).to_pylist(), n):
+                if not len(s):
+                    continue
+                at = np.minimum(np.searchsorted(order, s), max(0, len(order) - 1))
+                is_heavy = order[at] == s if len(order) else np.zeros(len(s), bool)
+                late = s[is_heavy][np.argsort(ranks[at[is_heavy]])] if len(order) else s[:0]
+                most = len(s) - -(-percent * len(s) // 100) + 1
+                light = s[~is_heavy][:most]
+                columns += [light, late[: most - len(light)]]
+                classes.append(np.full(most, _class_of(s)))
+            g, c = np.concatenate(columns), np.concatenate(classes)
+            for k in range(0, len(g), 65_536):
+                yield pa.RecordBatch.from_arrays([pa.array(g[k : k + 65_536]), pa.array(c[k : k + 65_536])], ["g", "class"])
+
+    return docs.select("text").mapInArrow(heads, "g long, class long")
+
+
+def _several(batches):
+    """Of (g, class) sorted so: the different pairs of each g with more than one class, with the smallest (first). Only a run's first pair is held back."""
+    g0 = c0 = None
+    first, shown = 0, False
+    for batch in batches:
+        g, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(g):
+            continue
+        before_g, before_c = np.concatenate([g[:1], g[:-1]]), np.concatenate([c[:1], c[:-1]])
+        new_g, new_c = g != before_g, c != before_c
+        new_g[0], new_c[0] = g0 is None or g[0] != g0, g0 is None or c[0] != c0
+        pair = new_g | new_c
+        start = np.maximum.accumulate(np.where(new_g, np.arange(len(g)), -1))
+        firsts = np.where(start >= 0, c[start], first)
+        later = pair & ~new_g
+        gs, cs, fs = [g[later]], [c[later]], [firsts[later]]
+        # a run's first pair shows with its second
+        second = np.flatnonzero(later)
+        runs = start[second]
+        own = np.unique(runs[runs >= 0])
+        gs.append(g[own]), cs.append(c[own]), fs.append(c[own])
+        if len(runs) and runs[0] < 0 and not shown:
+            gs.append(g[second[:1]]), cs.append(np.array([first])), fs.append(np.array([first]))
+            shown = True
+        if start[-1] >= 0:
+            first, shown = c[start[-1]], bool(len(own)) and own[-1] == start[-1]
+        g0, c0 = g[-1], c[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (gs, cs, fs)], ["g", "class", "first"])
 
 
 def _close(percent: int) -> Column:
@@ -118,36 +175,40 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, perce
     """The pairs (a, b) of classes that link. docs: doc_id, text."""
     own = classes.select("class", "doc_id", "n", "histogram")
     sized = pairs.join(own.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("histogram").alias("ha")), "a").join(own.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("histogram").alias("hb")), "b")
-    common = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    left = checkpointed(sized.filter(_close(percent)).filter((100 + percent) * common >= percent * (F.col("na") + F.col("nb"))).select("a", "b"))
+    common = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)  # null: no bound
+    able = F.coalesce((100 + percent) * common >= percent * (F.col("na") + F.col("nb")), F.lit(True))
+    left = checkpointed(sized.filter(_close(percent)).filter(able).select("a", "b"))
     wanted = left.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     ids = checkpointed(own.join(_few(wanted), "class").select("class", "doc_id"))
     kind = pa.struct([("class", pa.int64()), ("set", pa.binary())])
 
     def column(texts: pa.Array) -> pa.Array:
-        return pa.array([{"class": xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63, "set": s.tobytes()} for s in sets(texts.to_pylist(), n)], type=kind)
+        return pa.array([{"class": _class_of(s), "set": s.tobytes()} for s in sets(texts.to_pylist(), n)], type=kind)
 
     texts = docs.join(_few(ids.select("doc_id").distinct()), "doc_id", "left_semi")
     of_class = texts.select("doc_id", F.arrow_udf(column, "struct<class:bigint,set:binary>")("text").alias("s")).select("doc_id", "s.*")
-    held = checkpointed(of_class.join(_few(ids), ["class", "doc_id"], "left_semi").dropDuplicates(["class"]).select("class", "set"))
-    full = left.join(held.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a").join(held.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
-    return checkpointed(full.filter(_overlap(percent)("sa", "sb") >= 0).select("a", "b"))
+    held = of_class.join(_few(ids), ["class", "doc_id"], "left_semi")
+    first = left.join(held.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a")
+    full = first.join(held.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
+    return checkpointed(full.filter(_overlap(percent)("sa", "sb") >= 0).select("a", "b").distinct())
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every document. Links: 100 * intersection >= percent * union of word n-gram sets."""
-    bounded_batches(docs.sparkSession, 4096)
+    bounded_batches(docs.sparkSession, 1024, "2m")
     own = docs.select("doc_id", "text")
-    described = checkpointed(_described(own, n, percent, _heavy(own, n, own.count())))
-    some = described.filter("n > 0 and doc_id is not null")
-    classes = checkpointed(some.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("histogram").alias("histogram")))
-    entries = classes.select("class", "n", F.explode("head").alias("g"))
-    shared = entries.groupBy("g").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first <> last")
-    entries = checkpointed(entries.join(shared.select("g", "first"), "g"))
-    stars = entries.filter("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b")).distinct()
+    described = checkpointed(_described(own, n))
+    named = described.filter("n > 0 and doc_id is not null")
+    classes = checkpointed(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("histogram").alias("histogram")))
+    entries = _entries(own.filter("doc_id is not null"), n, percent, _heavy(own, n, described.count()))
+    entries = entries.repartition("g").sortWithinPartitions("g", "class").mapInArrow(_several, "g long, class long, first long")
+    entries = checkpointed(entries)
+    shared = entries.filter("class <> first").groupBy("class", "first").agg(F.count("*").alias("shared"))
+    stars = shared.groupBy("class").agg(F.max(F.struct("shared", "first")).alias("best")).select(F.col("class").alias("a"), F.col("best.first").alias("b"))
     links = _linked(stars, own, classes, n, percent)
     roots = connected_components(links)
-    placed = entries.join(roots.withColumnRenamed("node", "class"), "class", "left").select("g", "class", "n", F.coalesce("root", "class").alias("root"))
+    sizes = classes.select("class", "n")
+    placed = entries.select("g", "class").join(sizes, "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("g", "class", "n", F.coalesce("root", "class").alias("root"))
     mixed_columns = placed.groupBy("g").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("g")
     placed = checkpointed(placed.join(mixed_columns, "g", "left_semi"))
     left = placed.select("g", F.col("class").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
