@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.llm.common import checkpointed
+
 BLOCK = 512
 KEY = ["n", "s1", "s2"]
 
@@ -43,7 +45,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
 
 def maximal(turns: DataFrame) -> DataFrame:
     """conv_id and n (its rows) of the conversations that stay."""
-    every = prefixes(turns)
+    every = checkpointed(prefixes(turns))
     wholes = every.filter("whole").groupBy(*KEY).agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id")).alias("c"))
     shorter = every.filter("not whole").groupBy(*KEY).agg(F.lit(1).alias("x"))
     return wholes.join(shorter, KEY, "left_anti").select("c.conv_id", "n")
