@@ -135,9 +135,11 @@ def _several(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (gs, cs, fs)], ["g", "class", "first"])
 
 
-def _close(percent: int) -> Column:
-    """Whether the sizes na and nb allow the similarity."""
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+def _able(percent: int) -> Column:
+    """Whether the sizes na and nb and the histograms ha and hb allow the similarity. A null histogram is no bound."""
+    close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    common = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return close & F.coalesce((100 + percent) * common >= percent * (F.col("na") + F.col("nb")), F.lit(True))
 
 
 def _overlap(percent: int):
@@ -175,9 +177,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, perce
     """The pairs (a, b) of classes that link. docs: doc_id, text."""
     own = classes.select("class", "doc_id", "n", "histogram")
     sized = pairs.join(own.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("histogram").alias("ha")), "a").join(own.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("histogram").alias("hb")), "b")
-    common = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)  # null: no bound
-    able = F.coalesce((100 + percent) * common >= percent * (F.col("na") + F.col("nb")), F.lit(True))
-    left = checkpointed(sized.filter(_close(percent)).filter(able).select("a", "b"))
+    left = checkpointed(sized.filter(_able(percent)).select("a", "b"))
     wanted = left.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     ids = checkpointed(own.join(_few(wanted), "class").select("class", "doc_id"))
     kind = pa.struct([("class", pa.int64()), ("set", pa.binary())])
@@ -207,13 +207,13 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     stars = shared.groupBy("class").agg(F.max(F.struct("shared", "first")).alias("best")).select(F.col("class").alias("a"), F.col("best.first").alias("b"))
     links = _linked(stars, own, classes, n, percent)
     roots = connected_components(links)
-    sizes = classes.select("class", "n")
-    placed = entries.select("g", "class").join(sizes, "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("g", "class", "n", F.coalesce("root", "class").alias("root"))
+    sizes = classes.select("class", "n", "histogram")
+    placed = entries.select("g", "class").join(sizes, "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("g", "class", "n", "histogram", F.coalesce("root", "class").alias("root"))
     mixed_columns = placed.groupBy("g").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("g")
     placed = checkpointed(placed.join(mixed_columns, "g", "left_semi"))
-    left = placed.select("g", F.col("class").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = placed.select("g", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    across = left.join(right, (left["g"] == right["g"]) & (F.col("ra") < F.col("rb")) & _close(percent)).select("a", "b").distinct()
+    left = placed.select("g", F.col("class").alias("a"), F.col("n").alias("na"), F.col("histogram").alias("ha"), F.col("root").alias("ra"))
+    right = placed.select("g", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("histogram").alias("hb"), F.col("root").alias("rb"))
+    across = left.join(right, (left["g"] == right["g"]) & (F.col("ra") < F.col("rb")) & _able(percent)).select("a", "b").distinct()
     roots = connected_components(links.unionByName(_linked(across, own, classes, n, percent)))
     labelled = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     names = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
