@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Entries a table may hold; a full one is emptied.
-CACHE = 400_000
+CACHE = 200_000
 LONGEST = 64
 
 
