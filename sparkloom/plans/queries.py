@@ -429,7 +429,7 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 @_query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, " + ", ".join(f"count(CASE WHEN o_orderpriority = '{p}' THEN 1 END) AS \"{p}\"" for p in PRIORITIES) + " FROM orders GROUP BY 1")
 def pivot_table(spark, table):
-    out = aggregates.pivot_table(table("orders"), [F.year("o_orderdate").alias("year")], "o_orderpriority", PRIORITIES, F.count("*"))
+    out = aggregates.pivot_table(table("orders"), [F.year("o_orderdate").alias("year")], "o_orderpriority", PRIORITIES, F.count(F.lit(1)))
     return out.na.fill(0)
 
 
