@@ -107,7 +107,10 @@ def _listed(width: int):
         doc = np.concatenate([np.full(len(r[1]), r[0], np.int64) for r in rows])
         order = np.lexsort((place, doc, body, anchor))
         anchor, body, doc, place = anchor[order], body[order], doc[order], place[order]
-        again = np.zeros(len(order), bool)
+        other = np.ones(len(order), bool)
+        other[1:] = (anchor[1:] != anchor[:-1]) | (body[1:] != body[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+        anchor, body, doc, place = anchor[other], body[other], doc[other], place[other]  # without those of a document that is there twice
+        again = np.zeros(len(anchor), bool)
         again[1:] = (anchor[1:] == anchor[:-1]) & (body[1:] == body[:-1])
         place_of = doc * 31 + place
         anchor[again], body[again] = place_of[again], REPEAT
@@ -154,13 +157,17 @@ def _settled(batches):
         same_body = np.zeros(len(anchor), bool)
         same_anchor[1:] = anchor[1:] == anchor[:-1]
         same_body[1:] = same_anchor[1:] & (body[1:] == body[:-1])
+        same_place = np.zeros(len(anchor), bool)
+        same_place[1:] = same_body[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
         if last:
             same_anchor[0] = anchor[0] == last[0]
             same_body[0] = same_anchor[0] and body[0] == last[1]
-        last = (anchor[-1], body[-1])
-        gone = (body == REPEAT) | same_body
+            same_place[0] = same_body[0] and doc[0] == last[2] and place[0] == last[3]
+        last = (anchor[-1], body[-1], doc[-1], place[-1])
+        # a segment at the same place is of a document that is there twice
+        gone = (body == REPEAT) | same_body & ~same_place
         found = [(0, 0, d, p, 0) for d, p in zip(doc[gone].tolist(), place[gone].tolist(), strict=True)]
-        new = np.flatnonzero(~gone)
+        new = np.flatnonzero((body != REPEAT) & ~same_body)
         # the first segment of an anchor is held back until a second one shows
         for i in new.tolist():
             if same_anchor[i] and held is not None and held[0] == anchor[i]:

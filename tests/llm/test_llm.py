@@ -331,6 +331,18 @@ def test_suffix_dedup(spark, monkeypatch, most):
     assert suffixes.repeat_report(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_suffix_dedup_repeated_rows(spark, parts):
+    inner = f"{BASE[:300]} {prose(30)}"
+    rows = [(1, BASE), (1, BASE), (1, inner), (2, BASE), (2, BASE), (None, EDITED), (None, EDITED), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).repartition(parts)
+    # null comes first; rows of one doc_id are ordered by checksum
+    order = sorted(set(rows), key=lambda r: (-1 if r[0] is None else r[0], zlib.crc32((r[1] or "").encode()) & 0xFFFFFF))
+    want = {order[r[0]]: r[1:] for r in brute_repeats([(k, t) for k, (_, t) in enumerate(order)], 100)}
+    got = Counter(tuple(r) for r in suffixes.repeat_report(docs).collect())
+    assert got == Counter((r[0], *want[r]) for r in rows)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(1, 3), min_size=1, max_size=50))
 def test_difference_cover(symbols):
