@@ -102,8 +102,6 @@ def islands(text: str, digits: list[tuple[int, int]] | None = None) -> list[tupl
         marks = sorted([*marks, *(m.span() for m in _AT.finditer(text))])
     out: list[list[int]] = []
     for a, b in marks:
-        if out and b <= out[-1][1]:
-            continue
         lo, hi = max(0, a - CONTEXT), min(len(text), b + CONTEXT)
         cut = text.rfind("\n", lo, a)
         lo = cut + 1 if cut >= 0 else lo

@@ -125,6 +125,22 @@ def test_pii_report_and_crf(spark):
     assert sum(bool(pii.spans_of(prose(50), weights)) for _ in range(40)) == 0
 
 
+def test_pii_islands_reach_context_after_every_mark():
+    for text in ("Since 2019 you can write to jane.doe [at] example [dot] org", f"1{'x' * 30} 2 {'y' * 60}\n{'z' * 60}", f"{'q' * 50}7{'r' * 20}8\n9{'s' * 50}"):
+        near = set()
+        for a, b in [*pii.zones(text), *(m.span() for m in pii._AT.finditer(text))]:
+            line = text.rfind("\n", 0, a) + 1, text.find("\n", b) if "\n" in text[b:] else len(text)
+            near |= set(range(max(line[0], a - pii.CONTEXT), min(line[1], b + pii.CONTEXT)))
+        assert {i for a, b in pii.islands(text) for i in range(a, b)} == near
+        assert all(a < b < c for (_, a), (b, c) in zip(pii.islands(text), pii.islands(text)[1:]))
+
+
+def test_pii_obfuscated_address_after_a_number():
+    weights = pii.fit([f"{prose(8)} {VOCABULARY[i]}@{VOCABULARY[-i - 1]}.org {prose(3)} {i} {prose(2)}" for i in range(60)])
+    text = "Since 2019 you can write to jane [at] example [dot] org"
+    assert [(s["kind"], text[s["start"] : s["end"]]) for s in pii.spans_of(text, weights)] == [("email", "jane [at] example [dot] org")]
+
+
 # Tokens
 
 
