@@ -41,7 +41,7 @@ _PIECE = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9\xb2\xb3\xb9\xbc
 class WordTokenizer(RunEncoder):
     """Runs are what lies between blanks, in lower case; they are split into pieces, and those are merged by the library's model.
 
-    Texts with characters beyond _SIMPLE go through the whole library.
+    Texts with characters beyond _SIMPLE, or with an added token's content, go through the whole library.
     """
 
     def __init__(self, path: str):
@@ -50,8 +50,10 @@ class WordTokenizer(RunEncoder):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
+        # an added token that is matched in the normal form can stand in either case
+        added = [("(?i:%s)" if t.normalized else "%s") % re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)")
         shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         simple = [chr(c) for c in range(0x21, 0x180) if _SIMPLE.fullmatch(chr(c)) and not chr(c).isspace()]
         self.characters = str.maketrans({c: shown.pre_tokenize_str(c)[0][0] for c in simple})
@@ -66,7 +68,7 @@ class WordTokenizer(RunEncoder):
         return pc.ascii_split_whitespace(pa.array([t.lower() for t in texts]))
 
     def cuttable(self, text: str) -> bool:
-        return _SIMPLE.fullmatch(text) is not None
+        return _SIMPLE.fullmatch(text) is not None and self.added.search(text) is None
 
     def encode_whole(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()

@@ -189,6 +189,16 @@ def test_word_tokens_any_text(text):
     assert packing.tokenizer(path).encode(text) == struct.pack(f"<{len(ids)}I", *ids)
 
 
+def test_word_tokens_of_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    for text in ("a <|endoftext|>b", "<|startoftext|>", "<|STARTOFTEXT|> <|endoftext|><|endoftext|>", "é🎉<|endoftext|> İ", "<|endoftext| >", "x" * 90 + "<|startoftext|>" + "y"):
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert packing.tokenizer(path).encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
