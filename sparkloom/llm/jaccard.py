@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkloom.llm.common import bounded_batches, checkpointed
 from sparkloom.llm.components import connected_components
@@ -66,7 +67,7 @@ def _class_of(s: np.ndarray) -> int:
 
 
 def _described(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n (set size), class (hash of the set) and histogram of every document. A part of over 127 n-grams doesn't fit; then the histogram is null."""
+    """doc_id (and other columns but text), n (set size), class (hash of the set) and histogram of every document. A part of over 127 n-grams doesn't fit; then the histogram is null."""
     kind = pa.struct([("n", pa.int64()), ("class", pa.int64()), ("histogram", pa.list_(pa.int8()))])
 
     def column(texts: pa.Array) -> pa.Array:
@@ -76,7 +77,8 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array([len(s) for s in own], pa.int64()), pa.array(map(_class_of, own), pa.int64()), pa.array(histogram, kind[2].type)], fields=list(kind))
 
     udf = F.arrow_udf(column, "struct<n:bigint,class:bigint,histogram:array<tinyint>>")
-    return docs.select("doc_id", udf("text").alias("s")).select("doc_id", "s.*")
+    own = [c for c in docs.columns if c != "text"]
+    return docs.select(*own, udf("text").alias("s")).select(*own, "s.*")
 
 
 def _entries(docs: DataFrame, n: int, percent: int, heavy: list[int]) -> DataFrame:
@@ -193,14 +195,11 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, perce
     return checkpointed(full.filter(_overlap(percent)("sa", "sb") >= 0).select("a", "b").distinct())
 
 
-def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document. Links: 100 * intersection >= percent * union of word n-gram sets."""
-    bounded_batches(docs.sparkSession, 1024, "2m")
-    own = docs.select("doc_id", "text")
-    described = checkpointed(_described(own, n))
+def _rooted(own: DataFrame, described: DataFrame, n: int, percent: int) -> DataFrame:
+    """class, doc_id (the least), root (a class of its component) of every class. own: doc_id (never null), text; described: of at least those."""
     named = described.filter("n > 0 and doc_id is not null")
     classes = checkpointed(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("histogram").alias("histogram")))
-    entries = _entries(own.filter("doc_id is not null"), n, percent, _heavy(own, n, described.count()))
+    entries = _entries(own, n, percent, _heavy(own, n, described.count()))
     entries = entries.repartition("g").sortWithinPartitions("g", "class").mapInArrow(_several, "g long, class long, first long")
     entries = checkpointed(entries)
     shared = entries.filter("class <> first").groupBy("class", "first").agg(F.count("*").alias("shared"))
@@ -215,7 +214,15 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     right = placed.select("g", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("histogram").alias("hb"), F.col("root").alias("rb"))
     across = left.join(right, (left["g"] == right["g"]) & (F.col("ra") < F.col("rb")) & _able(percent)).select("a", "b").distinct()
     roots = connected_components(links.unionByName(_linked(across, own, classes, n, percent)))
-    labelled = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
+    return classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
+
+
+def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document. Links: 100 * intersection >= percent * union of word n-gram sets."""
+    bounded_batches(docs.sparkSession, 1024, "2m")
+    own = docs.select("doc_id", "text")
+    described = checkpointed(_described(own, n))
+    labelled = _rooted(own.filter("doc_id is not null"), described, n, percent)
     names = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_class = labelled.join(names, "root").select("class", "component_id")
     out = described.select("doc_id", "n", "class").join(by_class, "class", "left")
@@ -224,6 +231,30 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that link, directly or not, to a document of smaller doc_id."""
-    gone = checkpointed(components(docs, n, percent).filter("doc_id <> component_id").select("doc_id"))
-    return docs.join(_few(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group linked directly or not: that of smallest doc_id (null last), then class, then text. Empty sets link to nothing, so those rows stay.
+
+    A row without doc_id goes by a hash of its text here. Ids whose rows all go, and ids of one row, are settled by the id;
+    where rows share an id and some stay, the set tells which.
+    """
+    bounded_batches(docs.sparkSession, 1024, "2m")
+    key = {"absent": F.col("doc_id").isNull(), "doc_id": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))}
+    own = docs.select(*(c.alias(k) for k, c in key.items()), "text")
+    described = checkpointed(_described(own, n))
+    labelled = _rooted(own.drop("absent"), described, n, percent).select("class", "root")
+    rooted = described.filter("n > 0").groupBy("class").agg(F.min(F.struct("absent", "doc_id")).alias("least")).join(labelled, "class")
+    best = rooted.groupBy("root").agg(F.min(F.struct("least", "class")).alias("b")).select("b.class", "b.least.*")
+    stay = checkpointed(best.select("class", F.col("absent").alias("absent_of"), F.col("doc_id").alias("id_of")))
+    fate = described.select("absent", "doc_id", "n", "class").join(stay, "class", "left")
+    fate = fate.withColumn("stays", (F.col("n") == 0) | F.coalesce((F.col("absent") == F.col("absent_of")) & (F.col("doc_id") == F.col("id_of")), F.lit(False)))
+    by_id = fate.groupBy("absent", "doc_id").agg(F.max("stays").alias("stays"), F.count("*").alias("c"))
+    by_id = checkpointed(by_id.filter("not stays or c > 1"))
+    gone, mixed = by_id.filter("not stays").select("absent", "doc_id"), by_id.filter("stays").select("absent", "doc_id")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "text", *(c.alias(k) for k, c in key.items()))
+    if not mixed.count():
+        return keyed.drop("text").join(_few(gone), ["absent", "doc_id"], "left_anti").select("row.*")
+    plain = keyed.drop("text").join(_few(by_id.select("absent", "doc_id")), ["absent", "doc_id"], "left_anti").select("row.*")
+    told = _described(keyed.join(_few(mixed), ["absent", "doc_id"], "left_semi").select("row", "text", "absent", "doc_id"), n)
+    staying = stay.select("class", F.col("absent_of").alias("absent"), F.col("id_of").alias("doc_id"))
+    first = F.row_number().over(Window.partitionBy("absent", "doc_id", "class").orderBy("row.text"))
+    one = told.filter("n > 0").join(staying, ["class", "absent", "doc_id"], "left_semi").withColumn("r", first).filter("r = 1")
+    return plain.unionByName(told.filter("n = 0").select("row.*")).unionByName(one.select("row.*"))

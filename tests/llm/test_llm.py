@@ -302,6 +302,19 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.components(rows.limit(0), 3, 90).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    b, c, d, e = (prose(60) for _ in range(4))
+    rows = [(3, BASE), (4, EDITED), (4, b), (5, c), (5, c), (None, EDITED), (None, d), (None, d), (None, None), (6, ""), (6, ""), (8, e), (8, e.upper()), (9, f"{b} end"), (9, b)]
+    want = [(3, BASE), (4, b), (5, c), (None, d), (None, None), (6, ""), (6, ""), (8, e.upper())]
+    schema = "doc_id long, text string, absent int, class int"
+    got = jaccard.keep_one(spark.createDataFrame([(*r, 1, 2) for r in rows], schema).repartition(3), 5, 80)
+    assert got.columns == ["doc_id", "text", "absent", "class"]
+    assert Counter(tuple(r) for r in got.collect()) == Counter((*r, 1, 2) for r in want)
+    # two linked rows of one id, and none without an id that is repeated
+    assert [r["doc_id"] for r in jaccard.keep_one(spark.createDataFrame([(1, BASE), (1, EDITED)], "doc_id long, text string")).collect()] == [1]
+    assert {r["text"] for r in jaccard.keep_one(spark.createDataFrame([(1, EDITED), (2, BASE), (3, d)], "doc_id long, text string")).collect()} == {EDITED, d}
+
+
 def test_long_texts_hash_alike(monkeypatch):
     text = prose(5000)
     whole = shingles.sets([text], 3)[0].tolist()
