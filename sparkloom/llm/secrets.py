@@ -7,9 +7,11 @@ a new text; a text seen before in the document is not taken again, which ends cy
 mapped back through the parents to code points of the document.
 
 Defined results: null counts as an empty text; spans are ordered by start, kind, end and are distinct; base spans are
-those of the document itself and always stay. Inflated data is read in windows of WINDOW code points that overlap by
-OVERLAP, so memory stays bounded. UNWRAP_LIMIT bounds the work that one document can cause (decompression bombs); a
-document that reaches it has complete = false.
+those of the document itself and always stay. Inflated data is read in windows of about WINDOW code points that overlap by
+OVERLAP; a run that crosses the border is carried whole into the next window. Layers that wait hold about WINDOW code
+points, and of texts seen only digests are kept, so memory stays bounded; the work isn't, it grows with what a document
+decodes to. Only a run of over LONGEST_RUN code points in inflated data is read in parts: the document has complete = false,
+and redaction covers the whole stretch that the run comes from.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
+import hashlib
 import lzma
 import re
 import zlib
@@ -30,8 +34,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import bounded_batches, fresh
 
 KINDS = ("assign", "access", "hex")
-WINDOW, OVERLAP = 4_000_000, 4_096
-UNWRAP_LIMIT = 1_000_000_000
+WINDOW, OVERLAP, LONGEST_RUN = 4_000_000, 4_096, 64_000_000
+UNREAD = "unread"
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # maximal runs, so the same matches as of AKIA[A-Z0-9]+ with 16+ characters
@@ -40,6 +44,8 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
 _ONE = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|[uUx]([0-9A-Fa-f]+))")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{60,}(?:\r?\n[A-Za-z0-9+/]+)+|[A-Za-z0-9+/_-]{16,})={0,2}")
+#: What a border of windows must not cut; of assignments also the beginnings.
+_RUNS = (_BASE64, _URL, _UNICODE, _ACCESS, _HEX, re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*(?:[:=]\x20*["']?)?[A-Za-z0-9+/_.=-]*""", re.I | re.A))
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -60,18 +66,19 @@ class Layer:
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         """The span of the document that start:end comes from."""
-        if self.parent is None:
-            return start, end
-        ends = []
-        for at, right in ((start, False), (end - 1, True)):
-            lo, hi = 0, len(self.pieces)
-            while hi - lo > 1:
-                mid = (lo + hi) // 2
-                lo, hi = (mid, hi) if self.pieces[mid][0] <= at else (lo, mid)
-            own, a, b = self.pieces[lo]
-            size = (self.pieces[lo + 1][0] if lo + 1 < len(self.pieces) else len(self.text)) - own
-            ends.append(a + at - own + right if size == b - a else b if right else a)
-        return self.parent.origin(*ends)
+        layer = self
+        while layer.parent is not None:
+            ends = []
+            for at, right in ((start, False), (end - 1, True)):
+                lo, hi = 0, len(layer.pieces)
+                while hi - lo > 1:
+                    mid = (lo + hi) // 2
+                    lo, hi = (mid, hi) if layer.pieces[mid][0] <= at else (lo, mid)
+                own, a, b = layer.pieces[lo]
+                size = (layer.pieces[lo + 1][0] if lo + 1 < len(layer.pieces) else len(layer.text)) - own
+                ends.append(a + at - own + right if size == b - a else b if right else a)
+            (start, end), layer = ends, layer.parent
+        return start, end
 
 
 def _inflated(data: bytes) -> Iterator[bytes]:
@@ -99,20 +106,39 @@ def _inflated(data: bytes) -> Iterator[bytes]:
         data = rest()
 
 
+def _border(text: str) -> int:
+    """The last place, OVERLAP before the end or earlier, that lies in no run; 0 if there is none."""
+    spans = sorted((m.span() for p in _RUNS for m in p.finditer(text)), reverse=True)
+    cut = len(text) - OVERLAP
+    while inside := [a for a, b in spans if a < cut < b]:
+        cut = min(inside)
+    return cut
+
+
 def _texts(data: bytes) -> Iterator[tuple[str, str]]:
-    """(how, text) of what bytes hold: inflated windows, or plain printable UTF-8."""
-    held, any_piece = "", False
+    """(how, text) of what bytes hold: inflated windows, or plain printable UTF-8. UNREAD tells that a run had to be cut."""
+    parts, size, least, any_piece = [], 0, WINDOW, False
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
     try:
         for piece in _inflated(data):
             any_piece = True
-            held += piece.decode("utf-8", "replace")
-            while len(held) > WINDOW:
-                yield "inflate", held[:WINDOW]
-                held = held[WINDOW - OVERLAP :]
+            parts.append(decoder.decode(piece))
+            size += len(parts[-1])
+            if size > least:
+                held = "".join(parts)
+                if not (cut := _border(held)):
+                    if size <= LONGEST_RUN:
+                        parts, least = [held], 2 * size
+                        continue
+                    yield UNREAD, ""
+                    cut = size - OVERLAP
+                yield "inflate", held[: cut + OVERLAP]
+                parts, size = [held[cut:]], size - cut
+                least = max(WINDOW, 2 * size if size > OVERLAP else 0)
     except (zlib.error, zstandard.ZstdError, OSError, EOFError, lzma.LZMAError, ValueError):
         pass
     if any_piece:
-        yield "inflate", held
+        yield "inflate", "".join([*parts, decoder.decode(b"", True)])
         return
     try:
         text = data.decode("utf-8")
@@ -128,8 +154,8 @@ def _escaped(layer: Layer, how: str, pattern: re.Pattern, decode) -> Iterator[La
     for m in pattern.finditer(layer.text):
         text, data = decode(m[0])
         if data is not None and text is None:
-            for _, inner in _texts(data):
-                yield Layer(inner, layer, [(0, m.start(), m.end())], f"{how}/inflate")
+            for kind, inner in _texts(data):
+                yield Layer(inner, layer, [(0, m.start(), m.end())], UNREAD if kind == UNREAD else f"{how}/inflate")
         if text is None:
             continue
         changed = True
@@ -193,28 +219,48 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
             plain = how == "bytes" and len(inner) == len(data) and "\n" not in m[0]
             # each group of 4 characters holds 3 bytes
             pieces = [(k, m.start() + k // 3 * 4, min(m.end(), m.start() + k // 3 * 4 + 4)) for k in range(0, len(inner), 3)] if plain else [(0, *m.span())]
-            yield Layer(inner, layer, pieces, "base64" if how == "bytes" else "base64/inflate")
+            yield Layer(inner, layer, pieces, {"bytes": "base64", UNREAD: UNREAD}.get(how, "base64/inflate"))
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _found(text: str) -> tuple[list[dict], list[dict]]:
+    """All spans of a document, base ones with an empty layer, and the stretches that hold a run which had to be cut."""
+    found, unread = {s: "" for s in scan(text)}, set()
+    # Children wait until their layer is through; once they hold much, the layer is suspended until they are through.
+    seen, running, waiting, held = {_digest(text)}, [unwrapped(Layer(text))], [], 0
+    while running:
+        child = next(running[-1], None)
+        if child is None:
+            if waiting:
+                layer = waiting.pop()
+                held -= len(layer.text)
+                running[-1] = unwrapped(layer)
+            else:
+                running.pop()
+            continue
+        if child.how.endswith(UNREAD):
+            unread.add(child.origin(0, 1))
+            continue
+        if (digest := _digest(child.text)) in seen:
+            continue
+        seen.add(digest)
+        for kind, a, b in scan(child.text):
+            found.setdefault((kind, *child.origin(a, b)), child.how)
+        waiting.append(child)
+        held += len(child.text)
+        if held > WINDOW // 2:
+            running.append(iter(()))
+    ordered = sorted(found.items(), key=lambda x: (x[0][1], KINDS.index(x[0][0]), x[0][2]))
+    return [{"kind": k, "start": a, "end": b, "layer": how} for (k, a, b), how in ordered], [{"kind": UNREAD, "start": a, "end": b} for a, b in sorted(unread)]
 
 
 def spans_of(text: str) -> tuple[list[dict], bool]:
-    """All spans of a document, base ones with an empty layer, and whether the worklist ran to its end."""
-    found = {s: "" for s in scan(text)}
-    seen, todo, budget = {text}, [Layer(text)], UNWRAP_LIMIT
-    while todo:
-        layer = todo.pop()
-        for child in unwrapped(layer):
-            if child.text in seen:
-                continue
-            budget -= len(child.text)
-            if budget < 0:
-                todo = []
-                break
-            seen.add(child.text)
-            todo.append(child)
-            for kind, a, b in scan(child.text):
-                found.setdefault((kind, *child.origin(a, b)), child.how)
-    ordered = sorted(found.items(), key=lambda x: (x[0][1], KINDS.index(x[0][0]), x[0][2]))
-    return [{"kind": k, "start": a, "end": b, "layer": how} for (k, a, b), how in ordered], budget >= 0
+    """All spans of a document, base ones with an empty layer, and whether every run was read whole."""
+    spans, unread = _found(text)
+    return spans, not unread
 
 
 SPANS = pa.struct([("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("layer", pa.string())]))), ("complete", pa.bool_())])
@@ -240,8 +286,13 @@ def _covered(text: str, spans: list[dict]) -> str:
     return "".join([*out, text[last:]])
 
 
+def _redacted(text: str) -> str:
+    spans, unread = _found(text)
+    return _covered(text, sorted([*unread, *spans], key=lambda s: s["start"]))
+
+
 def _redact(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else _covered(t, spans_of(t)[0]) for t in texts.to_pylist()], type=pa.string())
+    return pa.array([None if t is None else _redacted(t) for t in texts.to_pylist()], type=pa.string())
 
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -255,15 +306,16 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def digest(docs: DataFrame, spans: str, kinds: tuple[str, ...]) -> DataFrame:
-    """doc_id, n_<kind> of base spans, base_sha256 and spans. Base spans have an empty layer."""
+def digest(docs: DataFrame, spans: str, kinds: tuple[str, ...], others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_<kind> of base spans, base_sha256, spans and others. Base spans have an empty layer."""
     base = F.filter(F.col(spans), lambda s: s["layer"] == "")
     count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return docs.select("doc_id", *map(count, kinds), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"))
+    return docs.select("doc_id", *map(count, kinds), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"), *others)
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """The digest of every document's secrets."""
+    """The digest of every document's secrets, and complete: whether every run was read whole."""
     own = docs.select("doc_id", "text")
     name = fresh(own, "secrets")
-    return digest(with_secrets(own, out=name).select("doc_id", F.col(name)["spans"].alias("found")), "found", KINDS)
+    found = with_secrets(own, out=name).select("doc_id", F.col(name)["spans"].alias("found"), F.col(name)["complete"].alias("complete"))
+    return digest(found, "found", KINDS, ("complete",))

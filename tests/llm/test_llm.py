@@ -13,6 +13,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,6 +84,34 @@ def test_secret_cycles_end_and_clean_text_stays():
     assert secrets.spans_of(prose(500)) == ([], True)
 
 
+def test_secrets_beside_and_inside_large_layers(spark, monkeypatch):
+    rng = random.Random(2)
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    secret, noise = "password=b7db7aa4a5fcc78305", "".join(rng.choice("abcdefgh .,;") for _ in range(60_000))
+    # windows of a size that a small test reaches
+    monkeypatch.setattr(secrets, "WINDOW", 20_000)
+    monkeypatch.setattr(secrets, "UNWRAP_LIMIT", 100_000, raising=False)
+    bomb = b64(gzip.compress(b"ab, " * 200_000))
+    text = f"{b64(secret)} {bomb} {b64('token=' + 'x9' * 9)}"
+    spans, complete = secrets.spans_of(text)
+    assert complete and {(s["start"] < len(text) // 2, s["kind"]) for s in spans} == {(True, "assign"), (False, "assign")}
+    # a run across the border of windows, of more than OVERLAP characters
+    run = b64(f"{noise[:9_000]} {secret} {noise[:9_000]}")
+    for at in (2_000, 9_000, 15_000, 19_990):
+        spans, complete = secrets.spans_of(b64(gzip.compress(f"{noise[:at]} {run} {noise}".encode())))
+        assert complete and [s["kind"] for s in spans] == ["assign"], at
+    # a run that is too long is told of, and covered
+    monkeypatch.setattr(secrets, "LONGEST_RUN", 50_000)
+    text = f"see {b64(gzip.compress(b'A' * 200_000))} and {b64(secret)}"
+    spans, complete = secrets.spans_of(text)
+    assert not complete and len(spans) == 1
+    assert secrets._redact(pa.array([text])).to_pylist() == ["see [UNREAD] and [ASSIGN]"]
+
+
+def test_secret_report_tells_complete(spark):
+    assert [r["complete"] for r in secrets.secret_report(docs_of(spark, SECRET_TEXTS)).collect()] == [True] * len(SECRET_TEXTS)
+
+
 PII_TEXTS = [None, "", "a@b.c_d@e.f x@y @@", "1.2.3.4.5.6.7.8 256.1.1.1 0255.1.1.1 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (988) 555-2485 +12 +1234567890123456789", "9" * 5000 + "." + "1" * 5000]
 
 
