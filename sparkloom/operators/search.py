@@ -25,15 +25,20 @@ def keyword_search(docs: DataFrame, key: str, text: str, query: list[str], k: in
 
 
 def related_items(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", most: int = 10_000) -> DataFrame:
-    """query, rank, key, score: the k nearest by cosine, exact (score rounded to 6, ties by key). queries are at most `most` rows, which are broadcast."""
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries; give them in blocks")
+    """query, rank, key, score: the k nearest by cosine, exact (score rounded to 6, ties by key). Up to `most` queries are broadcast; more are dealt in blocks of about `most` that meet blocks of vectors."""
     unit = lambda c: F.transform(F.col(c), lambda x: x.cast("double"))
     norm = lambda c: F.sqrt(F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x * x))
     q = queries.select(F.col(key).alias("query"), unit(vector).alias("q")).withColumn("nq", norm("q"))
     v = vectors.select(key, unit(vector).alias("v")).withColumn("nv", norm("v"))
-    packed = q.agg(F.collect_list(F.struct("query", "q", "nq")).alias("all")).withColumn("one", F.lit(1))
-    pairs = v.withColumn("one", F.lit(1)).join(F.broadcast(packed), "one").select(key, "v", "nv", F.explode("all").alias("a")).filter(F.col("a.query") != F.col(key))
+    all_of = F.collect_list(F.struct("query", "q", "nq")).alias("all")
+    if queries.limit(most + 1).count() <= most:
+        met = v.withColumn("one", F.lit(1)).join(F.broadcast(q.agg(all_of).withColumn("one", F.lit(1))), "one")
+    else:
+        blocks, parts = -(-queries.count() // most), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        packed = q.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(all_of).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        dealt = v.withColumns({"part": F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")})
+        met = dealt.join(packed.hint("shuffle_hash"), ["block", "part"])
+    pairs = met.select(key, "v", "nv", F.explode("all").alias("a")).filter(F.col("a.query") != F.col(key))
     dot = F.aggregate(F.zip_with("v", "a.q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.select(F.col("a.query").alias("query"), key, F.round(dot / (F.col("nv") * F.col("a.nq")), 6).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), key)))
