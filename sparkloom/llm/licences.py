@@ -4,10 +4,10 @@ A paragraph is a line. Features are the presence of word uni-, bi- and trigrams
 with an L1 penalty is fitted on the templates, cuttings of them, and paragraphs of the corpus that share no trigram with a
 template (class unknown, at most NEGATIVES). On paragraphs held out from fitting, a temperature is chosen by likelihood,
 and the probability above which a family counts is set so that no held-out unknown paragraph reaches it; below it a paragraph
-is unknown. The prediction is then compared with the family's templates: template_overlap is the largest share of common
-trigrams, of the paragraph's or of a template's; a paragraph that shares none stays unknown, and a prediction is confirmed
-if the share is at least CONFIRM. So a paragraph needs a template's trigram; of each trigram the word that is rarest in the
-sample is an anchor, and lines without an anchor, nearly all, are unknown for certain and aren't scored.
+is unknown; nothing else decides. The prediction is then compared with the family's templates: template_overlap is the
+largest share of common trigrams, of the paragraph's or of a template's, and a prediction is confirmed if the share is at
+least CONFIRM. A family's probability passes the cutoff only if n-grams that speak for it outweigh the bias, so lines
+that hold none of the anchors, words one of which is in every such selection of n-grams, are unknown for certain and aren't scored.
 
 Defined results: null and blank texts have no paragraphs; paragraphs without licence give no row; repeated documents each
 have rows; an empty table gives no rows. Words are split at what isn't a letter or digit, and compared in lower case.
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
     matrix, bias = model.coefficientMatrix.toArray(), list(model.interceptVector.toArray())
     bias += [-30.0] * (len(classes) - len(bias))
     weights = {g: [float(matrix[c][j]) if c < len(matrix) else 0.0 for c in range(len(classes))] for j, g in enumerate(counter.vocabulary) if any(matrix[c][j] for c in range(len(matrix)))}
-    used = F.array_intersect("f", F.array(*map(F.lit, sorted({w for t in template_grams for w in t.split()}))))
+    used = F.array_intersect("f", F.array(*map(F.lit, sorted({w for g in counter.vocabulary for w in g.split()}))))
     seen = {r["w"]: r["n"] for r in ready.filter(F.col("family") == UNKNOWN).select(F.explode(used).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     holdout = [(r["f"], int(r["y"])) for r in ready.filter(held).select("f", "y").collect()]  # bounded by the sample
     logits = [([b + sum(weights[g][c] for g in f if g in weights) for c, b in enumerate(bias)], y) for f, y in holdout]
@@ -135,12 +135,33 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
 
     temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=lambda t: sum(-math.log(max(1e-12, probabilities(z, t)[y])) for z, y in logits)) if logits else 1.0
     worst = max((max(probabilities(z, temperature)[:-1]) for z, y in logits if y == len(classes) - 1), default=0.0)
-    return {"weights": weights, "bias": bias, "classes": classes, "temperature": temperature, "cutoff": min(0.99, max(LEAST, worst)), "anchors": anchors(template_grams, seen)}
-
-
-def anchors(trigrams: list[str], seen: dict[str, int]) -> list[str]:
-    """Of each trigram the word that the sample has least (seen: paragraphs by word), the longer one on ties."""
-    return sorted({min(t.split(), key=lambda w: (seen.get(w, 0), -len(w), w)) for t in trigrams})
+    cutoff = min(0.99, max(LEAST, worst))
+    return {"weights": weights, "bias": bias, "classes": classes, "temperature": temperature, "cutoff": cutoff, "anchors": anchors(weights, bias, temperature, cutoff, seen)}
+
+
+def anchors(weights: dict[str, list[float]], bias: list[float], temperature: float, cutoff: float, seen: dict[str, int]) -> list[str] | None:
+    """Words one of which is in every paragraph that passes the cutoff; None if a paragraph can pass it without any n-gram.
+
+    A family's probability is at most that against unknown alone, so its n-grams must add up to `need` over those of unknown. An n-gram is
+    represented by the word that the sample has least (seen: paragraphs by word), the longer one on ties. Words that the
+    sample has most are left out as long as all n-grams they represent don't add up to `need` for any family.
+    """
+    need = [temperature * math.log(cutoff / (1 - cutoff)) - (b - bias[-1]) - 1e-6 for b in bias[:-1]]
+    if min(need) <= 0:
+        return None
+    sums: dict[str, list[float]] = {}
+    for g, w in weights.items():
+        word = min(g.split(), key=lambda x: (seen.get(x, 0), -len(x), x))
+        own = sums.setdefault(word, [0.0] * len(need))
+        for c in range(len(need)):
+            own[c] += max(0.0, w[c] - w[-1])
+    left, out = need, []
+    for word in sorted(sums, key=lambda x: (-seen.get(x, 0), x)):
+        if all(n > s for n, s in zip(left, sums[word], strict=True)):
+            left = [n - s for n, s in zip(left, sums[word], strict=True)]
+        else:
+            out.append(word)
+    return sorted(out)
 
 
 def scan(docs: DataFrame, text: str = "text", model: dict | None = None) -> DataFrame:
@@ -151,7 +172,9 @@ def scan(docs: DataFrame, text: str = "text", model: dict | None = None) -> Data
     # The tables below are as large as the templates, whatever the corpus.
     weights = spark.createDataFrame([(g, *map(float, w)) for g, w in model["weights"].items()] or [("", *([0.0] * len(names)))], f"gram string, {', '.join(f'w{i} double' for i in range(len(names)))}")
     templates = _templates(spark)
-    near = paragraphs(docs.select("doc_id", F.col(text).alias("text"))).filter(F.arrays_overlap(_split("line"), F.array(*map(F.lit, model["anchors"]))))
+    near = paragraphs(docs.select("doc_id", F.col(text).alias("text")))
+    if model["anchors"] is not None:
+        near = near.filter(F.arrays_overlap(_split("line"), F.array(*map(F.lit, model["anchors"])).cast("array<string>")))
     near = near.withColumns({"row": F.monotonically_increasing_id(), "w": words(F.col("line"))})
     key = ["row", "doc_id", "paragraph"]
     hits = near.select(*key, F.explode(_features(F.col("w"))).alias("gram")).join(F.broadcast(weights), "gram", "left")
@@ -162,9 +185,8 @@ def scan(docs: DataFrame, text: str = "text", model: dict | None = None) -> Data
     best = sums.select(*key, F.array_max(chance).alias("b")).filter(F.col("b.p") > model["cutoff"]).select(*key, "b.family", F.col("b.p").alias("probability"))
     mine = near.join(best, key).select(*key, "family", "probability", F.size(grams(F.col("w"), 3)).alias("own"), F.explode_outer(grams(F.col("w"), 3)).alias("gram"))
     shared = mine.join(F.broadcast(templates), ["family", "gram"], "left").groupBy(*key, "family", "probability", "own", "template").agg(F.count("template").alias("n"), F.first("size").alias("size"))
-    overlap = F.max(F.coalesce(F.greatest(F.col("n") / F.col("own"), F.col("n") / F.col("size")), F.lit(0.0)))
+    overlap = F.max(F.coalesce(F.greatest(F.try_divide("n", "own"), F.try_divide("n", "size")), F.lit(0.0)))
     out = shared.groupBy(*key, "family", "probability").agg(overlap.alias("template_overlap"))
-    out = out.filter(F.col("template_overlap") > 0)
     return out.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("template_overlap", 6).alias("template_overlap"), (F.col("template_overlap") >= CONFIRM).alias("confirmed"))
 
 

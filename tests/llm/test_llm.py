@@ -369,6 +369,20 @@ def test_licences(spark):
     assert all(r["confirmed"] for r in rows)
 
 
+def test_licences_short_and_held_out_lines(spark):
+    lines = {"MIT License": "mit", "License: MIT": "mit", "Licensed under MIT.": "mit", "It is under the GNU General Public License": "gpl-3.0", "sold without a charge": None, "the source of the permission": None, "under": None, "": None}
+    docs = docs_of(spark, [f"{prose(20)}\n{line}\n{prose(9)}" for line in lines])
+    model = licences.fit(docs_of(spark, [prose(80) for _ in range(60)]))
+    rows = [r.asDict() for r in licences.scan(docs, model=model).collect()]
+    assert {(r["doc_id"], r["paragraph"], r["family"]) for r in rows} == {(i, 1, f) for i, f in enumerate(lines.values()) if f}
+    assert all(r["confirmed"] == (r["template_overlap"] >= licences.CONFIRM) for r in rows) and {r["template_overlap"] for r in rows if r["doc_id"] < 3} == {0.0}
+    # lines that the anchors leave out don't pass the cutoff
+    words = sorted({w for g in model["weights"] for w in g.split()})
+    rng = random.Random(6)
+    mixed = docs_of(spark, [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 6))) for _ in range(800)])
+    assert set(licences.scan(mixed, model=model).collect()) == set(licences.scan(mixed, model=model | {"anchors": None}).collect())
+
+
 # Repeats
 
 
