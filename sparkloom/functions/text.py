@@ -9,20 +9,26 @@ from pyspark.sql import functions as F
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row; used inside the lambda of a higher-order function it would be computed for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(text: Column, mode: str = "word") -> Column:
     """Lower-case words; with mode "char", pairs of neighbouring letters and digits, for scripts without spaces. Empty for null."""
     low = F.lower(F.coalesce(text, F.lit("")))
     if mode == "char":
-        run = F.regexp_replace(low, NOT_WORD, "")
-        two = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substr(run, i, F.lit(2)))
-        return F.when(F.length(run) >= 2, two).when(F.length(run) == 1, F.array(run)).otherwise(F.array().cast("array<string>"))
+        two = lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substr(run, i, F.lit(2)))
+        pairs = lambda run: F.when(F.length(run) >= 2, two(run)).when(F.length(run) == 1, F.array(run)).otherwise(F.array().cast("array<string>"))
+        return let(F.regexp_replace(low, NOT_WORD, ""), pairs)
     return F.filter(F.split(low, NOT_WORD), lambda w: w != "")
 
 
 def ngrams(words: Column, n: int) -> Column:
     """The distinct word n-grams, joined by spaces; empty below n words."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return let(words, lambda w: F.when(F.size(w) >= n, F.array_distinct(grams(w))).otherwise(none))
 
 
 def version_parts(version: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.functions.storage import checkpointed
+
 
 def catalog_counts(agents: DataFrame, root: str = "root", category: str = "category") -> DataFrame:
     """root, category, level (0 category, 1 root, 3 all), n."""
@@ -17,10 +19,12 @@ def dependency_reuse(bindings: DataFrame, k: int, key: str = "agent_key", name:
     return bindings.groupBy(name).agg(F.count_distinct(key).alias("n_agents")).orderBy(F.col("n_agents").desc(), name).limit(k)
 
 
-def extract_aggregate(fact: DataFrame, dims: list[tuple[DataFrame, str, str]], keys: list[Column], measures: list[Column], mode: str = "plain") -> DataFrame:
-    """Joins fact to dims ((table, fact's column, table's column), in order) and aggregates measures by keys; mode: plain, rollup, cube."""
+def extract_aggregate(fact: DataFrame, dims: list[tuple[DataFrame, str, str]], keys: list[Column], measures: list[Column], mode: str = "plain", sets: list[list[Column]] | None = None) -> DataFrame:
+    """Joins fact to dims ((table, fact's column, table's column), in order) and aggregates measures by keys; mode: plain, rollup, cube, or sets, which takes the grouping sets."""
     for table, left, right in dims:
         fact = fact.join(table, F.col(left) == F.col(right))
+    if mode == "sets":
+        return fact.groupingSets(sets or [keys], *keys).agg(*measures)
     grouped = {"plain": fact.groupBy, "rollup": fact.rollup, "cube": fact.cube}[mode](*keys)
     return grouped.agg(*measures)
 
@@ -37,10 +41,23 @@ def profile_columns(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def smooth_and_scale(df: DataFrame, part: str, order: list[str], value: str, n: int) -> DataFrame:
-    """Adds moving_average (of the last n rows), min_max and z_score (population) within part; a constant part scales to null."""
-    near = Window.partitionBy(part).orderBy(*order).rowsBetween(-(n - 1), 0)
+    """Adds moving_average (of the last n rows), min_max and z_score (population) within part; a constant part scales to null.
+
+    Rows are dealt by ranges of (part, order), so a large part is many tasks' work; each range gets the n - 1 rows before it.
+    """
+    rows = checkpointed(df.repartitionByRange(part, *order).withColumn("range_of_rows", F.spark_partition_id()))
+    here = Window.partitionBy(part, "range_of_rows")
+    last = rows.withColumn("from_end", F.row_number().over(here.orderBy(*(F.col(c).desc() for c in order)))).filter(F.col("from_end") < n)
+    ends = last.groupBy(part, "range_of_rows").agg(F.sort_array(F.collect_list(F.struct(*order, value))).alias("rows"))
+    ahead = Window.partitionBy(part).orderBy("range_of_rows").rowsBetween(-(n - 1), -1)  # a range has a row at least
+    before = ends.withColumn("before", F.flatten(F.collect_list("rows").over(ahead))) if n > 1 else None
+    every = rows.withColumn("carried", F.lit(False))
+    if before is not None:
+        carried = before.select(part, "range_of_rows", F.explode(F.slice("before", F.greatest(F.size("before") - n + 2, F.lit(1)), n)).alias("r"))
+        every = every.unionByName(carried.select(part, "range_of_rows", "r.*", F.lit(True).alias("carried")), allowMissingColumns=True)
+    near = here.orderBy(*order).rowsBetween(-(n - 1), 0)
     figures = df.groupBy(part).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("mu"), F.stddev_pop(value).alias("sd"))
-    out = df.withColumn("moving_average", F.avg(value).over(near)).join(figures, part)
+    out = every.withColumn("moving_average", F.avg(value).over(near)).filter("not carried").drop("carried", "range_of_rows").join(figures, part)
     scaled = {"min_max": (F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), "z_score": (F.col(value) - F.col("mu")) / F.nullif(F.col("sd"), F.lit(0.0))}
     return out.withColumns(scaled).drop("lo", "hi", "mu", "sd")
 
@@ -64,9 +81,10 @@ def histogram(df: DataFrame, value: str, low: float, high: float, n: int) -> Dat
 def time_buckets(df: DataFrame, ts: str, key: str, unit: str = "day") -> DataFrame:
     """key, bucket, n_rows for every key and every bucket between the first and the last; empty ones have 0."""
     counts = df.groupBy(key, F.date_trunc(unit, ts).alias("bucket")).agg(F.count("*").alias("n_rows"))
-    span = counts.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
-    keys = counts.select(key).distinct().withColumn("one", F.lit(1)).join(span.withColumn("one", F.lit(1)), "one")
-    grid = keys.select(key, F.explode(F.sequence("a", "b", F.expr(f"interval 1 {unit}"))).alias("bucket"))
+    kind = dict(counts.dtypes)["bucket"]
+    span = counts.agg(F.min("bucket").cast("string").alias("a"), F.max("bucket").cast("string").alias("b")).first()  # one row
+    ends = [F.lit(x).cast(kind) for x in span]
+    grid = counts.select(key).distinct().select(key, F.explode(F.sequence(*ends, F.expr(f"interval 1 {unit}"))).alias("bucket"))
     return grid.join(counts, [key, "bucket"], "left").select(key, "bucket", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 

@@ -31,11 +31,19 @@ def flatten_kb_refs(agents: DataFrame, key: str = "agent_key") -> DataFrame:
     return agents.select(key, F.explode("kb_refs").alias("kb_ref"))
 
 
-def facet_filter(agents: DataFrame, **equals) -> DataFrame:
-    """Rows whose columns equal the given values; a list means any of them, a (low, high) tuple a closed range. Pushed down to the scan."""
+def facet_filter(agents: DataFrame, params: dict | None = None, map_column: str = "params", **equals) -> DataFrame:
+    """Rows whose columns equal the given values; a list means any of them, a (low, high) tuple a closed range. Pushed down to the scan.
+
+    params are the same for entries of the map of parameters; they are compared as the type of the value asked for, and a
+    parameter that is missing or of another type doesn't match.
+    """
+    fits = lambda column, value: column.between(*value) if isinstance(value, tuple) else column.isin(value) if isinstance(value, list) else column == value
     for name, value in equals.items():
-        column = F.col(name)
-        agents = agents.filter(column.between(*value) if isinstance(value, tuple) else column.isin(value) if isinstance(value, list) else column == value)
+        agents = agents.filter(fits(F.col(name), value))
+    kinds = {bool: "boolean", int: "long", float: "double"}
+    for name, value in (params or {}).items():
+        one = value[0] if isinstance(value, (tuple, list)) else value
+        agents = agents.filter(fits(F.col(map_column)[name].try_cast(kinds.get(type(one), "string")), value))
     return agents
 
 

@@ -18,9 +18,15 @@ def _long(wide: DataFrame, key: str, rules: dict[str, tuple]) -> DataFrame:
 
 
 def check_structure(packages: DataFrame, key: str = "agent_key", kind: str = "kind") -> DataFrame:
-    """Findings: no manifest fails, no README warns."""
-    has = packages.groupBy(key).agg(*(F.max((F.col(kind) == k).cast("int")).alias(k) for k in ("manifest", "readme")))
-    return _long(has, key, {"manifest_missing": (F.coalesce("manifest", F.lit(0)) == 0, "fail", "agent.json"), "readme_missing": (F.coalesce("readme", F.lit(0)) == 0, "warn", "README.md")})
+    """Findings: no manifest fails, no README warns. With the columns path and file, a file above an agent's folder and a manifest below its top fail too (the first by its path)."""
+    own = packages.filter(F.col(key).isNotNull()) if {"path", "file"} <= {*packages.columns} else packages
+    has = own.groupBy(key).agg(*(F.max((F.col(kind) == k).cast("int")).alias(k) for k in ("manifest", "readme")))
+    missing = _long(has, key, {"manifest_missing": (F.coalesce("manifest", F.lit(0)) == 0, "fail", "agent.json"), "readme_missing": (F.coalesce("readme", F.lit(0)) == 0, "warn", "README.md")})
+    if own is packages:
+        return missing
+    shallow = packages.filter(F.col(key).isNull()).select(F.col("path").alias("agent_key"), F.lit("depth_shallow").alias("rule"), F.lit("fail").alias("severity"), F.col("path").alias("evidence"))
+    deep = own.filter(F.col("file").rlike("/agent\\.json$")).select(F.col(key).alias("agent_key"), F.lit("depth_deep").alias("rule"), F.lit("fail").alias("severity"), F.col("file").alias("evidence"))
+    return missing.unionByName(shallow).unionByName(deep)
 
 
 def check_completeness(agents: DataFrame, required: list[str], key: str = "agent_key") -> DataFrame:

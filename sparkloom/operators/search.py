@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.functions.storage import checkpointed
 from sparkloom.functions.text import ngrams, normalized, tokens
+from sparkloom.operators.deps import small
 
 
 def keyword_search(docs: DataFrame, key: str, text: str, query: list[str], k: int, k1: float = 1.2, b: float = 0.75, mode: str = "word") -> DataFrame:
@@ -24,20 +26,26 @@ def keyword_search(docs: DataFrame, key: str, text: str, query: list[str], k: in
     return counts.select(key, F.round(score, 4).alias("score")).filter("score > 0").orderBy(F.col("score").desc(), key).limit(k)
 
 
-def related_items(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", most: int = 10_000) -> DataFrame:
-    """query, rank, key, score: the k nearest by cosine, exact (score rounded to 6, ties by key). Up to `most` queries are broadcast; more are dealt in blocks of about `most` that meet blocks of vectors."""
+def related_items(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", most: int = 10_000, block: int = 64) -> DataFrame:
+    """query, rank, key, score: the k nearest by cosine, exact (score rounded to 6, ties by key).
+
+    Queries are packed in blocks of about `block`, and every vector meets every block. Up to `most` queries are broadcast; more
+    are dealt to parts, where blocks meet a part of the vectors. Each task keeps only its k best of a query before the shuffle.
+    """
     unit = lambda c: F.transform(F.col(c), lambda x: x.cast("double"))
     norm = lambda c: F.sqrt(F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x * x))
     q = queries.select(F.col(key).alias("query"), unit(vector).alias("q")).withColumn("nq", norm("q"))
     v = vectors.select(key, unit(vector).alias("v")).withColumn("nv", norm("v"))
-    all_of = F.collect_list(F.struct("query", "q", "nq")).alias("all")
-    if queries.limit(most + 1).count() <= most:
-        met = v.withColumn("one", F.lit(1)).join(F.broadcast(q.agg(all_of).withColumn("one", F.lit(1))), "one")
+    asked = queries.count()
+    blocks = max(1, -(-asked // block))
+    packed = q.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("query", "q", "nq")).alias("all"))
+    dealt = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    if asked <= most:
+        met = dealt.join(F.broadcast(packed), "block")
     else:
-        blocks, parts = -(-queries.count() // most), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        packed = q.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(all_of).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        dealt = v.withColumns({"part": F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")})
-        met = dealt.join(packed.hint("shuffle_hash"), ["block", "part"])
+        parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        met = dealt.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).join(packed.hint("shuffle_hash"), ["block", "part"])
     pairs = met.select(key, "v", "nv", F.explode("all").alias("a")).filter(F.col("a.query") != F.col(key))
     dot = F.aggregate(F.zip_with("v", "a.q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.select(F.col("a.query").alias("query"), key, F.round(dot / (F.col("nv") * F.col("a.nq")), 6).alias("score"))
@@ -52,31 +60,51 @@ def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     return hashed.join(groups, "h").select(key, "kept", "group_size")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, n: int, t: float, mode: str = "word") -> DataFrame:
-    """id_a, id_b, similarity: pairs of different n-gram sets with Jaccard similarity of at least t, exact. The smallest key stands for equal sets.
+def _bands(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """h, id, n: the MinHash bands of each set."""
+    least = lambda k: F.array_min(F.transform("g", lambda x: F.xxhash64(F.lit(k), x)))
+    keys = F.array(*(F.xxhash64(F.lit(b), *(least(b * rows + r) for r in range(rows))) for b in range(bands)))
+    return sets.select(F.explode(keys).alias("h"), "id", "n")
+
+
+def _prefixes(sets: DataFrame, t: float) -> DataFrame:
+    """h, id, n: the n-grams by which sets can meet. Rarest come first; a pair shares one of the first size - ceil(t * size) + 1 of either set.
 
-    Prefix filter: n-grams are ordered by how many sets have them, rarest first; a pair shares one of the first
-    size - ceil(t * size) + 1 of either set.
+    N-grams of one set can't be shared, so a set that has fewer than t * size others isn't in a pair.
     """
-    sets = df.select(key, F.array_sort(ngrams(tokens(F.col(text), mode), n)).alias("g")).filter(F.size("g") > 0)
-    sets = sets.groupBy(F.transform("g", lambda x: F.xxhash64(x)).alias("g")).agg(F.min(key).alias("id")).withColumn("n", F.size("g"))
     rows = sets.select("id", "n", F.explode("g").alias("h"))
-    often = rows.groupBy("h").agg(F.count("*").alias("df"))
-    keep = F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1
-    ordered = F.row_number().over(Window.partitionBy("id").orderBy("df", "h"))
-    head = rows.join(often, "h").withColumn("r", ordered).filter(F.col("r") <= keep).filter("df > 1").select("h", "id", "n")
+    often = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    left = rows.join(often, "h")
+    least = F.ceil(F.col("n") * t - 1e-9)
+    ordered, all_of = Window.partitionBy("id").orderBy("df", "h"), Window.partitionBy("id")
+    placed = left.withColumns({"r": F.row_number().over(ordered), "left": F.count("*").over(all_of)})
+    return placed.filter(F.col("r") <= F.col("left") - least + 1).select("h", "id", "n")
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, n: int, t: float, mode: str = "word", approximate: tuple[int, int] | None = None) -> DataFrame:
+    """id_a, id_b, similarity: pairs of different n-gram sets with Jaccard similarity of at least t. The smallest key stands for equal sets.
+
+    Exact by the prefix filter; approximate=(bands, rows) takes pairs that agree in a MinHash band instead, which misses some
+    pairs near t. Similarities are exact either way. N-grams are compared by 64-bit hashes.
+    """
+    hashed = F.array_sort(F.array_distinct(F.transform(ngrams(tokens(F.col(text), mode), n), lambda x: F.xxhash64(x))))
+    every = df.select(F.col(key).alias("id"), hashed.alias("g")).filter(F.size("g") > 0)
+    every = checkpointed(every.withColumns({"n": F.size("g"), "h1": F.xxhash64("g"), "h2": F.xxhash64(F.lit(1), "g")}))
+    first = every.groupBy("h1", "h2").agg(F.min("id").alias("id")).select("id")
+    sets = every.join(first, "id", "left_semi").select("id", "n", "g")
+    head = checkpointed(_bands(sets, *approximate) if approximate else _prefixes(sets, t))
     a, b = head.select("h", F.col("id").alias("id_a"), F.col("n").alias("n_a")), head.select("h", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
     fits = F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b") - 1e-9
-    pairs = a.join(b, (a["h"] == b["h"]) & (F.col("id_a") < F.col("id_b")) & fits).select("id_a", "id_b").distinct()
+    pairs = checkpointed(a.join(b, (a["h"] == b["h"]) & (F.col("id_a") < F.col("id_b")) & fits).select("id_a", "id_b").distinct())
     own = sets.select("id", "g")
     full = pairs.join(own.select(F.col("id").alias("id_a"), F.col("g").alias("ga")), "id_a").join(own.select(F.col("id").alias("id_b"), F.col("g").alias("gb")), "id_b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    similarity = common / (F.size("ga") + F.size("gb") - common)
+    full = full.select("id_a", "id_b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("common"))
+    similarity = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
     return full.select("id_a", "id_b", similarity.alias("similarity")).filter(F.col("similarity") >= t - 1e-12)
 
 
 def overlap_with_corpus(df: DataFrame, key: str, text: str, corpus: DataFrame, corpus_text: str, n: int, mode: str = "word") -> DataFrame:
-    """key, n_shared: texts that share n-word passages with a protected corpus, and how many different ones. The corpus is cut to distinct passages first."""
+    """key, n_shared: texts that share n-word passages with a protected corpus, and how many different ones. The corpus is cut to distinct passages first, which are broadcast up to a checked count."""
     own = df.select(key, F.explode(ngrams(tokens(F.col(text), mode), n)).alias("g")).select(key, F.xxhash64("g").alias("h"))
     theirs = corpus.select(F.explode(ngrams(tokens(F.col(corpus_text), mode), n)).alias("g")).select(F.xxhash64("g").alias("h")).distinct()
-    return own.join(theirs, "h", "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
+    return own.join(small(theirs), "h", "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions.storage import shared_folder
 from sparkloom.operators import aggregates, deps, manifest, prep, review, search, versions
 from sparkloom.plans.schemas import CODE_RULES, LICENCE_RULES, PROMPT_RULES, SENSITIVE_RULES
 from sparkloom.sources import packages
+from sparkloom.streaming import review as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,13 +28,21 @@ def _query(sql: str):
     return add
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
-    return f"{top.rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
+# Sources and sinks
 
 
-# Sources and sinks
+def _hub(spark: SparkSession, documents: DataFrame) -> str:
+    """A hub whose agents are languages; the texts are the files of a skill. Languages are a few."""
+    hub = f"{shared_folder(spark)}/hub"
+    for lang in sorted(r[0] for r in documents.select("lang").distinct().collect()):
+        documents.filter(F.col("lang") == lang).select("text").write.text(f"{hub}/generic/texts/{lang}/skills")
+    return hub
+
+
+@_query("SELECT 'generic' AS root, 'texts' AS category, lang AS agent, 'skill' AS kind, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY ALL")
+def scan_packages(spark, table):
+    files = packages.scan_packages(spark, _hub(spark, table("documents")))
+    return files.groupBy("root", "category", "agent", "kind").agg(F.sum("size").alias("n_bytes"))
 
 
 @_query(
@@ -116,6 +124,13 @@ def facet_filter(spark, table):
     return manifest.facet_filter(table("part"), p_brand=brands, p_size=(5, 30)).select("p_partkey", "p_name")
 
 
+@_query("SELECT event_id, user_id FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY event_type LIMIT 2) AND TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 10 AND 60")
+def facet_params(spark, table):
+    kinds = [r[0] for r in table("events").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
+    agents = table("events").withColumn("params", F.from_json("props", "map<string,string>"))
+    return manifest.facet_filter(agents, {"k": (10, 60)}, event_type=kinds).select("event_id", "user_id")
+
+
 def _titles(customer: DataFrame) -> DataFrame:
     return customer.select("c_custkey", F.concat(F.when(F.col("c_custkey") % 3 == 0, "[new agent] ").otherwise("update "), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("nobody")).alias("title"))
 
@@ -133,8 +148,8 @@ def parse_pr_title(spark, table):
     " CASE WHEN n_nationkey IS NULL AND c_mktsegment = 'BUILDING' THEN '其他' END AS suggestion FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON c_nationkey = n_nationkey"
 )
 def assign_taxonomy(spark, table):
-    segments = table("customer").select("c_mktsegment").distinct()
-    known = table("nation").filter("n_regionkey < 3").select(F.col("n_nationkey").alias("category")).withColumn("one", F.lit(1)).join(segments.select(F.col("c_mktsegment").alias("root")).withColumn("one", F.lit(1)), "one").select("root", "category")
+    segments = [r[0] for r in table("customer").select("c_mktsegment").distinct().collect()]  # a few
+    known = table("nation").filter("n_regionkey < 3").select(F.explode(F.array(*map(F.lit, segments))).alias("root"), F.col("n_nationkey").alias("category"))
     placed = table("customer").select("c_custkey", F.col("c_mktsegment").alias("root"), F.col("c_nationkey").alias("category"))
     return deps.assign_taxonomy(placed, known, ["root", "category"], generic="BUILDING").select("c_custkey", "known", "severity", "suggestion")
 
@@ -146,11 +161,13 @@ def missing_platform_deps(spark, table):
 
 
 @_query(
-    "WITH b AS (SELECT DISTINCT l_partkey AS name FROM lineitem WHERE l_quantity > 49), p AS (SELECT p_partkey AS name FROM part WHERE p_size > 25)"
-    " SELECT coalesce(b.name, p.name) AS name, CASE WHEN b.name IS NULL THEN 'unused' WHEN p.name IS NULL THEN 'not_bundled' ELSE 'ok' END AS status FROM b FULL JOIN p ON b.name = p.name"
+    "WITH b AS (SELECT DISTINCT l_partkey AS name, l_suppkey % 10 AS agent FROM lineitem), p AS (SELECT p_partkey AS name, unnest(range(0, 10)) AS agent FROM part)"
+    " SELECT coalesce(b.name, p.name) AS name, coalesce(b.agent, p.agent) AS agent, CASE WHEN b.name IS NULL THEN 'unused' WHEN p.name IS NULL THEN 'not_bundled' ELSE 'ok' END AS status FROM b FULL JOIN p ON b.name = p.name AND b.agent = p.agent"
 )
 def reconcile_bundles(spark, table):
-    return deps.reconcile_bundles(table("lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("name")), table("part").filter("p_size > 25").select(F.col("p_partkey").alias("name")), ["name"])
+    bound = table("lineitem").select(F.col("l_partkey").alias("name"), (F.col("l_suppkey") % 10).alias("agent"))
+    present = table("part").select(F.col("p_partkey").alias("name"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("agent"))
+    return deps.reconcile_bundles(bound, present, ["name", "agent"])
 
 
 @_query("SELECT c_custkey, c_name AS display_name, true AS matched FROM customer WHERE c_custkey % 6 = 0 UNION ALL SELECT c_custkey, 'nobody', false FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 1")
@@ -187,19 +204,33 @@ def dependency_reuse(spark, table):
     " JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY CUBE (n_name, year(o_orderdate))"
 )
 def extract_aggregate(spark, table):
-    dims = [(table("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year")), "l_orderkey", "o_orderkey"), (table("customer").select("c_custkey", "c_nationkey"), "o_custkey", "c_custkey"), (table("nation").select("n_nationkey", "n_name"), "c_nationkey", "n_nationkey")]
-    revenue = F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")
+    dims, revenue = _sales(table)
     return aggregates.extract_aggregate(table("lineitem"), dims, [F.col("n_name"), F.col("year")], [revenue, F.count("*").alias("n")], "cube")
 
 
+@_query(
+    "SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+    " JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY GROUPING SETS ((n_name), (year(o_orderdate)))"
+)
+def extract_aggregate_sets(spark, table):
+    dims, revenue = _sales(table)
+    keys = [F.col("n_name"), F.col("year")]
+    return aggregates.extract_aggregate(table("lineitem"), dims, keys, [revenue], "sets", [[k] for k in keys])
+
+
+def _sales(table):
+    dims = [(table("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year")), "l_orderkey", "o_orderkey"), (table("customer").select("c_custkey", "c_nationkey"), "o_custkey", "c_custkey"), (table("nation").select("n_nationkey", "n_name"), "c_nationkey", "n_nationkey")]
+    return dims, F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")
+
+
 @_query(
     " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct, CAST(min({c}) AS VARCHAR) AS low, CAST(max({c}) AS VARCHAR) AS high, {f'round(avg({c}), 4)' if number else 'CAST(NULL AS DOUBLE)'} AS mean FROM orders"
-        for c, number in (("o_orderkey", True), ("o_custkey", True), ("o_orderstatus", False), ("o_orderpriority", False))
+        for c, number in (("o_orderkey", True), ("o_custkey", True), ("o_orderstatus", False), ("o_totalprice", True), ("o_orderdate", False), ("o_orderpriority", False))
     )
 )
 def profile_columns(spark, table):
-    return aggregates.profile_columns(table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")).withColumn("mean", F.round("mean", 4))
+    return aggregates.profile_columns(table("orders")).withColumn("mean", F.round("mean", 4))
 
 
 # Windows
@@ -251,10 +282,10 @@ def keyword_search(spark, table):
 
 @_query(
     "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id AS vec_id, round(list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))), 6) AS score"
-    " FROM v q, v WHERE q.vec_id < 10 AND q.vec_id <> v.vec_id) SELECT query, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"
+    " FROM v q, v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id) SELECT query, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"
 )
 def related_items(spark, table):
-    return search.related_items(table("embeddings"), table("embeddings").filter("vec_id < 10"), 5)
+    return search.related_items(table("embeddings"), table("embeddings").filter("vec_id % 100 = 0"), 5)
 
 
 @_query(
@@ -290,6 +321,19 @@ def check_structure(spark, table):
     return review.check_structure(table("lineitem").select(F.col("l_orderkey").alias("agent_key"), kinds.alias("kind")))
 
 
+@_query(
+    "SELECT 'hub/' || lang || '/' || doc_id AS agent_key, 'depth_shallow' AS rule, 'fail' AS severity, 'hub/' || lang || '/' || doc_id AS evidence FROM documents WHERE doc_id % 5 = 0"
+    " UNION ALL SELECT lang || '/' || source || '/' || doc_id, 'depth_deep', 'fail', 'old/agent.json' FROM documents WHERE doc_id % 5 = 1"
+    " UNION ALL SELECT lang || '/' || source || '/' || doc_id, 'manifest_missing', 'fail', 'agent.json' FROM documents WHERE doc_id % 5 IN (1, 2)"
+    " UNION ALL SELECT lang || '/' || source || '/' || doc_id, 'readme_missing', 'warn', 'README.md' FROM documents WHERE doc_id % 5 IN (1, 3, 4)"
+)
+def check_depth(spark, table):
+    names = F.array(*map(F.lit, ("", "old/agent.json", "README.md", "agent.json", "agent.json")))
+    place, file = F.concat_ws("/", F.lit("hub"), "lang", "source", "doc_id"), F.get(names, (F.col("doc_id") % 5).cast("int"))
+    paths = table("documents").select(F.when(F.col("doc_id") % 5 == 0, F.concat_ws("/", F.lit("hub"), "lang", "doc_id")).otherwise(F.concat_ws("/", place, file)).alias("path"))
+    return review.check_structure(packages.classify_paths(paths))
+
+
 @_query(
     "WITH c AS (SELECT conv_id, max(CASE WHEN role = 'system' THEN text END) AS s, max(CASE WHEN role = 'assistant' THEN text END) AS a FROM conversations GROUP BY 1)"
     " SELECT conv_id AS agent_key, 'blank_system_prompt' AS rule, 'fail' AS severity, 'system_prompt' AS evidence FROM c WHERE coalesce(trim(s), '') = '' UNION ALL SELECT conv_id, 'blank_answer', 'fail', 'answer' FROM c WHERE coalesce(trim(a), '') = ''"
@@ -337,6 +381,22 @@ def review_verdict(spark, table):
     return review.review_verdict(docs, [private, licences], tests)
 
 
+@_query(
+    "WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents), f AS ("
+    + " UNION ALL ".join(
+        [f"SELECT lang, 'sensitive_{r}' AS rule, 'fail' AS severity, count(DISTINCT m) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '{p}')) AS m FROM documents) GROUP BY 1" for r, p in SENSITIVE_RULES]
+        + [f"SELECT lang, 'code_{r}', 'unknown', count(*) FROM l WHERE regexp_matches(line, '{p}') GROUP BY 1" for r, p in CODE_RULES]
+        + [f"SELECT lang, 'licence_{r}', '{'warn' if ok else 'unknown'}', 1 FROM documents WHERE regexp_matches(text, '{p}') GROUP BY 1" for r, p, ok in LICENCE_RULES]
+    )
+    + ") SELECT 'generic/texts/' || lang AS agent_key, rule, severity, CAST(n AS BIGINT) AS n FROM f"
+)
+def stream_review(spark, table):
+    landing = _hub(spark, table("documents"))
+    out = f"{shared_folder(spark)}/findings"
+    streaming.stream_review(spark, landing, out, f"{shared_folder(spark)}/progress")
+    return spark.read.parquet(out).groupBy("agent_key", "rule", "severity").agg(F.count_distinct("evidence").alias("n"))
+
+
 @_query(
     "WITH v AS (SELECT conv_id, string_split(text, ' ')[1] AS v FROM conversations WHERE turn = 0), w AS (SELECT conv_id, unnest(regexp_split_to_array(text, '\\s+')) AS t FROM conversations WHERE turn > 0)"
     " SELECT conv_id AS agent_key, coalesce(v IN (SELECT t FROM w WHERE w.conv_id = v.conv_id), false) AS covered FROM v"

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import review
-from sparkloom.plans.schemas import CODE_RULES, PROMPT_RULES, REQUIRED, SENSITIVE_RULES
+from sparkloom.plans.schemas import CODE_RULES, LICENCE_RULES, PROMPT_RULES, REQUIRED, SENSITIVE_RULES
 from sparkloom.sources.packages import classify_paths, parse_manifests
 
 
 def review_files(files: DataFrame) -> DataFrame:
-    """Findings of files (path, content): completeness, prompts, sensitive content, risky code. Each file is judged by itself, so batches add up."""
+    """Findings of files (path, content): completeness, prompts, sensitive content, risky code, licences (a person looks at those that aren't compatible). Each file is judged by itself, so batches add up."""
     placed = classify_paths(files)
     agents = parse_manifests(placed.filter("kind = 'manifest'").select("agent_key", "content"))
     good = agents.filter("status = 'ok'")
     corrupt = agents.filter("status = 'corrupt'").select("agent_key", F.lit("manifest_corrupt").alias("rule"), F.lit("fail").alias("severity"), F.lit("agent.json").alias("evidence"))
     private = review.scan_sensitive(placed.filter("kind in ('manifest', 'readme', 'skill')"), SENSITIVE_RULES, "agent_key", "content")
     risky = review.scan_code(placed.filter("kind in ('skill', 'mcp')"), CODE_RULES, "path", "content")
+    licences = review.detect_licences(placed.filter("kind in ('manifest', 'readme', 'skill', 'mcp')"), LICENCE_RULES, "agent_key", "content")
     keys = F.array_join(F.slice(F.split("path", "/"), 2, 3), "/")
     return (
         review.check_completeness(good, REQUIRED)
@@ -25,6 +26,7 @@ def review_files(files: DataFrame) -> DataFrame:
         .unionByName(corrupt)
         .unionByName(private.select("agent_key", F.concat(F.lit("sensitive_"), "rule").alias("rule"), F.lit("fail").alias("severity"), F.col("match").alias("evidence")))
         .unionByName(risky.select(keys.alias("agent_key"), F.concat(F.lit("code_"), "rule").alias("rule"), F.lit("unknown").alias("severity"), F.concat_ws(":", "path", "line_no").alias("evidence")))
+        .unionByName(licences.select("agent_key", F.concat(F.lit("licence_"), "licence").alias("rule"), F.when(F.col("compatible"), "warn").otherwise("unknown").alias("severity"), F.col("licence").alias("evidence")))
     )
 
 

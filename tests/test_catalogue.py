@@ -137,3 +137,41 @@ def test_related_items_in_blocks(spark):
     at_once = {tuple(r) for r in search.related_items(vectors, asked, 4).collect()}
     assert len(at_once) == 240
     assert {tuple(r) for r in search.related_items(vectors, asked, 4, most=7).collect()} == at_once
+
+
+def test_near_duplicates_by_bands(spark):
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words[:100], "new", *words[101:]]), " ".join(reversed(words)), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    exact = {tuple(r) for r in search.near_duplicates(docs, "id", "t", 3, 0.8).collect()}
+    assert {r[:2] for r in exact} == {(0, 1)}
+    assert {tuple(r) for r in search.near_duplicates(docs, "id", "t", 3, 0.8, approximate=(20, 3)).collect()} == exact
+
+
+def test_smoothing_across_ranges(spark):
+    from sparkloom.operators import aggregates
+
+    rows = [("a", i, float(i * i % 17)) for i in range(300)] + [("b", 1, 2.0), ("b", 2, None), ("c", 5, 1.0)]
+    df = spark.createDataFrame(rows, "p string, o int, v double")
+    for n in (1, 4, 120):
+        got = {(r["p"], r["o"]): r["moving_average"] for r in aggregates.smooth_and_scale(df, "p", ["o"], "v", n).collect()}
+        assert len(got) == len(rows)
+        for p, o, _ in rows:
+            near = [v for q, k, v in rows if q == p and k <= o][-n:]
+            known = [v for v in near if v is not None]
+            assert (got[p, o] is None) if not known else abs(got[p, o] - sum(known) / len(known)) < 1e-9
+
+
+def test_exact_median(spark):
+    import statistics
+
+    for values in ([], [None], [3.0], [1.0, 2.0], [5.0] * 50 + [1.0, None, 9.0], [float(i * 37 % 101) for i in range(100)]):
+        known = [v for v in values if v is not None]
+        got = prep.median(spark.createDataFrame([(v,) for v in values], "v double"), "v")
+        assert got == (statistics.median(known) if known else None)
+
+
+def test_facets_of_parameters(spark):
+    agents = spark.createDataFrame([(1, {"k": "5", "m": "x"}), (2, {"k": "n"}), (3, None), (4, {"k": "50"})], "id int, params map<string,string>")
+    ids = lambda **kw: {r["id"] for r in manifest.facet_filter(agents, **kw).collect()}
+    assert ids(params={"k": (1, 9)}) == {1} and ids(params={"m": "x"}) == {1} and ids(params={"k": [5, 50]}) == {1, 4} and ids(params={"k": 5}, id=4) == set()
