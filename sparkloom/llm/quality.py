@@ -1,17 +1,20 @@
 """Quality rules whose cutoffs are chosen under a guaranteed limit of false rejections (DataFrame functions only).
 
-A document is rejected by the fixed base rules, or because one of RULES measures more on it than its stratum's
-cutoff. Cutoffs come from labelled holdouts. For a rule and a stratum with n good holdout documents, a cutoff that
-rejects k of them is admitted if the exact (Clopper-Pearson) binomial test of "the false rejection rate exceeds
-alpha_r" rejects at level delta_r: P(Bin(n, alpha_r) <= k) <= delta_r. Cutoffs are tried from the loosest to the
-tightest, and k only grows that way, so fixed-sequence testing needs no correction within a rule; delta is divided
-by strata x rules (Bonferroni), and alpha by the number of rules, so that all rules of a stratum together reject
-at most alpha of its good documents, in all strata at once, with probability 1 - delta.
+A document is rejected by the fixed base rules, or because its rarity is below its stratum's cutoff. A rule's tail at a document
+is the share of the stratum's documents (those that pass the base rules) that measure as much or more; rarity is the
+least tail of the RULES, in millionths, so one number orders the documents from the oddest on, and needs no labels.
+The cutoff comes from labelled holdouts. With n good holdouts in a stratum, a cutoff that rejects k of them is admitted if the
+exact (Clopper-Pearson) binomial test of "the false rejection rate exceeds alpha" rejects: P(Bin(n, alpha) <= k) <= delta
+/ strata. Cutoffs are tried from the loosest to the tightest, and k only grows that way, so fixed-sequence testing needs no
+correction within a stratum; across strata delta is divided (Bonferroni). So with probability 1 - delta, in all strata
+at once, the cutoff rejects at most alpha of the good documents that pass the base rules; what base rules reject is
+no part of this promise. Holdouts must be a random sample of the stratum's good documents.
 
 Defined results: a null text has no words and fails the base rules; a null stratum is a stratum of its own; a
-stratum with too few good holdouts gets no cutoff, so only the base rules hold there; repeated labels of a document
-count as one (good only if all are good); labels without a document, or with null values, are ignored; repeated
-documents each get a row. Columns of the input that clash with a measure's name are replaced in the result.
+stratum with too few good holdouts gets no cutoff (at alpha 0.01 and four strata that is below 436), so only the base rules
+hold there; repeated labels of a document count as one (good only if all are good); labels without a document, or with null
+values, are ignored; repeated documents each get a row; an empty table gives no rows. Columns of the input that
+clash with a measure's name are replaced in the result.
 """
 
 from __future__ import annotations
@@ -39,8 +42,9 @@ RULES = {
 #: Cutoffs run from 0 to STEPS thousandths; larger measures count as STEPS.
 STEPS = 1000
 ALPHA, DELTA = 0.01, 0.05
-#: Tables of cutoffs with more strata than this are joined by a shuffle.
-MAX_BROADCAST_STRATA = 10_000
+MILLION = 1_000_000
+#: Tables of tails and cutoffs, and keys of rejected rows, are broadcast up to this count, else shuffled.
+MAX_BROADCAST = 500_000
 
 
 def _repeat_words(w: Column) -> Column:
@@ -109,56 +113,66 @@ def critical(n: Column, alpha: float, delta: Column) -> Column:
     return F.aggregate(ks, start, step, lambda a: a["best"])
 
 
-def cutoffs(labelled: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row a stratum with a cutoff_<rule> for each rule, null where none is admitted. labelled: measures of good holdout documents."""
-    long = labelled.select(stratum, F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _level(r).alias("level")) for r in RULES))).alias("x")).select(stratum, "x.*")
-    counts = long.groupBy(stratum, "rule", "level").agg(F.count("*").alias("c"))  # at most STEPS + 2 rows for a stratum and rule
-    by = Window.partitionBy(stratum, "rule")
-    tally = counts.withColumns(
-        {
-            "n": F.sum("c").over(by),
-            "rejected": F.sum("c").over(by.orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, 0)),
-        }
-    )
-    strata = labelled.agg(F.greatest(F.count_distinct(F.coalesce(F.col(stratum), F.lit("\0"))), F.lit(1)).alias("strata"))
-    sizes = tally.groupBy(stratum, "rule").agg(F.first("n").alias("size")).join(F.broadcast(strata))  # one row
-    limits = sizes.withColumn("most", critical(F.col("size"), alpha / len(RULES), F.lit(delta) / (F.col("strata") * len(RULES))))
-    # A cutoff between two levels that occur rejects as many as the upper one; the tightest admitted lies just above the first level that is too much.
-    joined = tally.join(limits.withColumnsRenamed({stratum: "stratum_of", "rule": "rule_of"}), F.col(stratum).eqNullSafe(F.col("stratum_of")) & (F.col("rule") == F.col("rule_of")))
-    picked = joined.groupBy(stratum, "rule").agg(F.max(F.when(F.col("rejected") > F.col("most"), F.col("level"))).alias("over"), F.max("most").alias("most"))
-    picked = picked.withColumn("cutoff", F.when(F.col("most") >= 0, F.coalesce(F.col("over"), F.lit(-1)) + 1))
-    return picked.groupBy(stratum).agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cutoff_{r}") for r in RULES))
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its count is within the bound."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
+def with_rarity(figures: DataFrame, stratum: str) -> DataFrame:
+    """figures (measures, base_failed) with rarity. At most STEPS + 1 tails a stratum and rule are counted, joined and held."""
+    sizes = figures.filter("not base_failed").groupBy(stratum).agg(F.count("*").alias("size"))
+    long = figures.filter("not base_failed").select(stratum, F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), _level(r).alias("level")) for r in RULES))).alias("x")).select(stratum, "x.*")
+    counts = long.filter("level >= 0").groupBy(stratum, "rule", "level").agg(F.count("*").alias("c"))
+    above = Window.partitionBy(stratum, "rule").orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    tails = counts.withColumn("tail", F.sum("c").over(above)).join(sizes.withColumnRenamed(stratum, "of"), F.col(stratum).eqNullSafe(F.col("of")))
+    tails = checkpointed(tails.select(F.col(stratum).alias("of"), "rule", "level", F.expr(f"{MILLION} * tail div size").alias("share")))
+    out, shares = figures, []
+    for i, r in enumerate(RULES):
+        own = tails.filter(F.col("rule") == r).select(F.col("of").alias(f"of_{i}"), F.col("level").alias(f"level_{i}"), F.col("share").alias(f"share_{i}"))
+        out = out.join(_few(own), out[stratum].eqNullSafe(own[f"of_{i}"]) & (_level(r) == own[f"level_{i}"]), "left")
+        shares.append(F.coalesce(f"share_{i}", F.lit(MILLION)))
+    return out.withColumn("rarity", F.least(*shares)).drop(*(f"{c}_{i}" for c in ("of", "level", "share") for i in range(len(RULES))))
+
+
+def cutoffs(good: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum, cutoff: the least rarity that stays, for each stratum with an admitted cutoff. good: rarity of good holdouts."""
+    counts = checkpointed(good.groupBy(stratum, "rarity").agg(F.count("*").alias("c")))  # at most rules * (STEPS + 1) + 1 rows a stratum
+    strata = max(1, counts.select(F.coalesce(F.col(stratum).cast("string"), F.lit("\0"))).distinct().count())
+    by = Window.partitionBy(stratum)
+    tally = counts.withColumns({"n": F.sum("c").over(by), "below": F.coalesce(F.sum("c").over(by.orderBy("rarity").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    limits = tally.groupBy(stratum).agg(F.first("n").alias("n")).select(F.col(stratum).alias("of"), critical(F.col("n"), alpha, F.lit(delta / strata)).alias("most"))
+    admitted = tally.join(limits.filter("most >= 0"), F.col(stratum).eqNullSafe(F.col("of"))).filter("below <= most")
+    return admitted.groupBy(stratum).agg(F.max("rarity").alias("cutoff"))
 
 
 def _good(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min(F.expr("quality = 1 and toxic = 0")).alias("good")).filter("good").select("doc_id")
 
 
-def _verdict(measured: DataFrame, limits: DataFrame, stratum: str) -> DataFrame:
-    limits = checkpointed(limits)
-    mine = fresh(measured, "stratum_of")
-    limits = limits.withColumnRenamed(stratum, mine)
-    if limits.count() <= MAX_BROADCAST_STRATA:
-        limits = F.broadcast(limits)
-    passed = F.lit(True)
-    for r in RULES:
-        passed = passed & F.coalesce(_level(r) < F.col(f"cutoff_{r}"), F.lit(True))
-    out = measured.join(limits, measured[stratum].eqNullSafe(limits[mine]), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & passed).drop(mine, *(f"cutoff_{r}" for r in RULES))
+def _judged(figures: DataFrame, labels: DataFrame, stratum: str, alpha: float, delta: float) -> DataFrame:
+    """figures with rarity, cutoff (null: none) and kept."""
+    scored = with_rarity(figures, stratum)
+    limits = checkpointed(cutoffs(scored.filter("not base_failed").join(_good(labels), "doc_id", "left_semi"), stratum, alpha, delta).withColumnRenamed(stratum, "stratum_of"))
+    out = scored.join(_few(limits), scored[stratum].eqNullSafe(limits["stratum_of"]), "left").drop("stratum_of")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("rarity") >= F.col("cutoff"), F.lit(True)))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """doc_id, the measures, base_failed and kept of every document. Texts are measured once; only the figures are stored for the second reading."""
-    own = docs.select("doc_id", stratum, "text")
-    figures = checkpointed(measures(own).select("doc_id", stratum, *MEASURES, "base_failed"))
-    good = figures.filter("not base_failed").join(_good(labels), "doc_id", "left_semi")
-    return _verdict(figures, cutoffs(good, stratum, alpha, delta), stratum)
+    """doc_id, the measures, base_failed, rarity, cutoff and kept of every document. Texts are measured once; only the figures are stored for the further readings."""
+    own = docs.select("doc_id", F.col(stratum).alias("stratum"), "text")
+    figures = checkpointed(measures(own).select("doc_id", "stratum", *MEASURES, "base_failed"))
+    return _judged(figures, labels, "stratum", alpha, delta).withColumnRenamed("stratum", stratum)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The documents that the rules keep, with their own columns. Only labelled documents are measured twice; no text is shuffled but theirs."""
-    own = docs.select("doc_id", stratum, "text")
-    good = measures(own).select("doc_id", stratum, *MEASURES, "base_failed").filter("not base_failed").join(_good(labels), "doc_id", "left_semi")
-    limits = cutoffs(good, stratum, alpha, delta)
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(stratum).alias("stratum"), F.col("text").alias("text"))
-    return _verdict(measures(packed), limits.withColumnRenamed(stratum, "stratum"), "stratum").filter("kept").select("row.*")
+    """The documents that the rules keep, with their own columns.
+
+    Texts are measured once, into a table of figures keyed by two hashes of the row's id, stratum and text; the second reading
+    only hashes them and leaves out the keys of rejected rows.
+    """
+    row = F.struct(F.col("doc_id").alias("i"), F.col(stratum).alias("s"), F.col("text").alias("t"))
+    keyed = docs.select("doc_id", F.col(stratum).alias("stratum"), "text", F.xxhash64(row).alias("k1"), F.xxhash64(F.lit(1), row).alias("k2"))
+    figures = checkpointed(measures(keyed).select("doc_id", "stratum", "k1", "k2", *MEASURES, "base_failed"))
+    gone = checkpointed(_judged(figures, labels, "stratum", alpha, delta).filter("not kept").select("k1", "k2").distinct())
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(row).alias("k1"), F.xxhash64(F.lit(1), row).alias("k2"))
+    return packed.join(_few(gone), ["k1", "k2"], "left_anti").select("row.*")

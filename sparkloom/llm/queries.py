@@ -80,7 +80,6 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d
 _RULES_SQL = " UNION ALL ".join(
     f"SELECT doc_id, lang, base_failed, '{r}' AS rule, CASE WHEN {a} > 0 AND {b} > 0 THEN least((1000 * {a} - 1) // ({b}), {quality.STEPS}) ELSE -1 END AS level FROM m" for r, (a, b) in quality.RULES.items()
 )
-_ALPHA = quality.ALPHA / len(quality.RULES)
 
 QUALITY_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
@@ -93,16 +92,19 @@ f AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_
   coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(string_split(text, chr(10))) AS n_lines FROM d LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
 m AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f),
 v AS ({_RULES_SQL}),
+tail AS (SELECT lang, rule, level, sum(count(*)) OVER (PARTITION BY lang, rule ORDER BY level DESC) AS tail FROM v WHERE NOT base_failed AND level >= 0 GROUP BY lang, rule, level),
+total AS (SELECT lang, count(*) AS n FROM m WHERE NOT base_failed GROUP BY 1),
+share AS (SELECT tail.lang, rule, level, CAST({quality.MILLION} * tail AS BIGINT) // n AS share FROM tail JOIN total ON tail.lang = total.lang),
+s AS (SELECT doc_id, v.lang, v.base_failed, min(coalesce(share, {quality.MILLION})) AS rarity FROM v LEFT JOIN share ON v.lang = share.lang AND v.rule = share.rule AND v.level = share.level GROUP BY 1, 2, 3),
 good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0 END) = 1),
-hold AS (SELECT lang, rule, level FROM v JOIN good USING (doc_id) WHERE NOT base_failed),
-size AS (SELECT lang, rule, count(*) AS n, (SELECT greatest(1, count(DISTINCT lang)) FROM hold) AS strata FROM hold GROUP BY ALL),
-k AS (SELECT lang, rule, n, strata, unnest(range(0, CAST(floor(n * {_ALPHA}) AS BIGINT) + 1)) AS k FROM size),
-tail AS (SELECT *, sum(exp(lgamma(n + 1) - (CASE WHEN k > 0 THEN lgamma(k + 1) ELSE 0 END) - (CASE WHEN n > k THEN lgamma(n - k + 1) ELSE 0 END) + k * ln({_ALPHA}) + (n - k) * ln(1 - {_ALPHA}))) OVER (PARTITION BY lang, rule ORDER BY k) AS p FROM k),
-most AS (SELECT lang, rule, coalesce(max(CASE WHEN p <= {quality.DELTA} / (strata * {len(quality.RULES)}) THEN k END), -1) AS most FROM tail GROUP BY ALL),
-rej AS (SELECT lang, rule, level, sum(count(*)) OVER (PARTITION BY lang, rule ORDER BY level DESC) AS rejected FROM hold GROUP BY lang, rule, level),
-cut AS (SELECT lang, rule, CASE WHEN max(most) >= 0 THEN coalesce(max(CASE WHEN rejected > most THEN level END), -1) + 1 END AS cutoff FROM rej JOIN most USING (lang, rule) GROUP BY ALL),
-ok AS (SELECT doc_id, bool_and(coalesce(level < cutoff, true)) AS passed FROM v LEFT JOIN cut USING (lang, rule) GROUP BY 1)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND passed AS kept FROM m JOIN ok USING (doc_id)
+hold AS (SELECT lang, rarity FROM s JOIN good USING (doc_id) WHERE NOT base_failed),
+size AS (SELECT lang, count(*) AS n, (SELECT greatest(1, count(DISTINCT lang)) FROM hold) AS strata FROM hold GROUP BY ALL),
+k AS (SELECT lang, n, strata, unnest(range(0, CAST(floor(n * {quality.ALPHA}) AS BIGINT) + 1)) AS k FROM size),
+prob AS (SELECT *, sum(exp(lgamma(n + 1) - (CASE WHEN k > 0 THEN lgamma(k + 1) ELSE 0 END) - (CASE WHEN n > k THEN lgamma(n - k + 1) ELSE 0 END) + k * ln({quality.ALPHA}) + (n - k) * ln(1 - {quality.ALPHA}))) OVER (PARTITION BY lang ORDER BY k) AS p FROM k),
+most AS (SELECT lang, max(k) AS most FROM prob WHERE p <= {quality.DELTA} / strata GROUP BY 1),
+rej AS (SELECT lang, rarity, sum(count(*)) OVER (PARTITION BY lang ORDER BY rarity) - count(*) AS below FROM hold GROUP BY lang, rarity),
+cut AS (SELECT rej.lang, max(rarity) AS cutoff FROM rej JOIN most ON rej.lang = most.lang WHERE below <= most GROUP BY 1)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, m.base_failed, NOT m.base_failed AND coalesce(rarity >= cutoff, true) AS kept FROM m JOIN s USING (doc_id) LEFT JOIN cut ON m.lang = cut.lang
 """
 
 ORACLE_SQL: dict[str, str] = {"op4_top_k": topk.ORACLE, "op6_ngram_jaccard": JACCARD_SQL, "op9_chat_format": chat.ORACLE, "op10_quality_rules": QUALITY_SQL}
