@@ -5,7 +5,8 @@ minimizer). So the text falls into segments, runs of windows with one anchor, ab
 
 1. Each chunk of a partition lists its segments (anchor, hash of the segment's bytes, place); copies inside the chunk are
    settled at once. The rest are dealt by anchor. Segments equal to an earlier one are repeats in all their windows.
-   Anchors that belong to one segment can't hold a repeat and go; that's most of the text.
+   Different segments can share a window only if they agree in half of its other bytes, on one side of the anchor; segments that
+   agree with none go, and that's most of the text.
 2. Different segments with one anchor may share some windows. Their bytes are fetched, dealt by anchor, and the
    suffixes of these texts are sorted by the difference-cover algorithm: triples of symbols at positions 1 and 2 modulo 3
    are sorted and named, the names are sorted by recursion, the remaining suffixes are sorted by their first symbol
@@ -25,7 +26,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ from sparkloom.llm.common import bounded_batches, checkpointed
 WIDTH, GRAM = 100, 16
 #: Bytes that are looked at together, and sorted together.
 CHUNK, SORT_CHUNK = 1_000_000, 400_000
-MOST_SEGMENTS = 2_000
+MOST_SEGMENTS, MOST_HELD = 2_000, 500_000
 #: Anchors are broadcast up to this count, else shuffled.
 MAX_BROADCAST = 500_000
 
@@ -68,16 +68,56 @@ def _window_minima(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def segments(data: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, windows) of each segment of data."""
+_BASE = np.uint64(0xD1342543DE82EF95)
+_BACK = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
+_powers: list[np.ndarray] = []
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """_BASE to the powers 0 to n - 1, and its inverse."""
+    if not _powers or len(_powers[0]) < n:
+        with np.errstate(over="ignore"):
+            _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, x, np.uint64)])) for x in (_BASE, _BACK)]
+    return _powers
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return x ^ (x >> np.uint64(29))
+
+
+def segments(data: bytes, width: int = WIDTH) -> tuple[np.ndarray, ...]:
+    """(anchor, first window, windows, body, sides) of each segment of data.
+
+    body is a hash of the segment's bytes, never REPEAT. A window has half of what it holds beside the anchor on the left or on
+    the right of it; sides are 16-bit hashes of that many bytes on either side (left in the high half), 0 where no window
+    of the segment reaches that far. Segments that share a window share a side.
+    """
     if len(data) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 5
     h = _gram_hashes(np.frombuffer(data, np.uint8))
     low = np.uint64(0xFFFFFFFF)
     least = _window_minima((h & ~low) | np.arange(len(h), dtype=np.uint64), width - GRAM + 1)
     at = (least & low).astype(np.int64)
     first = np.flatnonzero(np.diff(at, prepend=-1))
-    return h[at[first]].view(np.int64), first, np.diff(first, append=len(at))
+    many = np.diff(first, append=len(at))
+    place, last = at[first], first + many - 1
+    with np.errstate(over="ignore"):
+        up, down = _power(max(len(h), CHUNK + width))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)])])
+        body = _mixed((sums[last + width - GRAM + 1] - sums[first]) * down[first] + many.astype(np.uint64)) | np.uint64(1)
+        side = -(-(width - GRAM) // 2)
+        if side < GRAM:
+            return h[place].view(np.int64), first, many, body.view(np.int64), np.full(len(first), 0x10001, np.int64)
+        parts = [*range(0, side - GRAM, GRAM), side - GRAM]
+
+        def of(start: np.ndarray, able: np.ndarray) -> np.ndarray:
+            start = np.where(able, start, 0)
+            x = sum((h[start + k] * up[k + 1] for k in parts), np.zeros(len(start), np.uint64))
+            return np.where(able, np.maximum(_mixed(x) >> np.uint64(48), np.uint64(1)), np.uint64(0)).astype(np.int64)
+
+        left, right = of(place - side, place - first >= side), of(place + GRAM, last + width - (place + GRAM) >= side)
+    return h[place].view(np.int64), first, many, body.view(np.int64), left << 16 | right
 
 
 def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -95,7 +135,7 @@ def _start(place):
     return (place >> 8) & 0xFFFFFFFF
 
 
-ROW = "anchor long, body long, doc long, place long"
+ROW = "anchor long, body long, doc long, place long, sides int"
 REPEAT = 0
 
 
@@ -103,18 +143,18 @@ def _listed(width: int):
     """Of batches (doc_id, text): the chunk's segments, and as body REPEAT those that repeat one of the same chunk, dealt at random."""
 
     def emit(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        anchor, body, place = (np.concatenate([r[k] for r in rows]) for k in (1, 2, 3))
+        anchor, body, place, sides = (np.concatenate([r[k] for r in rows]) for k in (1, 2, 3, 4))
         doc = np.concatenate([np.full(len(r[1]), r[0], np.int64) for r in rows])
         order = np.lexsort((place, doc, body, anchor))
-        anchor, body, doc, place = anchor[order], body[order], doc[order], place[order]
+        anchor, body, doc, place, sides = anchor[order], body[order], doc[order], place[order], sides[order]
         other = np.ones(len(order), bool)
         other[1:] = (anchor[1:] != anchor[:-1]) | (body[1:] != body[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
-        anchor, body, doc, place = anchor[other], body[other], doc[other], place[other]  # without those of a document that is there twice
+        anchor, body, doc, place, sides = anchor[other], body[other], doc[other], place[other], sides[other]  # without those of a document that is there twice
         again = np.zeros(len(anchor), bool)
         again[1:] = (anchor[1:] == anchor[:-1]) & (body[1:] == body[:-1])
         place_of = doc * 31 + place
-        anchor[again], body[again] = place_of[again], REPEAT
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (anchor, body, doc, place)], ["anchor", "body", "doc", "place"])
+        anchor[again], body[again], sides[again] = place_of[again], REPEAT, 0
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (anchor, body, doc, place)), pa.array(sides.astype(np.uint32).view(np.int32))], ["anchor", "body", "doc", "place", "sides"])
 
     def run(batches):
         rows, size = [], 0
@@ -125,12 +165,8 @@ def _listed(width: int):
                 doc = -(2**63) if doc is None else doc
                 for at in range(0, max(0, len(data) - width + 1), CHUNK):
                     part = data[at : at + CHUNK + width - 1]
-                    anchor, first, many = segments(part, width)
-                    view = memoryview(part)
-                    ends = (first + many + width - 1).tolist()
-                    body = np.array([xxhash.xxh3_64_intdigest(view[a:b]) | 1 for a, b in zip(first.tolist(), ends, strict=True)], np.uint64).view(np.int64)
-                    # low bit set: never REPEAT
-                    rows.append((doc, anchor, body, _place(np.int64(check), first + at, many)))
+                    anchor, first, many, body, sides = segments(part, width)
+                    rows.append((doc, anchor, body, _place(np.int64(check), first + at, many), sides))
                     size += len(part)
                     if size >= CHUNK:
                         yield emit(rows)
@@ -142,15 +178,36 @@ def _listed(width: int):
 
 
 def _settled(batches):
-    """Of rows sorted by anchor, body, doc, place: repeats (kind 0), and the first of each different segment of an anchor with several (kind 1)."""
-    last, held, several = None, None, 0
-
-    def out(found):
-        cols = list(zip(*found, strict=True)) if found else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["kind", "anchor", "doc", "place", "others"])
+    """Of rows sorted by anchor, body, doc, place: repeats (kind 0), and the first of each different segment of an anchor that has a side in common with another (kind 1).
+
+    Whole anchors are looked at together; of one with more than MOST_HELD different segments, which isn't held whole, all count.
+    """
+    last, held, open_anchor = None, [], None
+
+    def again(anchor: np.ndarray, side: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            key = _mixed(anchor.view(np.uint64) + side.astype(np.uint64) * _BASE)
+        _, place, counts = np.unique(key, return_inverse=True, return_counts=True)
+        return (side > 0) & (counts[place] > 1)
+
+    def out(gone: list[np.ndarray], whole: list[np.ndarray]) -> pa.RecordBatch:
+        anchor, doc, place, sides = whole
+        if len(anchor):
+            keep = again(anchor, sides >> 16 & 0xFFFF) | again(anchor, (sides & 0xFFFF) | np.where(sides & 0xFFFF, 0x10000, 0))
+            if open_anchor is not None:
+                keep |= anchor == open_anchor
+            anchor, doc, place = anchor[keep], doc[keep], place[keep]
+            start = np.flatnonzero(np.diff(anchor, prepend=~anchor[:1]) != 0)
+            number = np.arange(len(anchor)) - np.repeat(start, np.diff(start, append=len(anchor))) + 1 if len(anchor) else anchor
+        else:
+            anchor, doc, place, number = (np.zeros(0, np.int64),) * 4
+        n, m = len(gone[0]), len(anchor)
+        columns = [np.repeat([0, 1], [n, m]), *(np.concatenate(x) for x in ((np.zeros(n, np.int64), anchor), (gone[0], doc), (gone[1], place), (np.zeros(n, np.int64), number)))]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["kind", "anchor", "doc", "place", "others"])
 
+    none = [np.zeros(0, np.int64)] * 4
     for batch in batches:
-        anchor, body, doc, place = (batch.column(k).to_numpy() for k in range(4))
+        anchor, body, doc, place, sides = (batch.column(k).to_numpy() for k in range(5))
         if not len(anchor):
             continue
         same_anchor = np.zeros(len(anchor), bool)
@@ -166,18 +223,21 @@ def _settled(batches):
         last = (anchor[-1], body[-1], doc[-1], place[-1])
         # a segment at the same place is of a document that is there twice
         gone = (body == REPEAT) | same_body & ~same_place
-        found = [(0, 0, d, p, 0) for d, p in zip(doc[gone].tolist(), place[gone].tolist(), strict=True)]
-        new = np.flatnonzero((body != REPEAT) & ~same_body)
-        # the first segment of an anchor is held back until a second one shows
-        for i in new.tolist():
-            if same_anchor[i] and held is not None and held[0] == anchor[i]:
-                if several == 1:
-                    found.append((1, *held, 0))
-                several += 1
-                found.append((1, int(anchor[i]), int(doc[i]), int(place[i]), several))
-            else:
-                held, several = (int(anchor[i]), int(doc[i]), int(place[i])), 1
-        yield out(found)
+        new = (body != REPEAT) & ~same_body
+        held.append([anchor[new], doc[new], place[new], sides[new].view(np.uint32).astype(np.int64)])
+        size = sum(len(x[0]) for x in held)
+        if size < 100_000:
+            yield out([doc[gone], place[gone]], none)
+            continue
+        every = [np.concatenate(x) for x in zip(*held, strict=True)]
+        # the last anchor may go on
+        cut = int(np.flatnonzero(every[0] != every[0][-1])[-1]) + 1 if every[0][0] != every[0][-1] else 0
+        if not cut and size > MOST_HELD:
+            cut, open_anchor = size, every[0][0]
+        yield out([doc[gone], place[gone]], [x[:cut] for x in every])
+        held = [[x[cut:] for x in every]]
+    if held:
+        yield out([np.zeros(0, np.int64)] * 2, [np.concatenate(x) for x in zip(*held, strict=True)])
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:

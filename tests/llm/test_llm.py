@@ -497,3 +497,27 @@ def test_exact_binomial(spark):
     for n in (5, 300, 1000, 4000):
         got = spark.range(1).select(quality.critical(F.lit(n).cast("long"), 0.02, F.lit(0.01)).alias("k")).first()["k"]
         assert got == largest(n, 0.02, 0.01)
+
+
+def test_suffix_dedup_of_a_common_line(spark, monkeypatch):
+    """One passage in every document, in other surroundings: its anchors aren't held whole."""
+    monkeypatch.setattr(suffixes, "MOST_HELD", 5)
+    rng, passage = random.Random(12), prose(40, random.Random(13))
+    rows = [(i % 90, f"{prose(rng.randrange(30), rng)} {passage[rng.randrange(30) : len(passage) - rng.randrange(30)]} {prose(rng.randrange(30), rng)}") for i in range(90)]
+    got = {tuple(r) for r in suffixes.repeat_report(docs_of(spark, [t for _, t in rows]).repartition(5)).collect()}
+    assert got == brute_repeats(rows, 100)
+
+
+def test_segments_that_share_a_window_share_a_side():
+    rng = random.Random(21)
+    for _ in range(60):
+        passage = prose(40, rng).encode()[rng.randrange(20) :]
+        texts = [prose(20, rng).encode() + passage[rng.randrange(60) : len(passage) - rng.randrange(60)] + prose(20, rng).encode() for _ in range(2)]
+        seen = []
+        for t in texts:
+            anchor, first, many, body, sides = suffixes.segments(t)
+            seen.append({t[s : s + 100]: (a, side, t[f : f + m + 99], b) for a, f, m, b, side in zip(anchor.tolist(), first.tolist(), many.tolist(), body.tolist(), sides.tolist()) for s in range(f, f + m)})
+        for w in seen[0].keys() & seen[1].keys():
+            (a, x, bytes_a, body_a), (b, y, bytes_b, body_b) = seen[0][w], seen[1][w]
+            assert a == b and (bytes_a == bytes_b) == (body_a == body_b)
+            assert (x >> 16 == y >> 16 > 0) or (x & 0xFFFF == y & 0xFFFF > 0)
