@@ -6,7 +6,8 @@ one match of the split pattern at a time; tables of what was seen before, kept f
 at CACHE entries, save most calls. Texts arrive in Arrow batches. Ids map back to bytes by the inverse byte
 table, so a character whose bytes lie in two tokens is put together again before UTF-8 is decoded.
 
-Defined results: null counts as an empty text, which has no ids. Repeated rows each get a row.
+Defined results: null counts as an empty text, which has no ids. Repeated rows each get a row; an empty table gives none.
+A column of the input that has the name of the new one is replaced.
 """
 
 from __future__ import annotations
@@ -61,7 +62,13 @@ class Codec(RunEncoder):
         self.characters = str.maketrans({chr(b): c for b, c in enumerate(characters)})
         self.split = regex.compile(pattern)
         self.by_space = pattern.endswith(r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")  # what is said above about spaces holds for this pattern
-        self.tokens = {r: t for t, r in ranks.items()}
+        self.shown = {r: shown[t] for t, r in ranks.items()}
+        self.sizes = np.zeros(max(self.shown, default=-1) + 1, np.int64)
+        for t, r in ranks.items():
+            self.sizes[r] = len(t)
+        self.bytes_of = np.zeros(512, np.uint8)  # the byte table's inverse
+        for b, c in enumerate(characters):
+            self.bytes_of[ord(c)] = b
 
     def merged(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin-1").translate(self.characters)
@@ -80,15 +87,16 @@ class Codec(RunEncoder):
         return b"".join(map(self.piece_ids, self.split.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
+        """The ids' characters, put together, and each mapped back to its byte."""
+        characters = "".join(map(self.shown.__getitem__, memoryview(ids).cast("I")))
+        return self.bytes_of[np.frombuffer(characters.encode("utf-16-le"), np.uint16)].tobytes()
 
-    def offsets(self, text: str, ids: bytes) -> list[tuple[int, int]]:
-        """Of each id the code points of text that its bytes touch, end exclusive; two ids that share a character both have it."""
-        sizes = np.array([len(self.tokens[i]) for i in memoryview(ids).cast("I")], dtype=np.int64)
+    def offsets(self, data: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of the code points of the text, given as UTF-8, that each id's bytes touch, end exclusive; two ids that share a character both have it."""
+        sizes = self.sizes[np.frombuffer(ids, np.uint32)]
         ends = np.cumsum(sizes)
-        starts_of_characters = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
-        character = np.cumsum(starts_of_characters) - 1
-        return list(zip(character[ends - sizes].tolist(), (character[ends - 1] + 1).tolist(), strict=True)) if len(ids) else []
+        character = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1
+        return (character[ends - sizes], character[ends - 1] + 1) if len(ids) else (ends, ends)
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -110,8 +118,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
         own, rows = codec(path, pattern), []
         for t in texts.to_pylist():
             ids = own.encode(t or "")
-            spans = own.offsets(t or "", ids)
-            rows.append({"ids": list(memoryview(ids).cast("I")), "starts": [a for a, _ in spans], "ends": [b for _, b in spans]})
+            starts, ends = own.offsets((t or "").encode(), ids)
+            rows.append({"ids": list(memoryview(ids).cast("I")), "starts": starts.tolist(), "ends": ends.tolist()})
         return pa.array(rows, type=kind)
 
     return docs.withColumn(out, F.arrow_udf(column, "struct<ids:array<int>,starts:array<int>,ends:array<int>>")(F.col(text)))
@@ -129,15 +137,17 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", out: st
 
 
 def round_trip_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of the ids and of the bytes decoded from them."""
+    """doc_id, n_tokens, the SHA-256 of the ids and of the bytes decoded from them, and n_split: ids that begin inside a character, by their offsets."""
     bounded_batches(docs.sparkSession, 4096)
-    kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_split", pa.int64())])
 
     def column(texts: pa.Array) -> pa.Array:
         own, rows = codec(path, pattern), []
         for ids in own.encode_batch([t or "" for t in texts.to_pylist()]):
-            rows.append({"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(own.decode(ids)).hexdigest()})
+            data = own.decode(ids)
+            starts, ends = own.offsets(data, ids)
+            rows.append({"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(data).hexdigest(), "n_split": int((starts[1:] < ends[:-1]).sum())})
         return pa.array(rows, type=kind)
 
-    report = F.arrow_udf(column, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    report = F.arrow_udf(column, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string,n_split:bigint>")
     return docs.select("doc_id", report("text").alias("r")).select("doc_id", "r.*")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions.storage import shared_top
+
 #: Blanks between words: the character class [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -19,11 +20,10 @@ def bounded_batches(spark: SparkSession, rows: int = 256, size: str = "8m") -> N
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a copy in the shared folder that spark.checkpoint.dir names; a folder of our own only if unset."""
+    """Cuts the lineage with a copy in the shared folder that spark.checkpoint.dir names; one of our own only in local mode, if unset."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sparkloom-"))
+        context.setCheckpointDir(shared_top(df.sparkSession))
     out = df.checkpoint(eager=True)
     del df
     # Shuffle files go once nothing refers to their plans; the cleaner learns of that from the driver's garbage collection.

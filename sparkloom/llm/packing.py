@@ -9,6 +9,7 @@ are at most length * (1 + ln length) steps. Pieces of one length are numbered ac
 common length doesn't meet in one task), and a piece's number tells its bin and place.
 
 Defined results: null counts as an empty text, whose only id is the end id. A repeated row is packed as a row of its own.
+An empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations

@@ -1,13 +1,16 @@
 """Secret scan: base patterns over the whole text, then a worklist that unwraps nested encodings and scans each layer.
 
 A layer is a text with a way back to its parent. Unwrapping a layer gives children: the text with its URL escapes
-decoded, the text with its Unicode escapes decoded, and for each base64 run (or run of escaped bytes) the text in it,
-inflated first where its bytes begin like gzip, zlib, zstd, bzip2 or xz data. A worklist goes on until no layer gives
+decoded, the text with its Unicode escapes decoded, the text with its HTML character references decoded, and for each base64
+run (or run of escaped bytes) the text in it, inflated first where its bytes begin like gzip, zlib, zstd, bzip2 or xz data.
+A base64 run may have letters, a path or a name before it: compressed data is looked for behind every mark, and
+printable stretches at all four alignments. A worklist goes on until no layer gives
 a new text; a text seen before in the document is not taken again, which ends cycles. What is found in a layer is
 mapped back through the parents to code points of the document.
 
 Defined results: null counts as an empty text; spans are ordered by start, kind, end and are distinct; base spans are
-those of the document itself and always stay. Inflated data is read in windows of about WINDOW code points that overlap by
+those of the document itself and always stay. Repeated rows each get a row; an empty table gives none; a column of the input that
+has the name of the new one is replaced. Inflated data is read in windows of about WINDOW code points that overlap by
 OVERLAP; a run that crosses the border is carried whole into the next window. Layers that wait hold about WINDOW code
 points, and of texts seen only digests are kept, so memory stays bounded; the work isn't, it grows with what a document
 decodes to. Only a run of over LONGEST_RUN code points in inflated data is read in parts: the document has complete = false,
@@ -17,10 +20,10 @@ and redaction covers the whole stretch that the run comes from.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import codecs
 import hashlib
+import html
 import lzma
 import re
 import zlib
@@ -41,11 +44,15 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # maximal runs, so the same matches as of AKIA[A-Z0-9]+ with 16+ characters
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")  # likewise
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
-_ONE = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|[uUx]([0-9A-Fa-f]+))")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{60,}(?:\r?\n[A-Za-z0-9+/]+)+|[A-Za-z0-9+/_-]{16,})={0,2}")
+_UNICODE = re.compile(r"(?:[\\%]u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
+_ONE = re.compile(r"[\\%](?:u\{([0-9A-Fa-f]+)\}|[uUx]([0-9A-Fa-f]+))")
+_HTML = re.compile(r"(?:&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)+")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{16,}(?:\r?\n[A-Za-z0-9+/]+)+|[A-Za-z0-9+/_-]{16,})={0,2}")
+#: Bytes that a stretch of printable ones has at least.
+_PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+_MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"\x28\xb5\x2f\xfd", b"BZh", b"\xfd7zXZ\x00")
 #: What a border of windows must not cut; of assignments also the beginnings.
-_RUNS = (_BASE64, _URL, _UNICODE, _ACCESS, _HEX, re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*(?:[:=]\x20*["']?)?[A-Za-z0-9+/_.=-]*""", re.I | re.A))
+_RUNS = (_BASE64, _URL, _UNICODE, _HTML, _ACCESS, _HEX, re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*(?:[:=]\x20*["']?)?[A-Za-z0-9+/_.=-]*""", re.I | re.A))
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -205,21 +212,49 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
     text = layer.text
     if "%" in text:
         yield from _escaped(layer, "url", _URL, _from_url)
-    if "\\" in text:
+    if "\\" in text or "%u" in text:
         yield from _escaped(layer, "unicode", _UNICODE, _from_unicode)
+    if "&" in text:
+        yield from _escaped(layer, "html", _HTML, _from_html)
     for m in _BASE64.finditer(text):
-        body = re.sub(r"[\r\n]", "", m[0].rstrip("=")).replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
+        yield from _from_base64(layer, m)
+
+
+def _from_html(run: str) -> tuple[str | None, None]:
+    out = html.unescape(run)
+    return (out, None) if out != run else (None, None)
+
+
+def _bytes_of(body: str) -> bytes:
+    """What base64 characters hold; a single one at the end holds nothing."""
+    size = len(body) - (len(body) % 4 == 1)
+    return base64.b64decode(body[:size] + "=" * (-size % 4))
+
+
+def _from_base64(layer: Layer, m: re.Match) -> Iterator[Layer]:
+    """The children from one run: its whole text or compressed data, what is compressed behind a mark, and printable stretches at each alignment."""
+    marked = re.sub(r"[\r\n]", "", m[0].rstrip("="))
+    body, one_line = marked.replace("-", "+").replace("_", "/"), "\n" not in m[0]
+
+    def pieces(at: int, first: int, size: int) -> list[tuple[int, int, int]]:
+        # each group of 4 characters from at on holds 3 bytes
+        if not one_line:
+            return [(0, *m.span())]
+        starts = [0, *range(3 - first % 3, size, 3)]
+        return [(k, a := m.start() + at + (first + k) // 3 * 4, min(m.end(), a + 4)) for k in starts if k < size]
+
+    for at in [0, *(x.end() for x in re.finditer(r"[-_/+]", marked))]:
+        if at and not _bytes_of(body[at : at + 8]).startswith(_MAGIC):
             continue
+        data = _bytes_of(body[at:])
         for how, inner in _texts(data):
-            plain = how == "bytes" and len(inner) == len(data) and "\n" not in m[0]
-            # each group of 4 characters holds 3 bytes
-            pieces = [(k, m.start() + k // 3 * 4, min(m.end(), m.start() + k // 3 * 4 + 4)) for k in range(0, len(inner), 3)] if plain else [(0, *m.span())]
-            yield Layer(inner, layer, pieces, {"bytes": "base64", UNREAD: UNREAD}.get(how, "base64/inflate"))
+            own = pieces(at, 0, len(inner)) if how == "bytes" and len(inner) == len(data) else [(0, *m.span())]
+            yield Layer(inner, layer, own, {"bytes": "base64", UNREAD: UNREAD}.get(how, "base64/inflate"))
+    for at in range(4):
+        data = _bytes_of(body[at:])
+        for s in _PRINTABLE.finditer(data):
+            if at or len(s[0]) < len(data):
+                yield Layer(s[0].decode("ascii"), layer, pieces(at, s.start(), len(s[0])), "base64")
 
 
 def _digest(text: str) -> bytes:

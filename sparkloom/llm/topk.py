@@ -25,6 +25,8 @@ DIMENSIONS = 16
 #: Rows of a block: candidates are dealt to about TASKS blocks within these limits.
 TASKS, FEWEST, MOST_CANDIDATES, MOST_QUERIES = 24, 2_000, 100_000, 20_000
 EXACT = float(2**53)
+#: Products of queries and candidates that are held at once.
+PRODUCT = 8_000_000
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
@@ -41,10 +43,12 @@ def _bests(q: np.ndarray, own: np.ndarray, v: np.ndarray, rows: np.ndarray, ids:
     cuts = [*range(0, d, DIMENSIONS), d]
     rest_v = [np.sqrt(np.square(vertical[c:]).sum(0)) for c in cuts[1:]]
     rest_q = [np.sqrt(np.square(q[:, c:]).sum(1)) for c in cuts[1:]]
-    first = q[:, : cuts[1]] @ vertical[: cuts[1]]
+    step = max(1, PRODUCT // max(1, len(ids)))
     at = {int(r): i for i, r in enumerate(rows)}
     for i in range(len(q)):
-        alive, part = np.arange(len(ids)), first[i]
+        if i % step == 0:
+            first = q[i : i + step, : cuts[1]] @ vertical[: cuts[1]]
+        alive, part = np.arange(len(ids)), first[i % step]
         if int(own[i]) in at:
             alive = np.delete(alive, at[int(own[i])])
             part = part[alive]

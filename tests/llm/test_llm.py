@@ -521,3 +521,85 @@ def test_segments_that_share_a_window_share_a_side():
             (a, x, bytes_a, body_a), (b, y, bytes_b, body_b) = seen[0][w], seen[1][w]
             assert a == b and (bytes_a == bytes_b) == (body_a == body_b)
             assert (x >> 16 == y >> 16 > 0) or (x & 0xFFFF == y & 0xFFFF > 0)
+
+
+SECRET = "password=b7db7aa4a5fcc78305"
+
+
+@pytest.mark.parametrize("before", ["path/", "key-", "a", "ab", "abc", "x/yz-", "data:text;base64,", "_"])
+@pytest.mark.parametrize("kind", ["plain", "gzip"])
+def test_secrets_in_base64_behind_other_characters(before, kind):
+    raw = SECRET.encode() if kind == "plain" else gzip.compress(SECRET.encode())
+    if kind == "gzip" and before[-1].isalpha():
+        return  # compressed data has no mark of where it begins then
+    text = f"see {before}{base64.b64encode(raw).decode()} end"
+    spans, complete = secrets.spans_of(text)
+    assert complete and any(s["kind"] == "assign" and s["layer"] for s in spans)
+    assert all(4 <= s["start"] < s["end"] <= len(text) - 4 for s in spans)
+
+
+@pytest.mark.parametrize("form", ["%u{:04x}", "&#{};", "&#x{:x};", "\\x{:02x}", "\\u{{{:x}}}"])
+def test_secrets_in_other_escapes(form):
+    text = "see " + "".join(form.format(ord(c)) for c in SECRET) + " end"
+    spans, _ = secrets.spans_of(text)
+    assert [(s["kind"], s["start"], s["end"]) for s in spans] == [("assign", 4, len(text) - 4)]
+
+
+@pytest.mark.parametrize("width", [20, 40, 64, 76])
+def test_secrets_in_wrapped_base64(width):
+    data = base64.b64encode(f"some words before {SECRET} and after, to fill more lines of it".encode()).decode()
+    text = "see\n" + "\n".join(data[i : i + width] for i in range(0, len(data), width)) + "\nend of it"
+    assert any(s["kind"] == "assign" for s in secrets.spans_of(text)[0])
+
+
+def test_secrets_in_every_compression():
+    import bz2
+    import lzma
+
+    import zstandard
+
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        text = f"{prose(5)} {base64.b64encode(pack(SECRET.encode())).decode()} {prose(5)}"
+        spans, complete = secrets.spans_of(text)
+        assert complete and [s["kind"] for s in spans] == ["assign"]
+
+
+def test_secret_spans_map_to_the_characters_that_hold_them():
+    for pad in range(3):
+        inner = "y" * pad + f"zz zzzzzzzz; {SECRET}"
+        text = f"see {base64.b64encode(inner.encode()).decode()} end"
+        (span,) = secrets.spans_of(text)[0]
+        at = inner.index("password")
+        assert (span["start"], span["end"]) == (4 + at // 3 * 4, 4 + (len(inner) - 1) // 3 * 4 + 4)
+
+
+def test_secret_report_of_odd_tables(spark):
+    rows = [(1, SECRET, "a", 1)] * 3 + [(None, SECRET, "b", 2), (2, prose(30_000) + " " + SECRET, "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, secrets string, spans int")
+    got = secrets.secret_report(docs).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter({1: 3, None: 1, 2: 1}) and {r["n_assign"] for r in got} == {1}
+    assert secrets.redact_secrets(docs).columns == docs.columns
+
+
+def test_top_k_in_several_blocks(spark, monkeypatch):
+    rng = random.Random(19)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(18)]) for i in range(400)]
+    large = [(i, [float(rng.randrange(-(2**29), 2**29)) for _ in range(4)]) for i in range(60)]
+    for name, value in (("FEWEST", 40), ("MOST_CANDIDATES", 90), ("MOST_QUERIES", 3), ("PRODUCT", 100)):
+        monkeypatch.setattr(topk, name, value)
+    for own, scale in ((rows, 256), (large, 1)):  # the second goes beyond exact doubles
+        good = [(i, [math.floor(scale * x) for x in v]) for i, v in own]
+        want = set()
+        for q, a in good:
+            if q % 50 == 0:
+                scores = sorted((-min(2**63 - 1, max(-(2**63), sum(x * y for x, y in zip(a, b, strict=True)))), i) for i, b in good if i != q)
+                want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])}
+        got = topk.search(spark.createDataFrame(own, "vec_id long, embedding array<double>"), "vec_id % 50 = 0", scale=scale).collect()
+        assert {tuple(r) for r in got} == want
+
+
+def test_bpe_of_odd_tables(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert bpe.round_trip_report(docs_of(spark, []), path, public_tokenizers.PATTERN).count() == 0
+    rows = {r["doc_id"]: r for r in bpe.round_trip_report(docs_of(spark, ["plain words", "🎉🎉𒀀", None]), path, public_tokenizers.PATTERN).collect()}
+    assert rows[0]["n_split"] == 0 and rows[1]["n_split"] > 0 and rows[2]["n_tokens"] == 0
