@@ -6,7 +6,6 @@ but the last give the columns of documents. Documents with a null text fail the
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.shipping import ship
+from sparkloom.functions.storage import shared_top
 from sparkloom.llm import jaccard, packing, quality, secrets, suffixes
 
 
@@ -58,8 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; each result is written below the shared checkpoint folder and read again."""
     ship(spark)
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
-    folder = f"{top.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_top(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
