@@ -11,8 +11,8 @@ first, those of more than HEAVY_SHARE of the documents last.
   share a column there. To begin with, every class is paired only with one other: each column has a centre, the class with the
   least of its own, and of its columns' centres a class takes the one it shares most columns with; in a group of near copies that
   is what they were made from, and links found so make components. Then overlap counts of pairs from different
-  components are accumulated over the columns of the heads, for pairs whose sizes and places in the order allow the
-  similarity, and a pair goes if its count and the rest of the sets can't reach the bound.
+  components are accumulated over the columns of the heads, for pairs that meet early enough in the order, by their sizes, to
+  reach the similarity, and a pair goes if its count and the rest of the sets can't reach the bound.
 - Other blocks: overlap counts of the remaining pairs are accumulated over ranges of columns, and a pair is dropped as soon
   as its overlap so far and what is left can't reach the bound.
 
@@ -326,10 +326,16 @@ def _rooted(own: DataFrame, surveyed: DataFrame, n: int, percent: int) -> DataFr
     # A linked pair's shared columns before this one are at most the smaller place, those from here on at most the smaller rest.
     most = F.least("place_a", "place_b") + F.least(F.col("left_a") - F.col("place_a"), F.col("left_b") - F.col("place_b"))
     able = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (most >= need)
-    met = side("a").join(side("b"), "g").filter((F.col("root_a") < F.col("root_b")) & able)
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("got"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    # Common columns that aren't in both heads lie behind the head that ends first: n' less its length, ceil(t * n) - 1.
-    across = counted.filter(F.col("got") + F.expr(f"({percent} * greatest(n_a, n_b) + 99) div 100") - 1 >= need)
+    # Common columns that aren't in both heads lie behind the head that ends first, in a tail of n' less its length, ceil(t * n) - 1. So a
+    # linked pair shares at least `least` columns of the heads, and the first of them has least - 1 more behind it in either head.
+    tail = lambda n: F.expr(f"({percent} * {n} + 99) div 100 - 1")
+    least = need - tail("greatest(n_a, n_b)")
+    early = lambda x: F.col(f"place_{x}") + least <= F.col(f"left_{x}") - tail(f"n_{x}")
+    met = side("a").join(side("b"), "g").filter((F.col("root_a") < F.col("root_b")) & able & early("a") & early("b"))
+    pairs = checkpointed(met.select("a", "b", least.alias("least")).distinct())
+    own = heads.select("g", "class")
+    shared = pairs.join(own.withColumnRenamed("class", "a"), "a").join(own.withColumnRenamed("class", "b"), ["b", "g"])
+    across = shared.groupBy("a", "b", "least").agg(F.count("*").alias("got")).filter("got >= least")
     roots = connected_components(links.unionByName(_linked(checkpointed(across.select("a", "b")), alive, percent)))
     return classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
 

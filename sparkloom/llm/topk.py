@@ -67,9 +67,10 @@ def _bests(q: np.ndarray, own: np.ndarray, v: np.ndarray, rows: np.ndarray, ids:
 
 def _bests_of_integers(q, own, v, rows, ids, k):
     """The same for numbers beyond exact doubles."""
-    whole = v.astype(object)
+    integers = lambda m: np.array([list(map(int, r)) for r in m.tolist()], object).reshape(m.shape)
+    whole, asked = integers(v), integers(q)
     for i in range(len(q)):
-        scores = whole @ q[i].astype(object)
+        scores = whole @ asked[i]
         ranked = sorted((-int(s), int(ids[j]), j) for j, s in enumerate(scores) if rows[j] != own[i])
         for s, _, j in ranked[:k]:
             yield i, j, max(min(-s, 2**63 - 1), -(2**63))

@@ -603,3 +603,20 @@ def test_bpe_of_odd_tables(spark):
     assert bpe.round_trip_report(docs_of(spark, []), path, public_tokenizers.PATTERN).count() == 0
     rows = {r["doc_id"]: r for r in bpe.round_trip_report(docs_of(spark, ["plain words", "🎉🎉𒀀", None]), path, public_tokenizers.PATTERN).collect()}
     assert rows[0]["n_split"] == 0 and rows[1]["n_split"] > 0 and rows[2]["n_tokens"] == 0
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_of_edits_around_one_text(spark, monkeypatch, n, percent):
+    """Copies with their own edits, added and cut ends, in small chunks and ranges; some link only to each other."""
+    monkeypatch.setattr(jaccard, "CHUNK", 1_000)
+    rng = random.Random(31)
+    base, texts = prose(100, rng).split(), []
+    for k in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            words[rng.randrange(len(words))] = rng.choice(VOCABULARY)
+        cut, more = rng.randrange(0, 14), rng.randrange(0, 10)
+        texts.append(" ".join([*(prose(more, rng).split() if k % 3 else []), *words[cut if k % 2 else 0 :]]))
+    texts += [prose(rng.randrange(1, 12), rng) for _ in range(30)]
+    got = {tuple(r) for r in jaccard.components(docs_of(spark, texts).repartition(3), n, percent).collect()}
+    assert got == brute_components(texts, n, percent)
