@@ -1,10 +1,12 @@
 """Licence scan by paragraph: sparse word n-gram logistic regression, a calibrated unknown class, template comparison (DataFrame functions only).
 
-A paragraph is a line. Features are the presence of word uni-, bi- and trigrams of TEMPLATES. Multinomial logistic regression
-with an L1 penalty is fitted on the templates, cuttings of them, and paragraphs of the corpus that share no trigram with a
-template (class unknown, at most NEGATIVES). On paragraphs held out from fitting, a temperature is chosen by likelihood,
-and the probability above which a family counts is set so that no held-out unknown paragraph reaches it; below it a paragraph
-is unknown; nothing else decides. The prediction is then compared with the family's templates: template_overlap is the
+A paragraph is a line, put together with the next one where a long line breaks inside a sentence. Features are the presence of
+word uni-, bi- and trigrams of TEMPLATES. Multinomial logistic regression with an L1 penalty is fitted on the templates,
+cuttings of them, and paragraphs of the corpus that share no trigram with a template (class unknown, at most NEGATIVES).
+Calibration is by cross-fitting: wordings (with all their cuttings) and unknown paragraphs fall into FOLDS, and each is judged by a
+model that saw none of its fold. On these judgements a temperature is chosen by likelihood, and the probability above which
+a family counts is set so that at most FALSE_SHARE of the unknown paragraphs reach it; below it a paragraph is unknown; nothing
+else decides. The model in use is fitted on all folds. The prediction is then compared with the family's templates: template_overlap is the
 largest share of common trigrams, of the paragraph's or of a template's, and a prediction is confirmed if the share is at
 least CONFIRM. A family's probability passes the cutoff only if n-grams that speak for it outweigh the bias, so lines
 that hold none of the anchors, words one of which is in every such selection of n-grams, are unknown for certain and aren't scored.
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import checkpointed
 
-NEGATIVES, CONFIRM, LEAST = 1_500, 0.5, 0.6
+NEGATIVES, CONFIRM, LEAST, FOLDS, FALSE_SHARE = 1_500, 0.5, 0.6, 3, 0.001
+#: A line break inside a sentence: behind a line of 40 characters or more without a closing mark, before a small letter, digit or bracket.
+_WRAPPED = r"\n(?<=[^\n]{40}[^.!?:;\s]\n)(?=[a-z0-9(])"
 UNKNOWN = "unknown"
 #: Usual wordings of licence notices, by family.
 TEMPLATES = {
@@ -32,12 +36,16 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "Released under the Apache License 2.0.",
+        "Distributed under the terms of the Apache License, Version 2.0.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "mit": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
+        "Distributed under the MIT License. See LICENSE for more information.",
+        "This software is available under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
     ],
@@ -45,21 +53,30 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Released under the GNU GPL, version 3.",
+        "Distributed under the terms of the GNU General Public License v3.0.",
+        "This software is licensed under the GPLv3.",
+        "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-only",
     ],
     "cc-by-nc-4.0": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Released under the CC BY-NC 4.0 license.",
+        "Distributed under a Creative Commons BY-NC 4.0 licence.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
     "bsd-3-clause": [
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Released under the BSD 3-Clause License.",
+        "Distributed under the terms of the 3-clause BSD license.",
     ],
     "cc-by-4.0": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Released under the CC BY 4.0 license.",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ],
 }
 FAMILIES = sorted(TEMPLATES)
@@ -83,19 +100,20 @@ def _features(w: Column) -> Column:
 
 
 def _examples(spark: SparkSession) -> DataFrame:
-    """family and line: templates, their first and last halves if long, and their quotation inside other words."""
+    """family, line and wording (the template it is from): templates, their beginnings if long, and their quotation inside other words."""
     rows = []
     for family, lines in TEMPLATES.items():
         for line in lines:
             parts = line.split()
-            rows += [(family, line), (family, f"Notice: {line}"), (family, f"{line} All rights reserved.")]
-            rows += [(family, " ".join(parts[:-2]))] * (len(parts) > 8) + [(family, " ".join(parts[: 2 * len(parts) // 3]))] * (len(parts) > 14)
-    return spark.createDataFrame(rows, "family string, line string")
+            cuts = [line, f"Notice: {line}", f"{line} All rights reserved."]
+            cuts += [" ".join(parts[:-2])] * (len(parts) > 8) + [" ".join(parts[: 2 * len(parts) // 3])] * (len(parts) > 14)
+            rows += [(family, cut, line) for cut in cuts]
+    return spark.createDataFrame(rows, "family string, line string, wording string")
 
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, paragraph (from 0) and line of each line that isn't blank."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.col(text), "\n")).alias("paragraph", "line"))
+    """doc_id, paragraph (from 0) and line of each paragraph that isn't blank."""
+    lines = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace(text, _WRAPPED, " "), "\n")).alias("paragraph", "line"))
     return lines.filter(F.btrim("line") != "")
 
 
@@ -110,23 +128,31 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
     lines = paragraphs(texts, text).select(F.lit(UNKNOWN).alias("family"), F.substring("line", 1, 400).alias("line")).withColumn("w", words(F.col("line")))
     others = lines.filter(~F.arrays_overlap(grams(F.col("w"), 3), F.array(*map(F.lit, template_grams)))).orderBy(F.xxhash64("line"), "line").limit(NEGATIVES)
     plain = spark.createDataFrame([(UNKNOWN, x) for x in ("the work of this program", "a copy of the software is free", "version 3 of the terms", "you may use this file", "")], "family string, line string").withColumn("w", words(F.col("line")))
-    data = known.unionByName(others).unionByName(plain).select("family", "line", _features(F.col("w")).alias("f"))
+    unknown = others.unionByName(plain).withColumn("wording", F.col("line"))
+    data = known.unionByName(unknown).select("family", "line", "wording", _features(F.col("w")).alias("f"))
     counter = CountVectorizer(inputCol="f", outputCol="x", binary=True, minDF=1.0).fit(known.select(_features(F.col("w")).alias("f")))
     classes = [*FAMILIES, UNKNOWN]
     label = F.array_position(F.array(*map(F.lit, classes)), F.col("family")) - 1
     size = F.when(F.col("family") == UNKNOWN, 1.0).otherwise(5.0)
-    ready = counter.transform(data).select("family", "line", "f", "x", label.cast("double").alias("y"), size.alias("size"))
+    fold = F.pmod(F.xxhash64("wording"), F.lit(FOLDS)).cast("int")
+    ready = counter.transform(data).select("family", "line", "f", "x", label.cast("double").alias("y"), size.alias("size"), fold.alias("fold"))
     ready = checkpointed(ready.coalesce(1))  # a bounded sample
-    held = F.pmod(F.xxhash64("line"), F.lit(4)) == 0
-    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="size", regParam=0.002, elasticNetParam=1.0, family="multinomial", maxIter=40, standardization=False)
-    model = model.fit(ready.filter(~held | (F.col("family") != UNKNOWN)))
-    matrix, bias = model.coefficientMatrix.toArray(), list(model.interceptVector.toArray())
-    bias += [-30.0] * (len(classes) - len(bias))
-    weights = {g: [float(matrix[c][j]) if c < len(matrix) else 0.0 for c in range(len(classes))] for j, g in enumerate(counter.vocabulary) if any(matrix[c][j] for c in range(len(matrix)))}
+
+    def fitted(rows: DataFrame) -> tuple[dict[str, list[float]], list[float]]:
+        solver = LogisticRegression(featuresCol="x", labelCol="y", weightCol="size", regParam=0.002, elasticNetParam=1.0, family="multinomial", maxIter=40, standardization=False)
+        model = solver.fit(rows)
+        matrix, bias = model.coefficientMatrix.toArray(), list(model.interceptVector.toArray())
+        bias += [-30.0] * (len(classes) - len(bias))
+        return {g: [float(matrix[c][j]) if c < len(matrix) else 0.0 for c in range(len(classes))] for j, g in enumerate(counter.vocabulary) if any(matrix[c][j] for c in range(len(matrix)))}, bias
+
+    weights, bias = fitted(ready)
     used = F.array_intersect("f", F.array(*map(F.lit, sorted({w for g in counter.vocabulary for w in g.split()}))))
     seen = {r["w"]: r["n"] for r in ready.filter(F.col("family") == UNKNOWN).select(F.explode(used).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    holdout = [(r["f"], int(r["y"])) for r in ready.filter(held).select("f", "y").collect()]  # bounded by the sample
-    logits = [([b + sum(weights[g][c] for g in f if g in weights) for c, b in enumerate(bias)], y) for f, y in holdout]
+    logits = []
+    for k in range(FOLDS):
+        others_weights, others_bias = fitted(ready.filter(F.col("fold") != k))
+        holdout = [(r["f"], int(r["y"])) for r in ready.filter(F.col("fold") == k).select("f", "y").collect()]  # bounded by the sample
+        logits += [([b + sum(others_weights[g][c] for g in f if g in others_weights) for c, b in enumerate(others_bias)], y) for f, y in holdout]
 
     def probabilities(z: list[float], t: float) -> list[float]:
         top = max(z)
@@ -134,8 +160,8 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
         return [x / sum(e) for x in e]
 
     temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=lambda t: sum(-math.log(max(1e-12, probabilities(z, t)[y])) for z, y in logits)) if logits else 1.0
-    worst = max((max(probabilities(z, temperature)[:-1]) for z, y in logits if y == len(classes) - 1), default=0.0)
-    cutoff = min(0.99, max(LEAST, worst))
+    worst = sorted((max(probabilities(z, temperature)[:-1]) for z, y in logits if y == len(classes) - 1), reverse=True)
+    cutoff = max(LEAST, worst[int(FALSE_SHARE * len(worst))] if worst else 0.0)
     return {"weights": weights, "bias": bias, "classes": classes, "temperature": temperature, "cutoff": cutoff, "anchors": anchors(weights, bias, temperature, cutoff, seen)}
 
 
@@ -182,8 +208,8 @@ def scan(docs: DataFrame, text: str = "text", model: dict | None = None) -> Data
     scaled = [(F.col(f"z{i}") + model["bias"][i]) / model["temperature"] for i in range(len(names))]
     total = sum((F.exp(s - F.greatest(*scaled)) for s in scaled[1:]), F.exp(scaled[0] - F.greatest(*scaled)))
     chance = F.array(*(F.struct((F.exp(s - F.greatest(*scaled)) / total).alias("p"), F.lit(n).alias("family")) for s, n in zip(scaled[:-1], names[:-1], strict=True)))
-    best = sums.select(*key, F.array_max(chance).alias("b")).filter(F.col("b.p") > model["cutoff"]).select(*key, "b.family", F.col("b.p").alias("probability"))
-    mine = near.join(best, key).select(*key, "family", "probability", F.size(grams(F.col("w"), 3)).alias("own"), F.explode_outer(grams(F.col("w"), 3)).alias("gram"))
+    best = sums.select(*key, F.array_max(chance).alias("b")).filter(F.col("b.p") > model["cutoff"]).select("row", "b.family", F.col("b.p").alias("probability"))
+    mine = near.join(best, "row").select(*key, "family", "probability", F.size(grams(F.col("w"), 3)).alias("own"), F.explode_outer(grams(F.col("w"), 3)).alias("gram"))
     shared = mine.join(F.broadcast(templates), ["family", "gram"], "left").groupBy(*key, "family", "probability", "own", "template").agg(F.count("template").alias("n"), F.first("size").alias("size"))
     overlap = F.max(F.coalesce(F.greatest(F.try_divide("n", "own"), F.try_divide("n", "size")), F.lit(0.0)))
     out = shared.groupBy(*key, "family", "probability").agg(overlap.alias("template_overlap"))

@@ -620,3 +620,27 @@ def test_jaccard_of_edits_around_one_text(spark, monkeypatch, n, percent):
     texts += [prose(rng.randrange(1, 12), rng) for _ in range(30)]
     got = {tuple(r) for r in jaccard.components(docs_of(spark, texts).repartition(3), n, percent).collect()}
     assert got == brute_components(texts, n, percent)
+
+
+def test_licences_of_wordings_that_no_template_has(spark):
+    held = {
+        "This file is made available under the MIT License.": "mit", "The code here is under the MIT licence, see below.": "mit",
+        "All of it is covered by the Apache License, Version 2.0, as published.": "apache-2.0", "Our software falls under the Apache License 2.0": "apache-2.0",
+        "It may be copied under the GNU General Public License, version 3 or later.": "gpl-3.0", "This library is under the GNU GPL version 3": "gpl-3.0",
+        "The pictures are licensed under CC BY-NC 4.0 by their author.": "cc-by-nc-4.0",
+    }
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and associated documentation files, to deal in it"
+    texts = [f"{prose(20)}.\n{line}\n{prose(9)}" for line in held] + [f"{prose(20)}.\n{wrapped}\n", *(f"{prose(60)}.\n{prose(30)}" for _ in range(60))]
+    rows = licences.report(docs_of(spark, texts)).collect()
+    found = {(r["doc_id"], r["paragraph"]): r["family"] for r in rows}
+    right = sum(found.get((i, 1)) == f for i, f in enumerate(held.values()))
+    assert right >= len(held) - 1 and found.get((len(held), 1)) == "mit"
+    assert all(i <= len(held) and p == 1 for i, p in found)
+
+
+def test_licences_of_odd_tables(spark):
+    assert licences.report(docs_of(spark, [])).count() == 0
+    line = "Released under the MIT License."
+    rows = [(1, line, 1)] * 3 + [(None, line, 2), (2, f"{prose(20_000)}.\n{line}", 3)]
+    got = licences.report(spark.createDataFrame(rows, "doc_id long, text string, family int")).collect()
+    assert Counter((r["doc_id"], r["family"]) for r in got) == Counter({(1, "mit"): 3, (None, "mit"): 1, (2, "mit"): 1})
