@@ -4,7 +4,8 @@ Two windows of WIDTH bytes are equal only if they hold the same anchor: the GRAM
 minimizer). So the text falls into segments, runs of windows with one anchor, about every 40 bytes:
 
 1. Each chunk of a partition lists its segments (anchor, hash of the segment's bytes, place); copies inside the chunk are
-   settled at once. The rest are dealt by anchor. Segments equal to an earlier one are repeats in all their windows.
+   settled at once, and so are later copies in the partition of what a chunk has twice, so that a common passage gives
+   some rows a partition. The rest are dealt by anchor. Segments equal to an earlier one are repeats in all their windows.
    Different segments can share a window only if they agree in half of its other bytes, on one side of the anchor; segments that
    agree with none go, and that's most of the text.
 2. Different segments with one anchor may share some windows. Their bytes are fetched, dealt by anchor, and the
@@ -15,13 +16,13 @@ minimizer). So the text falls into segments, runs of windows with one anchor, ab
    Anchors with more than MOST_SEGMENTS segments are dealt by window instead (hash of its bytes), so no group is one task's.
 3. Repeated windows are gathered by document, and their bytes are cut out.
 
-Order of places: doc_id (null first), then start; rows that share a doc_id are ordered by a checksum of the text, and rows
-that are equal in both count as one document, each with its result. Defined results: null counts as an empty text.
+Order of places: doc_id (null first), then start; rows that share a doc_id are ordered by a checksum of the text, those without
+one by a hash of it, and rows that are equal in both count as one document, each with its result. Defined results: null
+counts as an empty text.
 """
 
 from __future__ import annotations
 
-import zlib
 from functools import reduce
 
 import numpy as np
@@ -35,6 +36,8 @@ WIDTH, GRAM = 100, 16
 #: Bytes that are looked at together, and sorted together.
 CHUNK, SORT_CHUNK = 1_000_000, 400_000
 MOST_SEGMENTS, MOST_HELD = 2_000, 500_000
+#: Copied segments that a task remembers, to settle copies early; copies of those it forgets are settled after the shuffle.
+REMEMBERED = 200_000
 #: Anchors are broadcast up to this count, else shuffled.
 MAX_BROADCAST = 500_000
 
@@ -121,9 +124,10 @@ def segments(data: bytes, width: int = WIDTH) -> tuple[np.ndarray, ...]:
 
 
 def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """(doc, sum) tell documents apart: the id, least for null, and 24 bits of the text's CRC-32."""
+    """(doc, sum) tell documents apart: the id and 24 bits of the text's CRC-32. Without an id, doc is among the 2^40 least longs, by 40 bits of another hash."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), F.crc32(F.encode(t, "UTF-8")).bitwiseAND(0xFFFFFF).alias("sum"))
+    nameless = F.lit(-(2**63)) + F.shiftrightunsigned(F.xxhash64(t), 24)
+    return F.struct(F.coalesce(F.col(doc_id).cast("long"), nameless).alias("doc"), F.crc32(F.encode(t, "UTF-8")).bitwiseAND(0xFFFFFF).alias("sum"))
 
 
 # A place is one long: checksum (24 bits), start (32 bits), windows (8 bits); within a document it orders by start.
@@ -139,10 +143,33 @@ ROW = "anchor long, body long, doc long, place long, sides int"
 REPEAT = 0
 
 
+class _Remembered:
+    """Segments that a chunk had more than once, each with a place of it that was passed on; one body an anchor."""
+
+    def __init__(self) -> None:
+        self.rows = [np.zeros(0, np.int64)] * 4
+
+    def settle(self, anchor: np.ndarray, body: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which segments are copies that start later than the place known, and which are at that place."""
+        known, bodies, docs, places = self.rows
+        if not len(known):
+            return (np.zeros(len(anchor), bool),) * 2
+        at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
+        found = (known[at] == anchor) & (bodies[at] == body)
+        same = found & (docs[at] == doc)
+        return found & (doc > docs[at]) | same & (place > places[at]), same & (place == places[at])
+
+    def add(self, *rows: np.ndarray) -> None:
+        """Rows (anchor, body, doc, place) that were passed on; the newest are kept."""
+        both = [np.concatenate(x) for x in zip(rows, self.rows, strict=True)] if len(self.rows[0]) + len(rows[0]) <= REMEMBERED else list(rows)
+        _, first = np.unique(both[0], return_index=True)
+        self.rows = [x[first[:REMEMBERED]] for x in both]
+
+
 def _listed(width: int):
-    """Of batches (doc_id, text): the chunk's segments, and as body REPEAT those that repeat one of the same chunk, dealt at random."""
+    """Of batches (doc, sum, text): the chunk's segments, and as body REPEAT those that repeat one of the same chunk or one remembered, dealt at random."""
 
-    def emit(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def emit(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], remembered: _Remembered) -> pa.RecordBatch:
         anchor, body, place, sides = (np.concatenate([r[k] for r in rows]) for k in (1, 2, 3, 4))
         doc = np.concatenate([np.full(len(r[1]), r[0], np.int64) for r in rows])
         order = np.lexsort((place, doc, body, anchor))
@@ -152,27 +179,32 @@ def _listed(width: int):
         anchor, body, doc, place, sides = anchor[other], body[other], doc[other], place[other], sides[other]  # without those of a document that is there twice
         again = np.zeros(len(anchor), bool)
         again[1:] = (anchor[1:] == anchor[:-1]) & (body[1:] == body[:-1])
+        later, there = remembered.settle(anchor, body, doc, place)
+        copied = np.zeros(len(anchor), bool)
+        copied[:-1] = again[1:]
+        first = copied & ~again & ~later & ~there
+        remembered.add(anchor[first], body[first], doc[first], place[first])
+        again |= later
+        anchor, body, doc, place, sides, again = (x[~there] for x in (anchor, body, doc, place, sides, again))
         place_of = doc * 31 + place
         anchor[again], body[again], sides[again] = place_of[again], REPEAT, 0
         return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (anchor, body, doc, place)), pa.array(sides.astype(np.uint32).view(np.int32))], ["anchor", "body", "doc", "place", "sides"])
 
     def run(batches):
-        rows, size = [], 0
+        rows, size, remembered = [], 0, _Remembered()
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, check, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 data = (text or "").encode()
-                check = zlib.crc32(data) & 0xFFFFFF
-                doc = -(2**63) if doc is None else doc
                 for at in range(0, max(0, len(data) - width + 1), CHUNK):
                     part = data[at : at + CHUNK + width - 1]
                     anchor, first, many, body, sides = segments(part, width)
                     rows.append((doc, anchor, body, _place(np.int64(check), first + at, many), sides))
                     size += len(part)
                     if size >= CHUNK:
-                        yield emit(rows)
+                        yield emit(rows, remembered)
                         rows, size = [], 0
         if rows:
-            yield emit(rows)
+            yield emit(rows, remembered)
 
     return run
 
@@ -349,7 +381,7 @@ def _sorted_out(width: int):
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc, place of all repeated runs of windows; docs: doc_id, text."""
     bounded_batches(docs.sparkSession, 1024, "2m")
-    listed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_listed(width), ROW)
+    listed = docs.select(document_key().alias("k"), "text").select("k.*", "text").mapInArrow(_listed(width), ROW)
     dealt = listed.repartition("anchor").sortWithinPartitions("anchor", "body", "doc", "place")
     settled = checkpointed(dealt.mapInArrow(_settled, "kind long, anchor long, doc long, place long, others long"))
     several = settled.filter("kind = 1")

@@ -425,6 +425,32 @@ def test_suffix_dedup_repeated_rows(spark, parts):
     assert got == Counter((r[0], *want[r]) for r in rows)
 
 
+@pytest.mark.parametrize("room", [200_000, 3])
+@pytest.mark.parametrize("seed", range(3))
+def test_suffix_dedup_over_chunks_of_one_task(spark, monkeypatch, room, seed):
+    monkeypatch.setattr(suffixes, "CHUNK", 700)
+    monkeypatch.setattr(suffixes, "REMEMBERED", room)
+    rng = random.Random(seed)
+    common, other = prose(40, rng), prose(30, rng)
+    rows = [(k, f"{prose(rng.randrange(20), rng)} {rng.choice((common, other, common + other))} {prose(rng.randrange(20), rng)}") for k in range(40)]
+    want = brute_repeats(rows, 100)
+    rng.shuffle(rows)  # copies that start earlier come later
+    docs = spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string").coalesce(1)
+    assert {tuple(r) for r in suffixes.repeat_report(docs).collect()} == want
+
+
+def test_suffix_dedup_tells_rows_without_id_apart(spark):
+    seen, rng = {}, random.Random(12)
+    while True:
+        text = f"{rng.random()} {BASE[:400]}{rng.random()}"
+        if (other := seen.setdefault(zlib.crc32(text.encode()) & 0xFFFFFF, text)) != text:
+            break
+    unlike = [prose(60, rng) for _ in range(2)]
+    docs = spark.createDataFrame([(None, other), (None, text), *((None, t) for t in unlike)], "doc_id long, text string")
+    cut = [r["n_removed"] for r in suffixes.repeat_report(docs).collect()]
+    assert sum(x > 0 for x in cut) == 1 and 400 <= sum(cut) < 410
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(1, 3), min_size=1, max_size=50))
 def test_difference_cover(symbols):
