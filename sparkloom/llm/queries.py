@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe, chat, jaccard, licences, packing, pii, quality, secrets, suffixes, topk
+from sparkloom.llm import bpe, chat, jaccard, leaks, lexical, licences, packing, pii, quality, secrets, suffixes, topk, trie
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,11 +55,24 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=10)
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, folder, "conversations"))
+
+
+def op13_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), window=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_best_fit_packing, op3_byte_bpe, op4_top_k, op5_personal_data,
         op6_ngram_jaccard, op7_licence_scan, op8_suffix_dedup, op9_chat_format, op10_quality_rules,
+        op11_lexical_search, op12_prefix_trie, op13_decontaminate,
     )
 }
 
@@ -107,4 +120,4 @@ cut AS (SELECT rej.lang, max(rarity) AS cutoff FROM rej JOIN most ON rej.lang =
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, m.base_failed, NOT m.base_failed AND coalesce(rarity >= cutoff, true) AS kept FROM m JOIN s USING (doc_id) LEFT JOIN cut ON m.lang = cut.lang
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_top_k": topk.ORACLE, "op6_ngram_jaccard": JACCARD_SQL, "op9_chat_format": chat.ORACLE, "op10_quality_rules": QUALITY_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_top_k": topk.ORACLE, "op6_ngram_jaccard": JACCARD_SQL, "op9_chat_format": chat.ORACLE, "op10_quality_rules": QUALITY_SQL, "op11_lexical_search": lexical.ORACLE, "op12_prefix_trie": trie.ORACLE, "op13_decontaminate": leaks.ORACLE}
