@@ -29,3 +29,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_top(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: for loops.
+
+    A checkpoint keeps Spark's estimate of its size, and the estimate of a join is the product of its sides'; over the rounds of a loop
+    the number of its digits doubles each time, until planning takes all the time. A table that is read has the size of its files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/round"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
