@@ -41,7 +41,7 @@ def profile_columns(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def smooth_and_scale(df: DataFrame, part: str, order: list[str], value: str, n: int) -> DataFrame:
-    """Adds moving_average (of the last n rows), min_max and z_score (population) within part; a constant part scales to null.
+    """Adds moving_average (of the last n rows), min_max and z_score (population) within part; a constant part scales to null. Rows with a null part are a part.
 
     Rows are dealt by ranges of (part, order), so a large part is many tasks' work; each range gets the n - 1 rows before it.
     """
@@ -57,17 +57,18 @@ def smooth_and_scale(df: DataFrame, part: str, order: list[str], value: str, n:
         every = every.unionByName(carried.select(part, "range_of_rows", "r.*", F.lit(True).alias("carried")), allowMissingColumns=True)
     near = here.orderBy(*order).rowsBetween(-(n - 1), 0)
     figures = df.groupBy(part).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("mu"), F.stddev_pop(value).alias("sd"))
-    out = every.withColumn("moving_average", F.avg(value).over(near)).filter("not carried").drop("carried", "range_of_rows").join(figures, part)
+    out = every.withColumn("moving_average", F.avg(value).over(near)).filter("not carried").drop("carried", "range_of_rows")
+    out = out.join(figures.withColumnRenamed(part, "part_of"), F.col(part).eqNullSafe(F.col("part_of"))).drop("part_of")
     scaled = {"min_max": (F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), "z_score": (F.col(value) - F.col("mu")) / F.nullif(F.col("sd"), F.lit(0.0))}
     return out.withColumns(scaled).drop("lo", "hi", "mu", "sd")
 
 
-def top_n_with_other(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
-    """key, total: the n keys of largest sum (ties by key), the rest as "other"."""
+def top_n_with_other(df: DataFrame, key: str, value: str, n: int, other: str = "other") -> DataFrame:
+    """key (as a string), is_other, total: the n keys of largest sum (ties by key), the rest as one row. A null key can be among the n, and a key that reads like the rest's name stays apart."""
     sums = df.groupBy(key).agg(F.sum(value).alias("total"))
-    top = sums.orderBy(F.col("total").desc(), key).limit(n).select(key, F.lit(True).alias("top"))
-    named = sums.join(F.broadcast(top), key, "left").withColumn(key, F.when(F.col("top"), F.col(key).cast("string")).otherwise("other"))
-    return named.groupBy(key).agg(F.sum("total").alias("total"))
+    top = sums.orderBy(F.col("total").desc(), key).limit(n).select(F.struct(key).alias("key_of_top"), F.lit(True).alias("top"))
+    named = sums.withColumn("key_of_top", F.struct(key)).join(F.broadcast(top), "key_of_top", "left").withColumn("is_other", F.col("top").isNull())
+    return named.groupBy(F.when(F.col("is_other"), other).otherwise(F.col(key).cast("string")).alias(key), "is_other").agg(F.sum("total").alias("total"))
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, n: int) -> DataFrame:

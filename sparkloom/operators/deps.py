@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.functions.storage import written
 from sparkloom.plans.schemas import GENERIC, OTHER
 
 #: Registries and blocklists up to this count are broadcast, larger ones shuffled.
@@ -50,3 +51,90 @@ def import_plan(bindings: DataFrame, target: str = "agent_key", item: str = "nam
     deps = bindings.select(target, F.lit(1).alias("stage"), F.col(item).cast("string").alias("item")).distinct()
     own = bindings.select(target, F.lit(2).alias("stage"), F.col(target).cast("string").alias("item")).distinct()
     return deps.unionByName(own).withColumn("position", F.row_number().over(Window.partitionBy(target).orderBy("stage", "item")))
+
+
+def _drained(edges: DataFrame, pending: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Rounds of nodes that wait for nothing, and the edges and nodes that are left when no more can go. edges: a waits for b; pending: node."""
+    rounds = []
+    while True:
+        ready = written(pending.join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_anti"))
+        if ready.isEmpty():
+            return rounds, edges, pending
+        rounds.append(ready)
+        pending = written(pending.join(ready, "node", "left_anti"))
+        edges = written(edges.join(ready.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
+
+
+def _colours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, colour: the largest node from which each can be reached."""
+    now = nodes.withColumn("colour", F.col("node"))
+    while True:
+        sent = edges.join(now.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.max("colour").alias("sent"))
+        new = written(now.join(sent, "node", "left").select("node", F.greatest("colour", "sent").alias("colour"), (F.col("sent") > F.col("colour")).alias("grew")))
+        now = new.drop("grew")
+        if new.filter("grew").isEmpty():
+            return now
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """node, cycle (its smallest node): the strongly connected components of edges(a, b) that have a cycle.
+
+    Nodes that nothing leads to, or that lead to nothing, go first, again and again. Of what is left, each node gets the
+    largest node that reaches it as a colour, and the nodes of a colour that reach this node back are one component; it goes, and the rest starts anew.
+    """
+    found = edges.select(F.col("a").alias("node"), F.col("a").alias("cycle")).limit(0)
+    while True:
+        ends = lambda e: e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
+        _, edges, _ = _drained(edges, ends(edges))
+        _, back, nodes = _drained(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), ends(edges))
+        if nodes.isEmpty():
+            return found
+        edges = written(back.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        colour = _colours(edges, nodes)
+        side = lambda x: colour.select(F.col("node").alias(x), F.col("colour").alias(f"colour_{x}"))  # noqa: E731, B023
+        inside = written(edges.join(side("a"), "a").join(side("b"), "b").filter("colour_a = colour_b").select("a", "b"))
+        whole = frontier = written(colour.filter("node = colour"))
+        while not frontier.isEmpty():
+            before = inside.join(frontier.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "colour").distinct()
+            frontier = written(before.join(whole, "node", "left_anti"))
+            whole = written(whole.unionByName(frontier))
+        least = whole.groupBy("colour").agg(F.min("node").alias("cycle"))
+        found = written(found.unionByName(whole.join(least, "colour").select("node", "cycle")))
+        gone = whole.select("node")
+        edges = written(edges.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
+
+
+def import_order(bindings: DataFrame, target: str = "agent_key", item: str = "name") -> DataFrame:
+    """item, stage, status, cycle of everything that depends on something or is depended on; target and item are names of one kind.
+
+    stage is one more than the largest stage among what an item depends on (1 if on nothing), so a stage can be imported
+    once all before it are. status: ok; cycle (it depends on itself in the end; cycle is the smallest item of its cycle, a finding); blocked
+    (it depends on a cycle). The latter two have no stage. Null names and repeated bindings don't count. There are as many rounds as stages.
+    """
+    edges = written(bindings.select(F.col(target).alias("a"), F.col(item).alias("b")).dropna().distinct())
+    nodes = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
+    rounds, left, waiting = _drained(edges, nodes)
+    staged = waiting.withColumn("stage", F.lit(None).cast("int"))
+    for stage, ready in enumerate(rounds, 1):
+        staged = staged.unionByName(ready.withColumn("stage", F.lit(stage)))
+    out = staged.join(cycles(left), "node", "left")
+    status = F.when(F.col("stage").isNotNull(), "ok").when(F.col("cycle").isNotNull(), "cycle").otherwise("blocked")
+    return out.select(F.col("node").alias("item"), "stage", status.alias("status"), "cycle")
+
+
+def transitive_plan(bindings: DataFrame, requires: DataFrame, target: str = "agent_key", item: str = "name", needs: str = "needs") -> DataFrame:
+    """target, item, stage, status, position: everything that each target of bindings(target, item) needs in the end, once, in an order in which it can be imported.
+
+    requires(item, needs) says what items depend on. Items of a cycle, and those that depend on one, come last, with their
+    status. Only new pairs of target and item are looked up in a round.
+    """
+    edges = written(requires.select(F.col(item).alias("item"), F.col(needs).alias("needs")).dropna().distinct())
+    order = import_order(edges, "item", "needs").select("item", "stage", "status")
+    whole = frontier = written(bindings.select(F.col(target).alias("target"), F.col(item).alias("item")).dropna().distinct())
+    while not frontier.isEmpty():
+        further = frontier.join(edges, "item").select("target", F.col("needs").alias("item")).distinct()
+        frontier = written(further.join(whole, ["target", "item"], "left_anti"))
+        whole = written(whole.unionByName(frontier))
+    staged = whole.join(order, "item", "left").select("target", "item", F.when(F.col("status").isNull(), 1).otherwise(F.col("stage")).alias("stage"), F.coalesce("status", F.lit("ok")).alias("status"))
+    place = Window.partitionBy("target").orderBy(F.col("stage").asc_nulls_last(), "item")
+    return staged.withColumn("position", F.row_number().over(place)).withColumnRenamed("target", target)

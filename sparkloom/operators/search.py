@@ -1,4 +1,4 @@
-"""Keyword and vector search, and overlap between texts."""
+"""Keyword search, copies, and overlap between texts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.storage import checkpointed
-from sparkloom.functions.text import ngrams, normalized, tokens
+from sparkloom.functions.text import let, ngrams, normalized, tokens
 from sparkloom.operators.deps import small
 
 
@@ -16,7 +16,7 @@ def keyword_search(docs: DataFrame, key: str, text: str, query: list[str], k: in
     terms = sorted({q.lower() for q in query})
     words = docs.select(key, tokens(F.col(text), mode).alias("w")).select(key, F.size("w").alias("len"), F.filter("w", lambda x: x.isin(terms)).alias("hits"))
     times = lambda t: F.size(F.filter("hits", lambda x: x == t))
-    counts = words.select(key, "len", *(times(t).alias(f"t{i}") for i, t in enumerate(terms)))
+    counts = checkpointed(words.select(key, "len", *(times(t).alias(f"t{i}") for i, t in enumerate(terms))))  # a few numbers a document, so that texts are cut once
     stats = counts.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count(F.when(F.col(f"t{i}") > 0, 1)).alias(f"d{i}") for i in range(len(terms)))).first()  # one row
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -26,33 +26,6 @@ def keyword_search(docs: DataFrame, key: str, text: str, query: list[str], k: in
     return counts.select(key, F.round(score, 4).alias("score")).filter("score > 0").orderBy(F.col("score").desc(), key).limit(k)
 
 
-def related_items(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", most: int = 10_000, block: int = 64) -> DataFrame:
-    """query, rank, key, score: the k nearest by cosine, exact (score rounded to 6, ties by key).
-
-    Queries are packed in blocks of about `block`, and every vector meets every block. Up to `most` queries are broadcast; more
-    are dealt to parts, where blocks meet a part of the vectors. Each task keeps only its k best of a query before the shuffle.
-    """
-    unit = lambda c: F.transform(F.col(c), lambda x: x.cast("double"))
-    norm = lambda c: F.sqrt(F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x * x))
-    q = queries.select(F.col(key).alias("query"), unit(vector).alias("q")).withColumn("nq", norm("q"))
-    v = vectors.select(key, unit(vector).alias("v")).withColumn("nv", norm("v"))
-    asked = queries.count()
-    blocks = max(1, -(-asked // block))
-    packed = q.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("query", "q", "nq")).alias("all"))
-    dealt = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    if asked <= most:
-        met = dealt.join(F.broadcast(packed), "block")
-    else:
-        parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        met = dealt.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).join(packed.hint("shuffle_hash"), ["block", "part"])
-    pairs = met.select(key, "v", "nv", F.explode("all").alias("a")).filter(F.col("a.query") != F.col(key))
-    dot = F.aggregate(F.zip_with("v", "a.q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select(F.col("a.query").alias("query"), key, F.round(dot / (F.col("nv") * F.col("a.nq")), 6).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), key)))
-    return ranked.filter(F.col("rank") <= k).select("query", "rank", key, "score")
-
-
 def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, kept, group_size of every text: the smallest key with the same normalised text. Groups are counted before they are joined back."""
     hashed = df.select(key, F.sha2(normalized(F.col(text)), 256).alias("h"))
@@ -67,7 +40,16 @@ def _bands(sets: DataFrame, bands: int, rows: int) -> DataFrame:
     return sets.select(F.explode(keys).alias("h"), "id", "n")
 
 
-def _prefixes(sets: DataFrame, t: float) -> DataFrame:
+def ngram_sets(df: DataFrame, key: str, text: str, n: int, mode: str = "word") -> DataFrame:
+    """id, g (the ascending distinct 64-bit hashes of its word n-grams), n (how many), h1 and h2 (hashes of the set) of every row with an n-gram, stored."""
+    none = F.array().cast("array<bigint>")
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n)))
+    hashed = let(tokens(F.col(text), mode), lambda w: F.when(F.size(w) >= n, F.array_sort(F.array_distinct(grams(w)))).otherwise(none))
+    every = checkpointed(df.select(F.col(key).alias("id"), hashed.alias("g")))  # else a filter on g would cut the texts again
+    return every.filter(F.size("g") > 0).withColumns({"n": F.size("g"), "h1": F.xxhash64("g"), "h2": F.xxhash64(F.lit(1), "g")})
+
+
+def prefixes(sets: DataFrame, t: float) -> DataFrame:
     """h, id, n: the n-grams by which sets can meet. Rarest come first; a pair shares one of the first size - ceil(t * size) + 1 of either set.
 
     N-grams of one set can't be shared, so a set that has fewer than t * size others isn't in a pair.
@@ -85,14 +67,13 @@ def near_duplicates(df: DataFrame, key: str, text: str, n: int, t: float, mode:
     """id_a, id_b, similarity: pairs of different n-gram sets with Jaccard similarity of at least t. The smallest key stands for equal sets.
 
     Exact by the prefix filter; approximate=(bands, rows) takes pairs that agree in a MinHash band instead, which misses some
-    pairs near t. Similarities are exact either way. N-grams are compared by 64-bit hashes.
+    pairs near t. Similarities are exact either way. N-grams are compared by 64-bit hashes. groups.duplicate_groups has the
+    representative of every row, and groups without all their pairs.
     """
-    hashed = F.array_sort(F.array_distinct(F.transform(ngrams(tokens(F.col(text), mode), n), lambda x: F.xxhash64(x))))
-    every = df.select(F.col(key).alias("id"), hashed.alias("g")).filter(F.size("g") > 0)
-    every = checkpointed(every.withColumns({"n": F.size("g"), "h1": F.xxhash64("g"), "h2": F.xxhash64(F.lit(1), "g")}))
+    every = ngram_sets(df, key, text, n, mode)
     first = every.groupBy("h1", "h2").agg(F.min("id").alias("id")).select("id")
     sets = every.join(first, "id", "left_semi").select("id", "n", "g")
-    head = checkpointed(_bands(sets, *approximate) if approximate else _prefixes(sets, t))
+    head = checkpointed(_bands(sets, *approximate) if approximate else prefixes(sets, t))
     a, b = head.select("h", F.col("id").alias("id_a"), F.col("n").alias("n_a")), head.select("h", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
     fits = F.least("n_a", "n_b") >= t * F.greatest("n_a", "n_b") - 1e-9
     pairs = checkpointed(a.join(b, (a["h"] == b["h"]) & (F.col("id_a") < F.col("id_b")) & fits).select("id_a", "id_b").distinct())

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.storage import shared_folder
-from sparkloom.operators import aggregates, deps, manifest, prep, review, search, versions
+from sparkloom.functions.text import tokens
+from sparkloom.operators import aggregates, deps, groups, hashtree, index, manifest, passages, phrases, prep, review, search, sketches, vectors, versions
 from sparkloom.plans.schemas import CODE_RULES, LICENCE_RULES, PROMPT_RULES, SENSITIVE_RULES
-from sparkloom.sources import packages
+from sparkloom.sources import layout, packages, variants
 from sparkloom.streaming import review as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +90,24 @@ def convert_format(spark, table):
     return packages.convert_format(spark, f"{top}/json", "json", f"{top}/orc", "orc", schema)
 
 
+@_query("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS name, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) BETWEEN 20 AND 60 AND value > 50")
+def variant_facet(spark, table):
+    """Manifests with keys that no schema declares, stored shredded and filtered by these keys."""
+    content = F.concat(F.lit('{"id":"'), F.col("event_id"), F.lit('","name":"'), F.col("event_type"), F.lit('","limits":{"quota":'), F.to_json(F.struct("value")), F.lit('},"props":'), F.col("props"), F.lit("}"))
+    path = f"{shared_folder(spark)}/variants"
+    variants.write_variants(variants.parse_variants(table("events").select(content.alias("content"))).filter("status = 'ok'").select("manifest"), path)
+    found = variants.variant_facet(spark.read.parquet(path), {"$.props.k": (20, 60)})
+    found = found.filter(variants.at("manifest", "$.limits.quota.value", "double") > 50)
+    return found.select(*(F.try_variant_get("manifest", f"$.{c}", "string").alias(c) for c in ("id", "name")), F.try_variant_get("manifest", "$.props.k", "long").alias("k"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey BETWEEN 100 AND 140 OR (l_suppkey BETWEEN 5 AND 8 AND l_extendedprice < 20000)")
+def clustered_scan(spark, table):
+    path = f"{shared_folder(spark)}/clustered"
+    layout.write_clustered(table("lineitem"), path, ["l_partkey", "l_suppkey", "l_extendedprice"], bloom=["l_orderkey"])
+    return spark.read.parquet(path).filter("l_partkey between 100 and 140 or (l_suppkey between 5 and 8 and l_extendedprice < 20000)").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
 # Projections and filters
 
 
@@ -233,6 +252,33 @@ def profile_columns(spark, table):
     return aggregates.profile_columns(table("orders")).withColumn("mean", F.round("mean", 4))
 
 
+@_query(
+    "SELECT 'o_custkey' AS \"column\", count(*) AS n_rows, 0 AS n_nulls, true AS distinct_within, true AS median_within FROM orders"
+    " UNION ALL SELECT 'o_totalprice', count(*), 0, true, true FROM orders UNION ALL SELECT 'o_orderstatus', count(*), 0, true, NULL FROM orders"
+)
+def sketch_profile(spark, table):
+    """Batches by year as sketches, united; distinct counts and medians against the exact ones: within four standard errors."""
+    orders, path = table("orders").select("o_custkey", "o_totalprice", "o_orderstatus", F.year("o_orderdate").alias("year")), f"{shared_folder(spark)}/sketches"
+    for year in [r[0] for r in orders.select("year").distinct().collect()]:
+        sketches.store([sketches.sketch_columns(orders.filter(F.col("year") == year).drop("year"), F.lit(year))], path)
+    found = sketches.profile_sketches(spark.read.parquet(path), (0.5,))
+    count = lambda c: F.count_distinct(c).alias("exact")
+    below = lambda c: F.lit(None).cast("double") if c == "o_orderstatus" else F.avg((F.col(c) <= F.col("q1")).cast("double"))
+    exact = [orders.crossJoin(F.broadcast(found.filter(F.col("column") == c).select("q1"))).agg(F.lit(c).alias("column"), count(c), below(c).alias("rank")) for c in ("o_custkey", "o_totalprice", "o_orderstatus")]
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= 4 * 1.04 / 2 ** (sketches.LG_K / 2) * F.col("exact") + 0.5
+    out = found.join(exact[0].unionByName(exact[1]).unionByName(exact[2]), "column")
+    return out.select("column", "n_rows", "n_nulls", near.alias("distinct_within"), (F.abs(F.col("rank") - 0.5) <= 0.02).alias("median_within"))
+
+
+@_query("SELECT CAST(l_partkey AS VARCHAR) AS name, count(DISTINCT l_orderkey) AS n_agents FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def sketch_reuse(spark, table):
+    """Reuse counts from one theta sketch a name and ship mode's batch; a name's agents are fewer than a sketch is exact for."""
+    items, path = table("lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("name"), "l_linestatus"), f"{shared_folder(spark)}/reuse"
+    for batch in [r[0] for r in items.select("l_linestatus").distinct().collect()]:
+        sketches.store([sketches.sketch_reuse(items.filter(F.col("l_linestatus") == batch), F.lit(batch), "l_orderkey", "name")], path)
+    return sketches.reuse(spark.read.parquet(path), 20)
+
+
 # Windows
 
 
@@ -258,6 +304,39 @@ def import_plan(spark, table):
     return deps.import_plan(table("lineitem").select(F.col("l_orderkey").alias("agent_key"), F.col("l_partkey").alias("name")))
 
 
+#: Parts need the part of half their number; parts of the least size are needed by it in turn, which makes cycles.
+_REQUIRES = (
+    "e AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey // 2 AND a.p_partkey > 1"
+    " UNION SELECT b.p_partkey, a.p_partkey FROM part a JOIN part b ON b.p_partkey = a.p_partkey // 2 AND a.p_partkey > 1 WHERE a.p_size = 1),"
+    " r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), n AS (SELECT a AS x FROM e UNION SELECT b FROM e),"
+    " c AS (SELECT r.a AS x, min(s.a) AS cycle FROM r JOIN r s ON r.b = s.a AND r.a = s.b GROUP BY 1), z AS (SELECT DISTINCT a AS x FROM r WHERE b IN (SELECT x FROM c)),"
+    " l AS (SELECT x, 1 AS stage FROM n WHERE x NOT IN (SELECT a FROM e) UNION SELECT e.a, stage + 1 FROM l JOIN e ON e.b = l.x WHERE e.a NOT IN (SELECT x FROM z)),"
+    " o AS (SELECT n.x AS item, CAST(max(stage) AS INTEGER) AS stage, CASE WHEN max(stage) IS NOT NULL THEN 'ok' WHEN max(cycle) IS NOT NULL THEN 'cycle' ELSE 'blocked' END AS status, max(cycle) AS cycle"
+    " FROM n LEFT JOIN l USING (x) LEFT JOIN c USING (x) GROUP BY n.x)"
+)
+
+
+def _requires(part: DataFrame) -> DataFrame:
+    keys = part.select("p_partkey", "p_size", F.expr("p_partkey div 2").alias("half")).filter("p_partkey > 1")
+    down = keys.join(part.select(F.col("p_partkey").alias("half")), "half")
+    up = down.filter("p_size = 1").select(F.col("half").alias("name"), F.col("p_partkey").alias("needs"))
+    return down.select(F.col("p_partkey").alias("name"), F.col("half").alias("needs")).unionByName(up)
+
+
+@_query(f"WITH RECURSIVE {_REQUIRES} SELECT * FROM o")
+def import_order(spark, table):
+    return deps.import_order(_requires(table("part")), "name", "needs")
+
+
+@_query(
+    f"WITH RECURSIVE {_REQUIRES}, d AS (SELECT DISTINCT l_orderkey AS t, l_partkey AS i FROM lineitem), w AS (SELECT t, i FROM d UNION SELECT t, b FROM d JOIN r ON i = a)"
+    " SELECT t AS agent_key, i AS item, CASE WHEN status IS NULL THEN 1 ELSE stage END AS stage, coalesce(status, 'ok') AS status,"
+    " CAST(row_number() OVER (PARTITION BY t ORDER BY CASE WHEN status IS NULL THEN 1 ELSE stage END NULLS LAST, i) AS INTEGER) AS position FROM w LEFT JOIN o ON i = item"
+)
+def transitive_plan(spark, table):
+    return deps.transitive_plan(table("lineitem").select(F.col("l_orderkey").alias("agent_key"), F.col("l_partkey").alias("name")), _requires(table("part")))
+
+
 @_query(
     "WITH s AS (SELECT event_type AS t, min(value) AS lo, max(value) AS hi, avg(value) AS mu, stddev_pop(value) AS sd FROM events GROUP BY 1)"
     " SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS 4 PRECEDING), 4) AS moving_average, round((value - lo) / (hi - lo), 4) AS min_max, round((value - mu) / sd, 4) AS z_score FROM events JOIN s ON event_type = t"
@@ -281,16 +360,40 @@ def keyword_search(spark, table):
 
 
 @_query(
+    "WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS t FROM documents),"
+    " q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS t FROM benchmark),"
+    " l AS (SELECT doc_id, count(*) AS len FROM w GROUP BY 1), a AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM w) * 1.0 / (SELECT count(*) FROM documents) AS mean),"
+    " f AS (SELECT doc_id, t, count(*) AS tf FROM w WHERE t IN (SELECT t FROM q) GROUP BY ALL), d AS (SELECT t, count(*) AS df FROM f GROUP BY 1),"
+    " x AS (SELECT item_id AS query, doc_id AS key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 4) AS score FROM q JOIN f USING (t) JOIN d USING (t) JOIN l USING (doc_id), a GROUP BY ALL)"
+    " SELECT query, CAST(row_number() OVER o AS INTEGER) AS rank, key, score FROM x WINDOW o AS (PARTITION BY query ORDER BY score DESC, key) QUALIFY row_number() OVER o <= 5"
+)
+def index_search(spark, table):
+    path = f"{shared_folder(spark)}/index"
+    index.build_index(table("documents"), "doc_id", "text", path)
+    return index.Index(spark, path).search(table("benchmark").select(F.col("item_id").alias("query"), "text"), 5)
+
+
+_COSINE = (
     "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id AS vec_id, round(list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))), 6) AS score"
     " FROM v q, v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id) SELECT query, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"
 )
+
+
+@_query(_COSINE)
+def vector_index_search(spark, table):
+    path = f"{shared_folder(spark)}/vectors"
+    vectors.build_vector_index(table("embeddings"), path)
+    return vectors.VectorIndex(spark, path).search(table("embeddings").filter("vec_id % 100 = 0"), 5)
+
+
+@_query(_COSINE)
 def related_items(spark, table):
-    return search.related_items(table("embeddings"), table("embeddings").filter("vec_id % 100 = 0"), 5)
+    return vectors.nearest(table("embeddings"), table("embeddings").filter("vec_id % 100 = 0"), 5)
 
 
 @_query(
     "WITH s AS (SELECT p_brand, sum(p_retailprice) AS total FROM part GROUP BY 1), t AS (SELECT p_brand FROM s ORDER BY total DESC, p_brand LIMIT 5)"
-    " SELECT CASE WHEN p_brand IN (SELECT p_brand FROM t) THEN p_brand ELSE 'other' END AS p_brand, round(sum(total), 2) AS total FROM s GROUP BY 1"
+    " SELECT CASE WHEN p_brand IN (SELECT p_brand FROM t) THEN p_brand ELSE 'other' END AS p_brand, p_brand NOT IN (SELECT p_brand FROM t) AS is_other, round(sum(total), 2) AS total FROM s GROUP BY 1, 2"
 )
 def top_n_with_other(spark, table):
     return aggregates.top_n_with_other(table("part"), "p_brand", "p_retailprice", 5).withColumn("total", F.round("total", 2))
@@ -309,6 +412,19 @@ def catalog_diff(spark, table):
     return versions.catalog_diff(orders.filter("o_orderkey % 10 < 8"), new, "o_orderkey", "o_orderstatus")
 
 
+@_query(
+    "WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p FROM orders WHERE o_orderkey % 997 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 991 = 5 THEN 'X' ELSE o_orderstatus END AS s, o_totalprice AS p FROM orders WHERE o_orderkey % 1009 <> 7)"
+    " SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.s <> b.s"
+)
+def hash_tree_diff(spark, table):
+    """Two releases of orders, alike in all but a few rows; only buckets that differ are read."""
+    orders, path = table("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), shared_folder(spark)
+    new = orders.filter("o_orderkey % 1009 <> 7").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 991 == 5, "X").otherwise(F.col("o_orderstatus")))
+    for df, name in ((orders.filter("o_orderkey % 997 <> 0"), "old"), (new, "new")):
+        hashtree.write_state(df, "o_orderkey", ["o_orderstatus", "o_totalprice"], f"{path}/{name}")
+    return hashtree.States(spark, f"{path}/old", f"{path}/new").diff("o_orderkey")
+
+
 # Reviews
 
 
@@ -397,6 +513,22 @@ def stream_review(spark, table):
     return spark.read.parquet(out).groupBy("agent_key", "rule", "severity").agg(F.count_distinct("evidence").alias("n"))
 
 
+_FIRST = "array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')[1:%d], ' ')"
+
+
+@_query(
+    f"WITH t AS (SELECT DISTINCT {_FIRST % 2} AS term, 2 AS k FROM benchmark UNION SELECT DISTINCT {_FIRST % 3}, 3 FROM benchmark),"
+    " w AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents)),"
+    " g AS (SELECT doc_id, t || ' ' || lead(t) OVER o AS two, t || ' ' || lead(t) OVER o || ' ' || lead(t, 2) OVER o AS three FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i))"
+    " SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, two AS g, 2 AS k FROM g UNION ALL SELECT doc_id, three, 3 FROM g) x JOIN t ON x.g = t.term AND x.k = t.k GROUP BY ALL"
+)
+def blocked_phrases(spark, table):
+    """The first two and the first three words of each benchmark item as terms, which overlap."""
+    words = tokens(F.col("text"))
+    terms = table("benchmark").select(F.explode(F.array(*(F.array_join(F.slice(words, 1, n), " ") for n in (2, 3)))).alias("term"))
+    return phrases.blocked_phrases(table("documents"), "doc_id", "text", terms)
+
+
 @_query(
     "WITH v AS (SELECT conv_id, string_split(text, ' ')[1] AS v FROM conversations WHERE turn = 0), w AS (SELECT conv_id, unnest(regexp_split_to_array(text, '\\s+')) AS t FROM conversations WHERE turn > 0)"
     " SELECT conv_id AS agent_key, coalesce(v IN (SELECT t FROM w WHERE w.conv_id = v.conv_id), false) AS covered FROM v"
@@ -423,14 +555,27 @@ def _grams(table: str, key: str, n: int) -> str:
     return f"SELECT DISTINCT {key}, g FROM (SELECT {key}, {gram} AS g FROM ({words})) WHERE g IS NOT NULL"
 
 
-@_query(
-    f"WITH d AS ({_grams('documents', 'doc_id', 3)}), s AS (SELECT doc_id, list(g ORDER BY g) AS g FROM d GROUP BY 1),"
+#: Pairs of representatives with a similarity of 0.8 of five-word n-grams.
+_NEAR = (
+    f"d AS ({_grams('documents', 'doc_id', 5)}), s AS (SELECT doc_id, list(g ORDER BY g) AS g FROM d GROUP BY 1),"
     " r AS (SELECT min(doc_id) AS id, g FROM s GROUP BY g), e AS (SELECT id, len(g) AS n, unnest(g) AS h FROM r),"
     " p AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.id < b.id GROUP BY ALL)"
-    " SELECT id_a, id_b, round(c / (na + nb - c), 6) AS similarity FROM p WHERE c >= 0.8 * (na + nb - c)"
 )
+
+
+@_query(f"WITH {_NEAR} SELECT id_a, id_b, round(c / (na + nb - c), 6) AS similarity FROM p WHERE c >= 0.8 * (na + nb - c)")
 def near_duplicates(spark, table):
-    return search.near_duplicates(table("documents"), "doc_id", "text", 3, 0.8).withColumn("similarity", F.round("similarity", 6))
+    return search.near_duplicates(table("documents"), "doc_id", "text", 5, 0.8).withColumn("similarity", F.round("similarity", 6))
+
+
+@_query(
+    f"WITH RECURSIVE {_NEAR}, m AS (SELECT doc_id, coalesce(r.id, doc_id) AS representative FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN r ON s.g = r.g),"
+    " k AS (SELECT id_a AS a, id_b AS b FROM p WHERE c >= 0.8 * (na + nb - c) UNION ALL SELECT id_b, id_a FROM p WHERE c >= 0.8 * (na + nb - c)),"
+    " w AS (SELECT representative AS x, representative AS y FROM m UNION SELECT x, b FROM w JOIN k ON y = a), g AS (SELECT x, min(y) AS component FROM w GROUP BY 1)"
+    " SELECT doc_id, representative, component, count(*) OVER (PARTITION BY component) AS group_size FROM m JOIN g ON x = representative"
+)
+def duplicate_groups(spark, table):
+    return groups.duplicate_groups(table("documents"), "doc_id", "text")
 
 
 @_query(f"WITH d AS ({_grams('documents', 'doc_id', 8)}), b AS ({_grams('benchmark', 'item_id', 8)}) SELECT doc_id, count(*) AS n_shared FROM d WHERE g IN (SELECT g FROM b) GROUP BY 1")
@@ -438,6 +583,21 @@ def overlap_with_corpus(spark, table):
     return search.overlap_with_corpus(table("documents"), "doc_id", "text", table("benchmark"), "text", 8)
 
 
+def _places(table: str, key: str, n: int) -> str:
+    words = f"SELECT {key}, unnest(w) AS t, unnest(range(len(w))) AS i FROM (SELECT {key}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {table})"
+    gram = " || ' ' || ".join(["t", *(f"lead(t, {k}) OVER (PARTITION BY {key} ORDER BY i)" for k in range(1, n))])
+    return f"SELECT * FROM (SELECT {key}, i, {gram} AS g FROM ({words})) WHERE g IS NOT NULL"
+
+
+@_query(
+    f"WITH d AS ({_places('documents', 'doc_id', 8)}), b AS ({_places('benchmark', 'item_id', 8)}),"
+    " m AS (SELECT doc_id, item_id, d.i AS p, d.i - b.i AS diag, d.i - row_number() OVER (PARTITION BY doc_id, item_id, d.i - b.i ORDER BY d.i) AS run FROM d JOIN b USING (g))"
+    " SELECT doc_id, min(p) AS start, max(p) + 8 AS \"end\", item_id AS item, min(p) - diag AS item_start FROM m GROUP BY doc_id, item_id, diag, run"
+)
+def shared_passages(spark, table):
+    return passages.shared_passages(table("documents"), "doc_id", "text", table("benchmark"), "item_id", "text", 8)
+
+
 # Preparation
 
 

@@ -128,15 +128,16 @@ def test_query_equals_sql(spark, name):
     assert sorted((tuple(map(normal, r)) for r in own.collect()), key=key) == sorted((tuple(normal(r[i]) for i in places) for r in sql.fetchall()), key=key)
 
 
-def test_related_items_in_blocks(spark):
-    from sparkloom.operators import search
+def test_related_items_in_blocks(spark, monkeypatch):
+    from sparkloom.operators import vectors
 
     rows = [(i, [((i * 37 + j * 11) % 23) / 7 - 1.5 for j in range(6)]) for i in range(120)]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    asked = vectors.filter("vec_id % 2 = 0")
-    at_once = {tuple(r) for r in search.related_items(vectors, asked, 4).collect()}
+    every = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = every.filter("vec_id % 2 = 0")
+    at_once = {tuple(r) for r in vectors.nearest(every, asked, 4).collect()}
     assert len(at_once) == 240
-    assert {tuple(r) for r in search.related_items(vectors, asked, 4, most=7).collect()} == at_once
+    monkeypatch.setattr(vectors, "QUERIES", 7)
+    assert {tuple(r) for r in vectors.nearest(every, asked, 4).collect()} == at_once
 
 
 def test_near_duplicates_by_bands(spark):
