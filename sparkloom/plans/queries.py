@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -253,8 +254,8 @@ def profile_columns(spark, table):
 
 
 @_query(
-    "SELECT 'o_custkey' AS \"column\", count(*) AS n_rows, 0 AS n_nulls, true AS distinct_within, true AS median_within FROM orders"
-    " UNION ALL SELECT 'o_totalprice', count(*), 0, true, true FROM orders UNION ALL SELECT 'o_orderstatus', count(*), 0, true, NULL FROM orders"
+    "SELECT 'o_custkey' AS \"column\", count(*) AS n_rows, CAST(0 AS BIGINT) AS n_nulls, true AS distinct_within, true AS median_within FROM orders"
+    " UNION ALL SELECT 'o_totalprice', count(*), CAST(0 AS BIGINT), true, true FROM orders UNION ALL SELECT 'o_orderstatus', count(*), CAST(0 AS BIGINT), true, NULL FROM orders"
 )
 def sketch_profile(spark, table):
     """Batches by year as sketches, united; distinct counts and medians against the exact ones: within four standard errors."""
@@ -263,10 +264,11 @@ def sketch_profile(spark, table):
         sketches.store([sketches.sketch_columns(orders.filter(F.col("year") == year).drop("year"), F.lit(year))], path)
     found = sketches.profile_sketches(spark.read.parquet(path), (0.5,))
     count = lambda c: F.count_distinct(c).alias("exact")
-    below = lambda c: F.lit(None).cast("double") if c == "o_orderstatus" else F.avg((F.col(c) <= F.col("q1")).cast("double"))
-    exact = [orders.crossJoin(F.broadcast(found.filter(F.col("column") == c).select("q1"))).agg(F.lit(c).alias("column"), count(c), below(c).alias("rank")) for c in ("o_custkey", "o_totalprice", "o_orderstatus")]
+    middle = {r["column"]: r["q1"] for r in found.select("column", "q1").collect()}  # one row a column
+    below = lambda c: F.lit(None).cast("double") if middle[c] is None else F.avg((F.col(c) <= middle[c]).cast("double"))
+    exact = [orders.agg(F.lit(c).alias("column"), count(c), below(c).alias("rank")) for c in middle]
     near = F.abs(F.col("n_distinct") - F.col("exact")) <= 4 * 1.04 / 2 ** (sketches.LG_K / 2) * F.col("exact") + 0.5
-    out = found.join(exact[0].unionByName(exact[1]).unionByName(exact[2]), "column")
+    out = found.join(functools.reduce(DataFrame.unionByName, exact), "column")
     return out.select("column", "n_rows", "n_nulls", near.alias("distinct_within"), (F.abs(F.col("rank") - 0.5) <= 0.02).alias("median_within"))
 
 
