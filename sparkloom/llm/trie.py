@@ -23,12 +23,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.functions.storage import written
 from sparkloom.llm.common import checkpointed
 
 PRIME = 2**61 - 1
@@ -158,13 +160,18 @@ def _with_before(turns: DataFrame) -> DataFrame:
 
 def subtree_totals(nodes: DataFrame, figures: list[str]) -> DataFrame:
     """key and the totals of figures (longs) over the subtree of each node of nodes(key, parent, figures); the roots' parent is null."""
+    return _expanded(*_contracted(nodes, figures), figures)
+
+
+def _contracted(nodes: DataFrame, figures: list[str]) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The rounds: raked nodes with their totals; contracted ones with where they lead to (to) and what they have beside its total."""
     own, delivered, offsets = [f"own_{f}" for f in figures], [f"in_{f}" for f in figures], [f"off_{f}" for f in figures]
     zero = F.lit(0).cast("long")
     live = nodes.select("key", "parent", *(F.col(f).alias(o) for f, o in zip(figures, own, strict=True)), *(zero.alias(o) for o in offsets))
     raked, contracted, turn = [], [], 0
     while True:
         kids = live.filter("parent is not null").groupBy("parent").agg(F.count("*").alias("kids"), F.min("key").alias("child")).withColumnRenamed("parent", "key")
-        marked = checkpointed(live.join(kids, "key", "left"))
+        marked = written(live.join(kids, "key", "left"))
         leaf = marked.filter("kids is null")
         raked.append(leaf.select("key", *(F.col(o).alias(f) for f, o in zip(figures, own, strict=True))))
         rest = marked.filter("kids is not null")
@@ -176,38 +183,34 @@ def subtree_totals(nodes: DataFrame, figures: list[str]) -> DataFrame:
         coin = lambda c: F.struct(F.xxhash64(c, F.lit(turn)), c)  # noqa: E731, B023
         goes = (F.col("kids") == 1) & F.col(delivered[0]).isNull() & F.col("parent").isNotNull() & (coin(F.col("key")) > coin(F.col("parent"))) & (coin(F.col("key")) > coin(F.col("child")))
         rest = rest.withColumn("goes", F.coalesce(goes, F.lit(False)))
-        rest = checkpointed(rest.withColumns({o: F.col(o) + F.coalesce(d, zero) for o, d in zip(own, delivered, strict=True)}).drop(*delivered))
+        rest = written(rest.withColumns({o: F.col(o) + F.coalesce(d, zero) for o, d in zip(own, delivered, strict=True)}).drop(*delivered))
         gone = rest.filter("goes").select(F.col("child").alias("key"), F.col("key").alias("above"), F.col("parent").alias("next"), *(F.col(o).alias(f"a_{o}") for o in own), *(F.col(o).alias(f"a_{o}") for o in offsets))
-        moved = checkpointed(rest.filter("not goes").drop("kids", "child", "goes").join(gone, "key", "left"))
+        moved = written(rest.filter("not goes").drop("kids", "child", "goes").join(gone, "key", "left"))
         hung = moved.filter("above is not null")
         # What a contracted node has beside the total of the child that was left: its own figures and the child's offset.
         contracted.append(hung.select(F.col("above").alias("key"), F.col("key").alias("to"), *((F.col(f"a_{o}") + F.col(off)).alias(f) for f, o, off in zip(figures, own, offsets, strict=True))))
         up = {off: F.col(off) + F.coalesce(F.col(f"a_{o}") + F.col(f"a_{off}"), zero) for o, off in zip(own, offsets, strict=True)}
         live = moved.withColumns(up).select("key", F.coalesce("next", "parent").alias("parent"), *own, *offsets)
         turn += 1
-    return _expanded(raked, contracted, figures)
+    return raked, contracted
 
 
 def _expanded(raked: list[DataFrame], contracted: list[DataFrame], figures: list[str]) -> DataFrame:
     """Totals of raked and of contracted nodes; a contracted one has figures beside those of the node that it leads to."""
-    known = raked[0]
-    for part in raked[1:]:
-        known = known.unionByName(part)
+    known = reduce(DataFrame.unionByName, raked)
     if not contracted:
         return known
-    links = contracted[0]
-    for part in contracted[1:]:
-        links = links.unionByName(part)
-    links = checkpointed(links)
-    while not links.isEmpty():
+    links = written(reduce(DataFrame.unionByName, contracted).repartition("key"))  # dealt anew: each round left partitions
+    while True:
         onward = links.select(F.col("key").alias("to"), F.col("to").alias("beyond"), *(F.col(f).alias(f"b_{f}") for f in figures))
-        step = checkpointed(links.join(onward, "to", "left"))
-        # Links to raked nodes end here; the others take two steps in one.
-        ending = step.filter("beyond is null").select("key", "to", *figures)
-        totals = known.select(F.col("key").alias("to"), *(F.col(f).alias(f"t_{f}") for f in figures))
-        known = checkpointed(known.unionByName(ending.join(totals, "to").select("key", *((F.col(f) + F.col(f"t_{f}")).alias(f) for f in figures))))
-        links = step.filter("beyond is not null").select("key", F.col("beyond").alias("to"), *((F.col(f) + F.col(f"b_{f}")).alias(f) for f in figures))
-    return known
+        step = written(links.join(onward, "to", "left"))
+        if step.filter("beyond is not null").isEmpty():
+            break
+        # A link that doesn't end at a raked node yet takes two steps in one.
+        links = step.select("key", F.coalesce("beyond", "to").alias("to"), *((F.col(f) + F.coalesce(f"b_{f}", F.lit(0))).alias(f) for f in figures))
+    totals = known.select(F.col("key").alias("to"), *(F.col(f).alias(f"t_{f}") for f in figures))
+    ended = links.join(totals, "to").select("key", *((F.col(f) + F.col(f"t_{f}")).alias(f) for f in figures))
+    return checkpointed(known.unionByName(ended).repartition("key"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
