@@ -1,11 +1,14 @@
 """Licence scan by paragraph: sparse word n-gram logistic regression, a calibrated unknown class, template comparison (DataFrame functions only).
 
 A paragraph is a line, put together with the next one where a long line breaks inside a sentence. Features are the presence of
-word uni-, bi- and trigrams of TEMPLATES. Multinomial logistic regression with an L1 penalty is fitted on the templates,
-cuttings of them, and paragraphs of the corpus that share no trigram with a template (class unknown, at most NEGATIVES).
-Calibration is by cross-fitting: wordings (with all their cuttings) and unknown paragraphs fall into FOLDS, and each is judged by a
+word uni-, bi- and trigrams of the examples. Multinomial logistic regression with an L1 penalty is fitted on the templates,
+cuttings of them, the NAMES of families in CARRIERS, the names of OTHERS in the same carriers (class unknown, so that names and not
+carriers tell), and clean paragraphs of the corpus (class unknown, at most NEGATIVES). A paragraph is clean if it shares
+no trigram with a template, holds none of LICENCE_WORDS and no pair of words of a family's name: what the corpus says about
+licences is neither called unknown nor used to calibrate.
+Calibration is by cross-fitting: wordings (with all their cuttings), carriers and clean paragraphs fall into FOLDS, and each is judged by a
 model that saw none of its fold. On these judgements a temperature is chosen by likelihood, and the probability above which
-a family counts is set so that at most FALSE_SHARE of the unknown paragraphs reach it; below it a paragraph is unknown; nothing
+a family counts is set so that at most FALSE_SHARE of the clean paragraphs reach it; below it a paragraph is unknown; nothing
 else decides. The model in use is fitted on all folds. The prediction is then compared with the family's templates: template_overlap is the
 largest share of common trigrams, of the paragraph's or of a template's, and a prediction is confirmed if the share is at
 least CONFIRM. A family's probability passes the cutoff only if n-grams that speak for it outweigh the bias, so lines
@@ -80,6 +83,29 @@ TEMPLATES = {
     ],
 }
 FAMILIES = sorted(TEMPLATES)
+#: Usual names of these families, names of other licences, wordings that carry a name, and words that speak of licences.
+NAMES = {
+    "apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache 2.0 license", "Apache Software License 2.0"],
+    "mit": ["MIT License", "MIT licence", "MIT", "Expat License", "The MIT License (MIT)"],
+    "gpl-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3", "GPL-3.0", "GNU GPL version 3", "GPL-3.0-or-later"],
+    "cc-by-nc-4.0": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons BY-NC 4.0 licence"],
+    "bsd-3-clause": ["BSD 3-Clause License", "BSD-3-Clause", "3-clause BSD license", "New BSD License", "modified BSD license"],
+    "cc-by-4.0": ["CC BY 4.0", "CC-BY-4.0", "Creative Commons Attribution 4.0 International License"],
+}
+OTHERS = [
+    "Mozilla Public License 2.0", "MPL-2.0", "GNU Lesser General Public License version 2.1", "LGPL-2.1", "LGPLv3", "GNU Affero General Public License version 3", "AGPL-3.0",
+    "GNU General Public License, version 2", "GPLv2", "GPL-2.0", "Eclipse Public License 2.0", "ISC License", "zlib License", "BSD 2-Clause License", "CC BY-SA 4.0",
+    "CC BY-NC-SA 4.0", "CC0 1.0", "Boost Software License", "Artistic License 2.0", "proprietary license", "commercial licence",
+]
+CARRIERS = [
+    "{}", "License: {}", "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "Distributed under the terms of the {}.", "This project is licensed under the {}.",
+    "This software is available under the {}, see LICENSE.", "The code is covered by the {} as published.", "SPDX-License-Identifier: {}", "Copyright by the authors. {} applies.", "Made available under {}",
+]
+PLAIN = [
+    "the work of this program", "a copy of the software is free", "version 3 of the terms", "you may use this file", "", "the license of the driver was renewed", "a licence to fish is needed here",
+    "she had no license to do it", "licenses are sold at the counter", "see the license for details", "all rights reserved", "under the public law of this land", "creative work in the commons",
+]
+LICENCE_WORDS = ["license", "licence", "licensed", "licenced", "licenses", "licences", "gpl", "gplv2", "gplv3", "lgpl", "agpl", "apache", "spdx", "bsd", "mpl", "gnu", "copyright"]
 
 
 def _split(text: str | Column) -> Column:
@@ -100,7 +126,7 @@ def _features(w: Column) -> Column:
 
 
 def _examples(spark: SparkSession) -> DataFrame:
-    """family, line and wording (the template it is from): templates, their beginnings if long, and their quotation inside other words."""
+    """family, line and wording (the template or carrier it is from): templates, their beginnings if long, their quotation inside other words, and names in carriers."""
     rows = []
     for family, lines in TEMPLATES.items():
         for line in lines:
@@ -108,6 +134,8 @@ def _examples(spark: SparkSession) -> DataFrame:
             cuts = [line, f"Notice: {line}", f"{line} All rights reserved."]
             cuts += [" ".join(parts[:-2])] * (len(parts) > 8) + [" ".join(parts[: 2 * len(parts) // 3])] * (len(parts) > 14)
             rows += [(family, cut, line) for cut in cuts]
+    rows += [(family, carrier.format(name), carrier) for family, names in [*NAMES.items(), (UNKNOWN, OTHERS)] for name in names for carrier in CARRIERS]
+    rows += [(UNKNOWN, line, line) for line in PLAIN]
     return spark.createDataFrame(rows, "family string, line string, wording string")
 
 
@@ -120,22 +148,24 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
 def fit(docs: DataFrame, text: str = "text") -> dict:
     """weights: {n-gram: weight by class}, bias, classes, temperature, cutoff, anchors. Reads at most NEGATIVES paragraphs of docs."""
     spark = docs.sparkSession
-    known = _examples(spark).withColumn("w", words(F.col("line")))
-    template_grams = [r[0] for r in known.select(F.explode(grams(F.col("w"), 3))).distinct().collect()]
+    known = _examples(spark).withColumns({"w": words(F.col("line")), "clean": F.lit(False)})
+    template_grams = [r[0] for r in _templates(spark).select("gram").distinct().collect()]
+    names = spark.createDataFrame([(n,) for each in NAMES.values() for n in each], "line string").select(words(F.col("line")).alias("w"))
+    name_pairs = [r[0] for r in names.select(F.explode(grams(F.col("w"), 2))).distinct().collect()]
     hashed = docs.filter(F.col(text).isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("h"), F.substring(F.col(text), 1, 4000).alias(text))
     picked = [r["h"] for r in hashed.groupBy("h").agg(F.count("*")).orderBy("h").limit(NEGATIVES // 3).select("h").collect()]
     texts = hashed.filter(F.col("h").isin(picked)).dropDuplicates(["h"])
     lines = paragraphs(texts, text).select(F.lit(UNKNOWN).alias("family"), F.substring("line", 1, 400).alias("line")).withColumn("w", words(F.col("line")))
-    others = lines.filter(~F.arrays_overlap(grams(F.col("w"), 3), F.array(*map(F.lit, template_grams)))).orderBy(F.xxhash64("line"), "line").limit(NEGATIVES)
-    plain = spark.createDataFrame([(UNKNOWN, x) for x in ("the work of this program", "a copy of the software is free", "version 3 of the terms", "you may use this file", "")], "family string, line string").withColumn("w", words(F.col("line")))
-    unknown = others.unionByName(plain).withColumn("wording", F.col("line"))
-    data = known.unionByName(unknown).select("family", "line", "wording", _features(F.col("w")).alias("f"))
+    among = lambda own, listed: F.arrays_overlap(own, F.array(*map(F.lit, listed)))
+    clean = lines.filter(~among(grams(F.col("w"), 3), template_grams) & ~among("w", LICENCE_WORDS) & ~among(grams(F.col("w"), 2), name_pairs))
+    clean = clean.orderBy(F.xxhash64("line"), "line").limit(NEGATIVES).withColumns({"wording": F.col("line"), "clean": F.lit(True)})
+    data = known.unionByName(clean).select("family", "line", "wording", "clean", _features(F.col("w")).alias("f"))
     counter = CountVectorizer(inputCol="f", outputCol="x", binary=True, minDF=1.0).fit(known.select(_features(F.col("w")).alias("f")))
     classes = [*FAMILIES, UNKNOWN]
     label = F.array_position(F.array(*map(F.lit, classes)), F.col("family")) - 1
-    size = F.when(F.col("family") == UNKNOWN, 1.0).otherwise(5.0)
+    size = F.when(F.col("clean"), 1.0).otherwise(3.0)
     fold = F.pmod(F.xxhash64("wording"), F.lit(FOLDS)).cast("int")
-    ready = counter.transform(data).select("family", "line", "f", "x", label.cast("double").alias("y"), size.alias("size"), fold.alias("fold"))
+    ready = counter.transform(data).select("line", "clean", "f", "x", label.cast("double").alias("y"), size.alias("size"), fold.alias("fold"))
     ready = checkpointed(ready.coalesce(1))  # a bounded sample
 
     def fitted(rows: DataFrame) -> tuple[dict[str, list[float]], list[float]]:
@@ -147,20 +177,20 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
 
     weights, bias = fitted(ready)
     used = F.array_intersect("f", F.array(*map(F.lit, sorted({w for g in counter.vocabulary for w in g.split()}))))
-    seen = {r["w"]: r["n"] for r in ready.filter(F.col("family") == UNKNOWN).select(F.explode(used).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    seen = {r["w"]: r["n"] for r in ready.filter("clean").select(F.explode(used).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     logits = []
     for k in range(FOLDS):
         others_weights, others_bias = fitted(ready.filter(F.col("fold") != k))
-        holdout = [(r["f"], int(r["y"])) for r in ready.filter(F.col("fold") == k).select("f", "y").collect()]  # bounded by the sample
-        logits += [([b + sum(others_weights[g][c] for g in f if g in others_weights) for c, b in enumerate(others_bias)], y) for f, y in holdout]
+        holdout = [(r["f"], int(r["y"]), r["clean"]) for r in ready.filter(F.col("fold") == k).select("f", "y", "clean").collect()]  # bounded by the sample
+        logits += [([b + sum(others_weights[g][c] for g in f if g in others_weights) for c, b in enumerate(others_bias)], y, clean) for f, y, clean in holdout]
 
     def probabilities(z: list[float], t: float) -> list[float]:
         top = max(z)
         e = [math.exp((x - top) / t) for x in z]
         return [x / sum(e) for x in e]
 
-    temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=lambda t: sum(-math.log(max(1e-12, probabilities(z, t)[y])) for z, y in logits)) if logits else 1.0
-    worst = sorted((max(probabilities(z, temperature)[:-1]) for z, y in logits if y == len(classes) - 1), reverse=True)
+    temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=lambda t: sum(-math.log(max(1e-12, probabilities(z, t)[y])) for z, y, _ in logits)) if logits else 1.0
+    worst = sorted((max(probabilities(z, temperature)[:-1]) for z, _, clean in logits if clean), reverse=True)
     cutoff = max(LEAST, worst[int(FALSE_SHARE * len(worst))] if worst else 0.0)
     return {"weights": weights, "bias": bias, "classes": classes, "temperature": temperature, "cutoff": cutoff, "anchors": anchors(weights, bias, temperature, cutoff, seen)}
 
