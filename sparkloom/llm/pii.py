@@ -31,7 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 PLAIN = "plain"
 MAX_TOKENS, CONTEXT, MARGIN = 24, 40, 0.75
 #: Documents to fit on, islands to fit on, rounds, step.
-SAMPLE, ISLANDS, ROUNDS, STEP = 200, 800, 8, 0.3
+SAMPLE, ISLANDS, ROUNDS, STEP = 200, 1_200, 8, 0.3
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,7 +41,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\S\n]+|\S")
-_AT = re.compile(r"@|[\[(] ?at ?[\])]")
+#: An at-sign, or the word in brackets, or the bare word before a host and a spelt-out dot.
+_AT = re.compile(r"@|[\[(] ?at ?[\])]|(?<=[A-Za-z0-9]) at (?!(?:the|an?|this|that|these|those|our|my|his|her|its|their|your|one|each|every|any|which|what|all|no) )(?=[A-Za-z0-9-]+ dot [A-Za-z])")
+_DOT = r"(?:\.| ?[(\[] ?dot ?[)\]] ?| dot )"
+_ADDRESS = re.compile(rf"[A-Za-z0-9._%+-]+(?:@| ?[\[(] ?at ?[\])] ?| at )(?:[A-Za-z0-9-]+{_DOT})+[A-Za-z]{{2,10}}")
+_MORE = re.compile(rf"{_DOT}[A-Za-z0-9]")
+#: Words that announce personal data; other words before a segment don't count.
+CUES = {"call", "phone", "tel", "telephone", "fax", "mail", "email", "contact", "write", "reach", "card", "visa", "account", "ip", "host", "server", "address", "number", "version", "page", "dated", "order"}
 
 
 def luhn(digits: str) -> bool:
@@ -98,7 +104,7 @@ def scan(text: str, digits: list[tuple[int, int]] | None = None) -> list[tuple[s
 def islands(text: str, digits: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
     """Stretches within CONTEXT of a digit or an at-sign, cut at line ends; overlapping ones are one."""
     marks = zones(text) if digits is None else digits
-    if "@" in text or "at]" in text or "at)" in text or "at ]" in text or "at )" in text:
+    if "@" in text or "at]" in text or "at)" in text or "at ]" in text or "at )" in text or " dot " in text:
         marks = sorted([*marks, *(m.span() for m in _AT.finditer(text))])
     out: list[list[int]] = []
     for a, b in marks:
@@ -115,22 +121,26 @@ def islands(text: str, digits: list[tuple[int, int]] | None = None) -> list[tupl
 
 
 def features(text: str, start: int, end: int, before: str) -> list[str]:
-    """What a whole segment looks like; before is the last word ahead of it."""
+    """What a whole segment looks like; before is the last word ahead of it. Names, hosts and digits themselves don't count."""
     s = text[start:end]
+    left, right, cue = text[start - 1 : start], text[end : end + 1], before.lower() if before.lower() in CUES else ""
+    joined = left in ".-+@_" and left != "" or right in "-@_" and right != ""
+    at = _AT.search(s)
+    if at:
+        whole, more = bool(_ADDRESS.fullmatch(s)), bool(_MORE.match(text, end))
+        out = [f"address={whole}", f"sign={'@' if '@' in at[0] else 'word' if at[0][0] == ' ' else 'mark'}", f"more={more}", f"open={left.isalnum() or right.isalnum()}", f"joined={joined}", f"blanks={min(6, s.count(' '))}", f"cue={cue}"]
+        return [*out, out[0] + out[1], out[0] + out[2], out[0] + out[3], out[0] + out[4]]
     d = _digits(s)
     shape = re.sub(r"(.)\1+", r"\1+", re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9]", "9", s)))
     groups = re.findall(r"[0-9]+", s)
-    has_at = "@" in s or bool(re.search(r"[\[(] ?at ?[\])]", s))
-    left, right = text[start - 1 : start], text[end : end + 1]
     out = [
-        f"shape={shape[:24]}", f"digits={len(d)}", f"luhn={len(d) >= 12 and luhn(d)}", f"plus={s[:1] == '+'}", f"at={has_at}",
+        f"shape={shape[:24]}", f"digits={len(d)}", f"luhn={len(d) >= 12 and luhn(d)}", f"plus={s[:1] == '+'}", f"start={s[:1] in '+('}",
         f"quad={len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups) and s.count('.') == 3}",
         f"groups={'-'.join(str(min(len(g), 7)) for g in groups[:6])}", f"marks={''.join(sorted(set(re.sub(r'[A-Za-z0-9]', '', s))))[:8]}",
         f"letters={any(c.isalpha() for c in s)}", f"open={left.isalnum() or right.isalnum()}",
-        f"joined={left in '.-+@_' and left != '' or right in '-@_' and right != ''}", f"before={before[-12:].lower()}",
-        f"tail={bool(re.search(r'(?:[.]| ?[(\[] ?dot ?[)\]] ?)[A-Za-z]{2,10}$', s))}",
+        f"joined={joined}", f"cue={cue}",
     ]
-    return [*out, out[4] + out[12], out[2] + out[1], out[3] + out[1], out[8] + out[6]]
+    return [*out, out[2] + out[1], out[3] + out[1], out[8] + out[6], out[6] + out[7], out[6] + out[7] + out[10] + out[9]]
 
 
 class Island:
@@ -217,7 +227,12 @@ def _rewritten(kind: str, s: str, rng: random.Random) -> list[tuple[str, str]]:
     d = _digits(s)
     if kind == "email":
         user, _, domain = s.partition("@")
-        return [(kind, f"{user} [at] {domain.replace('.', ' [dot] ')}"), (kind, f"{user} (at) {domain}"), (kind, f"{user}(at){domain.replace('.', '(dot)')}"), (PLAIN, f"{user} @ "), (PLAIN, f"@{user}")]
+        word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randrange(2, 9)))
+        names = [(user, domain), (rng.choice([f"{word()}.{word()}", word(), f"{word()}{rng.randrange(100)}", f"{word()}_{word()}"]), ".".join([word(), *([word()] * rng.randrange(2)), rng.choice(["com", "org", "net", "de", "info"])]))]
+        out = [(PLAIN, f"{user} @ "), (PLAIN, f"@{user}"), (PLAIN, f"{word()} (at) {word()} {word()}")]
+        for u, h in names:
+            out += [(kind, f"{u} [at] {h.replace('.', ' [dot] ')}"), (kind, f"{u} (at) {h}"), (kind, f"{u}(at){h.replace('.', '(dot)')}"), (kind, f"{u}[at]{h}"), (kind, f"{u} at {h.replace('.', ' dot ')}")]
+        return out
     if kind == "ip":
         return [(PLAIN, s.replace(s.split(".")[0], str(rng.randrange(256, 999)), 1)), (PLAIN, ".".join(s.split(".")[:3])), (PLAIN, s.split(".")[0])]
     if kind == "card":
@@ -225,7 +240,9 @@ def _rewritten(kind: str, s: str, rng: random.Random) -> list[tuple[str, str]]:
         return [(kind, ".".join(cuts)), (kind, "/".join(cuts)), (PLAIN, _luhn_break(s, rng)), (PLAIN, d[:8]), (PLAIN, d[:4])]
     ten = d[-10:].rjust(10, "2")
     bad = d[:6]
-    return [(kind, f"({ten[:3]}) {ten[3:6]}-{ten[6:]}"), (kind, f"{ten[:3]}-{ten[3:6]}-{ten[6:]}"), (kind, f"1-{ten[:3]}-{ten[3:6]}-{ten[6:]}"), (PLAIN, bad), (PLAIN, f"{bad[:4]}-{bad[4:]}-01"), (PLAIN, f"{bad[:4]}-{bad[:4]}")]
+    a, b, c = ten[:3], ten[3:6], ten[6:]
+    out = [(kind, x) for x in (f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"1-{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}")]
+    return out + [(PLAIN, x) for x in (bad, f"{bad[:4]}-{bad[4:]}-01", f"{bad[:4]}-{bad[:4]}", f"{c}.{a[:2]}.{b[:2]}", f"{a} {b} {bad[:3]}", f"{a[:2]} {b} {bad[:3]}", f"{a[0]}.{b[0]}.{c[:2]}", f"{a}.{b}.{bad[:3]}", f"{a},{b} {c}", f"{a},{b} ({c}", f"{a[0]},{b},{bad[:3]} {c}")]
 
 
 def fit(texts: list[str], seed: int = 7) -> dict[str, np.ndarray]:
