@@ -1,8 +1,9 @@
 """Secret scan: base patterns over the whole text, then a worklist that unwraps nested encodings and scans each layer.
 
 A layer is a text with a way back to its parent. Unwrapping a layer gives children: the text with its URL escapes
-decoded, the text with its Unicode escapes decoded, the text with its HTML character references decoded, and for each base64
-run (or run of escaped bytes) the text in it, inflated first where its bytes begin like gzip, zlib, zstd, bzip2 or xz data.
+decoded (pluses as blanks, too, as in forms), the text with its Unicode and octal escapes decoded, the text with its HTML character references decoded, and for each base64
+run (or run of escaped bytes) the text in it (UTF-8 or UTF-16), inflated first where its bytes begin like gzip, zlib, zstd, bzip2 or
+xz data, or are one whole deflate stream. A run may be cut into lines by line ends, blanks or escaped line ends; short lines must be of equal length.
 A base64 run may have letters, a path or a name before it: compressed data is looked for behind every mark, and
 printable stretches at all four alignments. A worklist goes on until no layer gives
 a new text; a text seen before in the document is not taken again, which ends cycles. What is found in a layer is
@@ -44,10 +45,17 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # maximal runs, so the same matches as of AKIA[A-Z0-9]+ with 16+ characters
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")  # likewise
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:[\\%]u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
-_ONE = re.compile(r"[\\%](?:u\{([0-9A-Fa-f]+)\}|[uUx]([0-9A-Fa-f]+))")
+#: The same as in forms, where a plus stands for a blank; a run has an escape.
+_FORM = re.compile(r"\+*(?:%[0-9A-Fa-f]{2}\+*)+|(?<=[A-Za-z0-9.])\++(?=[A-Za-z0-9%])")
+_UNICODE = re.compile(r"(?:[\\%]u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|\\[0-3][0-7]{2})+")
+_ONE = re.compile(r"[\\%](?:u\{([0-9A-Fa-f]+)\}|[uUx]([0-9A-Fa-f]+))|\\([0-7]{3})")
 _HTML = re.compile(r"(?:&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{16,}(?:\r?\n[A-Za-z0-9+/]+)+|[A-Za-z0-9+/_-]{16,})={0,2}")
+#: Base64 in short lines of equal length (4, 8 or 12 characters), cut by line ends or blanks; or in lines cut by escaped line ends.
+_CUT = r"(?<![A-Za-z0-9+/_-])(?:{})[A-Za-z0-9+/]{{1,76}}={{0,2}}"
+_SHORT = re.compile(_CUT.format("|".join(rf"(?:[A-Za-z0-9+/]{{{n}}}{end}){{{least},}}" for n, least in ((4, 6), (8, 3), (12, 2)) for end in (r"\r?\n", "\\x20"))))
+_LITERAL = re.compile(_CUT.format(r"(?:[A-Za-z0-9+/]{4,}(?:\\r)?\\n){1,}|(?:[A-Za-z0-9+/]{16,}\x20){1,}"))
+_MARKS = re.compile(r"(?:\\r)?\\n|[\r\n\x20]")
 #: Bytes that a stretch of printable ones has at least.
 _PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 _MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"\x28\xb5\x2f\xfd", b"BZh", b"\xfd7zXZ\x00")
@@ -147,12 +155,26 @@ def _texts(data: bytes) -> Iterator[tuple[str, str]]:
     if any_piece:
         yield "inflate", "".join([*parts, decoder.decode(b"", True)])
         return
+    for code in ("utf-8", *(("utf-16-le", "utf-16-be") if b"\0" in data[:8] and len(data) % 2 == 0 else ())):
+        try:
+            text = data.decode(code).removeprefix("\ufeff")
+        except UnicodeDecodeError:
+            continue
+        if text and all(c.isprintable() or c in "\t\n\r\x0b\x0c" for c in text):
+            yield "bytes" if code == "utf-8" else "utf-16", text
+            return
+    if text := _deflated(data):
+        yield "inflate", text
+
+
+def _deflated(data: bytes) -> str:
+    """The text in a whole deflate stream without a header, if it is printable: any bytes could be one, so that all must fit. Beyond WINDOW it isn't taken for one."""
+    stream = zlib.decompressobj(-15)
     try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return
-    if text and all(c.isprintable() or c in "\t\n\r\x0b\x0c" for c in text):
-        yield "bytes", text
+        text = stream.decompress(data, WINDOW).decode("utf-8") if len(data) >= 10 else ""
+    except (zlib.error, UnicodeDecodeError):
+        return ""
+    return text if stream.eof and len(text) >= 12 and all(c.isprintable() or c in "\t\n\r" for c in text) else ""
 
 
 def _escaped(layer: Layer, how: str, pattern: re.Pattern, decode) -> Iterator[Layer]:
@@ -162,7 +184,7 @@ def _escaped(layer: Layer, how: str, pattern: re.Pattern, decode) -> Iterator[La
         text, data = decode(m[0])
         if data is not None and text is None:
             for kind, inner in _texts(data):
-                yield Layer(inner, layer, [(0, m.start(), m.end())], UNREAD if kind == UNREAD else f"{how}/inflate")
+                yield Layer(inner, layer, [(0, m.start(), m.end())], UNREAD if kind == UNREAD else f"{how}/{kind}")
         if text is None:
             continue
         changed = True
@@ -188,7 +210,7 @@ def _from_url(run: str) -> tuple[str | None, bytes]:
 
 
 def _from_unicode(run: str) -> tuple[str | None, bytes | None]:
-    points = [int(a or b, 16) for a, b in _ONE.findall(run)]
+    points = [int(o, 8) if o else int(a or b, 16) for a, b, o in _ONE.findall(run)]
     if any(p > 0x10FFFF for p in points):
         return None, None
     data = bytes(points) if max(points) < 256 else None
@@ -212,12 +234,33 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
     text = layer.text
     if "%" in text:
         yield from _escaped(layer, "url", _URL, _from_url)
+        if "+" in text and _URL.search(text):
+            yield from _escaped(layer, "form", _FORM, _from_form)
     if "\\" in text or "%u" in text:
         yield from _escaped(layer, "unicode", _UNICODE, _from_unicode)
     if "&" in text:
         yield from _escaped(layer, "html", _HTML, _from_html)
     for m in _BASE64.finditer(text):
         yield from _from_base64(layer, m)
+    for m in _SHORT.finditer(text):
+        yield from _from_lines(layer, m)
+    if "\\n" in text or " " in text:
+        for m in _LITERAL.finditer(text):
+            yield from _from_lines(layer, m)
+
+
+def _from_lines(layer: Layer, m: re.Match) -> Iterator[Layer]:
+    """The children from base64 in lines: each comes from all of them."""
+    data = _bytes_of(_MARKS.sub("", m[0]).rstrip("="))
+    for how, inner in _texts(data):
+        yield Layer(inner, layer, [(0, *m.span())], UNREAD if how == UNREAD else f"base64/{how}" if how != "bytes" else "base64")
+    for s in _PRINTABLE.finditer(data):
+        if len(s[0]) < len(data):
+            yield Layer(s[0].decode("ascii"), layer, [(0, *m.span())], "base64")
+
+
+def _from_form(run: str) -> tuple[str | None, bytes | None]:
+    return _from_url("".join(f"%{ord(c):02x}" for c in run.replace("+", " "))) if "%" not in run else _from_url(run.replace("+", "%20"))
 
 
 def _from_html(run: str) -> tuple[str | None, None]:
@@ -249,7 +292,7 @@ def _from_base64(layer: Layer, m: re.Match) -> Iterator[Layer]:
         data = _bytes_of(body[at:])
         for how, inner in _texts(data):
             own = pieces(at, 0, len(inner)) if how == "bytes" and len(inner) == len(data) else [(0, *m.span())]
-            yield Layer(inner, layer, own, {"bytes": "base64", UNREAD: UNREAD}.get(how, "base64/inflate"))
+            yield Layer(inner, layer, own, {"bytes": "base64", UNREAD: UNREAD}.get(how, f"base64/{how}"))
     for at in range(4):
         data = _bytes_of(body[at:])
         for s in _PRINTABLE.finditer(data):
