@@ -104,6 +104,8 @@ CARRIERS = [
 PLAIN = [
     "the work of this program", "a copy of the software is free", "version 3 of the terms", "you may use this file", "", "the license of the driver was renewed", "a licence to fish is needed here",
     "she had no license to do it", "licenses are sold at the counter", "see the license for details", "all rights reserved", "under the public law of this land", "creative work in the commons",
+    "er kommt mit uns nach Hause", "mit dem Auto in die Stadt", "das ist mit Abstand zu viel", "mit freundlichen Grüßen", "nicht mit mir, sagte sie", "wir sind mit allem fertig", "und mit einem Mal war es still",
+    "sie sprach mit ihm", "ein Haus mit Garten", "mit der Zeit wird es besser",
 ]
 LICENCE_WORDS = ["license", "licence", "licensed", "licenced", "licenses", "licences", "gpl", "gplv2", "gplv3", "lgpl", "agpl", "apache", "spdx", "bsd", "mpl", "gnu", "copyright"]
 
@@ -169,7 +171,7 @@ def fit(docs: DataFrame, text: str = "text") -> dict:
     ready = checkpointed(ready.coalesce(1))  # a bounded sample
 
     def fitted(rows: DataFrame) -> tuple[dict[str, list[float]], list[float]]:
-        solver = LogisticRegression(featuresCol="x", labelCol="y", weightCol="size", regParam=0.002, elasticNetParam=1.0, family="multinomial", maxIter=40, standardization=False)
+        solver = LogisticRegression(featuresCol="x", labelCol="y", weightCol="size", regParam=0.002, elasticNetParam=1.0, family="multinomial", maxIter=40, tol=1e-4, standardization=False)
         model = solver.fit(rows)
         matrix, bias = model.coefficientMatrix.toArray(), list(model.interceptVector.toArray())
         bias += [-30.0] * (len(classes) - len(bias))
