@@ -192,7 +192,7 @@ def _marked(shared, text: str, keep: list[str], names: tuple[str, str, str]):
 
 def _united(a: Column, b: Column) -> Column:
     """Two ascending lists of runs (start, end, start, end, ...) as one, overlapping and adjacent runs merged."""
-    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) / 2), lambda i: F.struct(F.get(c, (2 * i - 2).cast("int")).alias("a"), F.get(c, (2 * i - 1).cast("int")).alias("b")))
+    pairs = lambda c: F.transform(F.sequence(F.lit(1), (F.size(c) / 2).cast("int")), lambda i: F.struct(F.get(c, (2 * i - 2).cast("int")).alias("a"), F.get(c, (2 * i - 1).cast("int")).alias("b")))
     every = lambda c: F.when(F.size(c) > 0, pairs(c)).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
     joined = lambda s, x: F.when(F.element_at(s, -1)["b"] >= x["a"], F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(F.element_at(s, -1)["a"].alias("a"), F.greatest(F.element_at(s, -1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(s, F.array(x)))
     merged = F.aggregate(F.array_sort(F.concat(every(a), every(b))), F.array().cast("array<struct<a:bigint,b:bigint>>"), lambda s, x: F.when(F.size(s) == 0, F.array(x)).otherwise(joined(s, x)))

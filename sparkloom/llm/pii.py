@@ -149,7 +149,7 @@ class Island:
     def __init__(self, text: str, lo: int, hi: int):
         self.tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
         self.candidates: dict[tuple[int, int], list[str]] = {}
-        # A number starts with a digit, plus or bracket and ends with a digit; anything else has an at-sign, and starts and ends with a letter or digit.
+        # A number starts with a digit, plus or bracket, ends with a digit and has no letters; anything else has an at-sign, and starts and ends with a letter or digit.
         n, word, before = len(self.tokens), "", []
         signs = [m.span() for m in _AT.finditer(text, lo, hi)]
         for a, b in self.tokens:
@@ -160,10 +160,12 @@ class Island:
             number = text[a] in "+(" or "0" <= text[a] <= "9"
             if not number and not (signs and text[a].isalpha()):
                 continue
+            letters = False
             for j in range(i, min(n, i + MAX_TOKENS)):
                 b = self.tokens[j][1]
                 last = text[b - 1]
-                if b - a >= 6 and (number and "0" <= last <= "9" or last.isalnum() and any(a < s and e < b for s, e in signs)):
+                letters = letters or last.isalpha()
+                if b - a >= 6 and (number and not letters and "0" <= last <= "9" or last.isalnum() and any(a < s and e < b for s, e in signs)):
                     self.candidates[i, j + 1] = features(text, a, b, before[i])
 
     def scores(self, weights: dict[str, np.ndarray]) -> dict[tuple[int, int], np.ndarray]:
@@ -256,10 +258,15 @@ def fit(texts: list[str], seed: int = 7) -> dict[str, np.ndarray]:
             inside = [g for g in inside if not any(o != g and o[1] <= g[1] and g[2] <= o[2] for o in inside)]
             data.append((text[lo:hi], {(k, a - lo, b - lo) for k, a, b in inside}))
             for kind, a, b in inside:
+                # What stands around it keeps its labels; what the ends of the copy would cut stays out.
+                near = [g for g in inside if g[2] <= a or g[1] >= b]
+                first = max([max(lo, a - CONTEXT), *(e for _, s, e in near if s < a - CONTEXT < e)])
+                last = min([min(hi, b + CONTEXT), *(s for _, s, e in near if s < b + CONTEXT < e)])
                 for other, new in _rewritten(kind, text[a:b], rng):
-                    piece = text[max(lo, a - CONTEXT) : a] + new + text[b : min(hi, b + CONTEXT)]
-                    at = a - max(lo, a - CONTEXT)
-                    data.append((piece, {(other, at, at + len(new))} if other != PLAIN else set()))
+                    more = len(new) - (b - a)
+                    gold_near = {(k, s - first, e - first) for k, s, e in near if first <= s and e <= a} | {(k, s - first + more, e - first + more) for k, s, e in near if b <= s and e <= last}
+                    own = {(other, a - first, a - first + len(new))} if other != PLAIN else set()
+                    data.append((text[first:a] + new + text[b:last], own | gold_near))
     rng.shuffle(data)
     weights: dict[str, np.ndarray] = {}
     prepared = [(Island(t, 0, len(t)), gold) for t, gold in data[:ISLANDS]]

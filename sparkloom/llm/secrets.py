@@ -250,7 +250,10 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
 
 
 def _from_lines(layer: Layer, m: re.Match) -> Iterator[Layer]:
-    """The children from base64 in lines: each comes from all of them."""
+    """The children from base64 in lines: each comes from all of them. There are two whole lines of one length at least, and only the last may be shorter."""
+    sizes = [len(x) for x in _MARKS.split(m[0])]
+    if len(sizes) < 2 or len({*sizes[:-1]}) > 1 or sizes[-1] > sizes[0] or len(sizes) == 2 and sizes[1] < sizes[0]:
+        return
     data = _bytes_of(_MARKS.sub("", m[0]).rstrip("="))
     for how, inner in _texts(data):
         yield Layer(inner, layer, [(0, *m.span())], UNREAD if how == UNREAD else f"base64/{how}" if how != "bytes" else "base64")
