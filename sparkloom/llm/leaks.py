@@ -12,7 +12,7 @@ the test suffixes are aggregated over shards. Tests of more than TEST_CHARS code
 after another, each adding its hits to the rows.
 
 Defined results: null and empty texts have no words. Rows that share an item_id count as one item, a null item_id as the empty string.
-Each row of the documents has its own result. Other columns are kept by mark() and decontaminate(), whatever their names.
+Each row of the documents has its own result. Other columns are kept by mark(), whose own names must be new, and by decontaminate(), whatever their names.
 """
 
 from __future__ import annotations

@@ -103,7 +103,7 @@ def prefixes(conversations: DataFrame) -> DataFrame:
     """conv_id, place (from 1), key (the name of the turns up to it), chars (code points of its text) of every turn."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     digest = F.sha2(F.concat(role, F.lit("\n"), F.length(role).cast("string"), F.lit("\n"), text), 256)
-    turns = conversations.filter(F.col("conv_id").isNotNull()).select("conv_id", "turn", digest.alias("digest"), F.length(text).cast("long").alias("chars"))
+    turns = conversations.filter(F.col("conv_id").isNotNull()).select(F.col("conv_id").cast("long").alias("conv_id"), "turn", digest.alias("digest"), F.length(text).cast("long").alias("chars"))
     ranged = turns.repartitionByRange("conv_id", F.col("turn").asc_nulls_first(), "digest").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "digest")
     own = checkpointed(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_summed, "conv_id long, part int, place long, key binary, chars long"))
     # One row a range for the conversation that it begins with, and one for each that goes on in the next: at most two a range.
