@@ -63,11 +63,32 @@ def impute(df: DataFrame, columns: list[str], strategy: str | float) -> DataFram
     return df.withColumns(flags).withColumns({c: F.coalesce(F.col(c), F.lit(fills[c])) for c in columns})
 
 
-def html_to_rows(df: DataFrame, key: str, html: str) -> DataFrame:
-    """key, title, heading, text, links, n_links of each page; scripts, styles and tags are no text."""
+#: Character references by name; the ampersand's comes last, so that nothing is decoded twice.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "hellip": "…", "mdash": "—", "ndash": "–", "euro": "€", "amp": "&"}
+
+
+def unescaped(text: Column) -> Column:
+    """text with its numeric character references and those of ENTITIES decoded; others stay."""
+    digits = lambda p: F.regexp_extract(p, r"^(?:[xX]([0-9A-Fa-f]{1,6})|[0-9]{1,7});", 1)
+    number = lambda p: F.regexp_extract(p, r"^([0-9]{1,7});", 1)
+    code = lambda p: F.when(digits(p) != "", digits(p)).when(number(p) != "", F.conv(number(p), 10, 16))
+    point = lambda p: F.conv(code(p), 16, 10).cast("long")
+    good = lambda p: point(p).between(1, 0x10FFFF) & ~point(p).between(0xD800, 0xDFFF)
+    decoded = lambda p: F.concat(F.decode(F.unhex(F.lpad(code(p), 8, "0")), "UTF-32"), F.regexp_replace(p, r"^[xX]?[0-9A-Fa-f]{1,7};", ""))
+    pieces = F.transform(F.split(text, "&#"), lambda p, i: F.when(i == 0, p).when(F.coalesce(good(p), F.lit(False)), decoded(p)).otherwise(F.concat(F.lit("&#"), p)))
+    out = F.when(text.contains("&#"), F.array_join(pieces, "")).otherwise(text)
+    for name, value in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
+    return out
+
+
+def html_to_rows(df: DataFrame, key: str, html: str, decode: bool = False) -> DataFrame:
+    """key, title, heading, text, links, n_links of each page; scripts, styles and tags are no text. Links may be in double, single or no quotes. decode: character references too."""
+    plain = unescaped if decode else lambda c: c
     page = F.coalesce(F.col(html), F.lit(""))
     bare = F.regexp_replace(page, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    text = F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]+>", " "), r"\s+", " "))
-    links = F.regexp_extract_all(page, F.lit(r"(?i)<a [^>]*href=\"([^\"]*)\""), F.lit(1))
-    first = lambda tag: F.regexp_extract(page, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
+    text = plain(F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]+>", " "), r"\s+", " ")))
+    quoted = F.regexp_extract_all(page, F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    links = F.transform(quoted, lambda x: plain(F.regexp_replace(x, r"""^["']|["']$""", "")))
+    first = lambda tag: plain(F.regexp_extract(page, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1))
     return df.select(key, first("title").alias("title"), first("h1").alias("heading"), text.alias("text"), links.alias("links"), F.size(links).alias("n_links"))

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkloom.operators import aggregates, deps, groups, hashtree, index, passages, phrases, search, sketches, vectors
+from sparkloom.operators import aggregates, deps, groups, hashtree, index, passages, phrases, prep, search, sketches, vectors
 from sparkloom.sources import layout, variants
 
 RNG = random.Random(2)
@@ -408,3 +408,16 @@ def test_top_n_with_null_and_other_keys(spark):
     df = spark.createDataFrame([(None, 9.0), ("x", 5.0), ("other", 4.0), ("z", 1.0)], "k string, v double")
     assert {tuple(r) for r in aggregates.top_n_with_other(df, "k", "v", 2).collect()} == {(None, False, 9.0), ("x", False, 5.0), ("other", True, 5.0)}
     assert {tuple(r) for r in aggregates.top_n_with_other(df, "k", "v", 3).collect()} == {(None, False, 9.0), ("x", False, 5.0), ("other", False, 4.0), ("other", True, 1.0)}
+
+
+def test_html_quotes_and_character_references(spark):
+    pages = [
+        (1, """<title>A &amp; B &#233;&#x1F389;</title><h1>x &lt; y</h1><a href='/one?a=1&amp;b=2'>1</a><A class="k" HREF=/two>2</A><a data-href="no" href = "/three">3</a><p>&#8364; &unknown; &#0; &amp;lt;</p>"""),
+        (2, None),
+        (3, "no tags &#65;"),
+    ]
+    own = {r["id"]: r for r in prep.html_to_rows(spark.createDataFrame(pages, "id long, html string"), "id", "html", decode=True).collect()}
+    assert (own[1]["title"], own[1]["heading"]) == ("A & B é🎉", "x < y")
+    assert own[1]["links"][:2] == ["/one?a=1&b=2", "/two"]
+    assert own[1]["text"].endswith("€ &unknown; &#0; &lt;")
+    assert (own[2]["text"], own[2]["n_links"], own[3]["text"]) == ("", 0, "no tags A")
