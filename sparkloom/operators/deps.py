@@ -19,7 +19,7 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def assign_taxonomy(packages: DataFrame, taxonomy: DataFrame, keys: list[str], generic: str = GENERIC) -> DataFrame:
-    """packages with the taxonomy's columns, known, severity and suggestion: an unknown category warns and suggests Other below the generic root, else fails."""
+    """packages with the taxonomy's columns, known, severity and suggestion: an unknown category warns and suggests Other below the generic root, else fails. A null root or category is unknown."""
     joined = packages.join(small(taxonomy.withColumn("known", F.lit(True))), keys, "left")
     joined = joined.withColumn("known", F.coalesce("known", F.lit(False)))
     bad = ~F.col("known")
@@ -28,16 +28,17 @@ def assign_taxonomy(packages: DataFrame, taxonomy: DataFrame, keys: list[str], g
 
 
 def missing_platform_deps(bindings: DataFrame, registry: DataFrame, on: list[str]) -> DataFrame:
-    """Bindings that aren't custom and that the environment's registry lacks."""
+    """Bindings that aren't custom and that the environment's registry lacks. A null name is in no registry; null in custom counts as not custom."""
     if "custom" in bindings.columns:
         bindings = bindings.filter(~F.coalesce("custom", F.lit(False)))
     return bindings.join(small(registry.select(*on).distinct()), on, "left_anti")
 
 
 def reconcile_bundles(bound: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:
-    """on, status: ok (bound and bundled), not_bundled, unused (bundled, not bound)."""
-    left, right = bound.select(*on).distinct().withColumn("b", F.lit(1)), present.select(*on).distinct().withColumn("p", F.lit(1))
-    return left.join(right, on, "full_outer").select(*on, F.when(F.col("b").isNull(), "unused").when(F.col("p").isNull(), "not_bundled").otherwise("ok").alias("status"))
+    """on, status: ok (bound and bundled), not_bundled, unused (bundled, not bound). Nulls are equal here. One shuffle, of rows that are combined before it."""
+    both = bound.select(*on, F.lit(True).alias("b"), F.lit(False).alias("p")).unionByName(present.select(*on, F.lit(False).alias("b"), F.lit(True).alias("p")))
+    found = both.groupBy(*on).agg(F.max("b").alias("b"), F.max("p").alias("p"))
+    return found.select(*on, F.when(~F.col("b"), "unused").when(~F.col("p"), "not_bundled").otherwise("ok").alias("status"))
 
 
 def match_submission(submissions: DataFrame, agents: DataFrame, name: str = "name") -> DataFrame:
@@ -47,8 +48,8 @@ def match_submission(submissions: DataFrame, agents: DataFrame, name: str = "nam
 
 
 def import_plan(bindings: DataFrame, target: str = "agent_key", item: str = "name") -> DataFrame:
-    """target, stage, item, position: each dependency once a target (stage 1), then the target itself (stage 2)."""
-    deps = bindings.select(target, F.lit(1).alias("stage"), F.col(item).cast("string").alias("item")).distinct()
+    """target, stage, item, position: each dependency once a target (stage 1), then the target itself (stage 2). A null name is no dependency."""
+    deps = bindings.filter(F.col(item).isNotNull()).select(target, F.lit(1).alias("stage"), F.col(item).cast("string").alias("item")).distinct()
     own = bindings.select(target, F.lit(2).alias("stage"), F.col(target).cast("string").alias("item")).distinct()
     return deps.unionByName(own).withColumn("position", F.row_number().over(Window.partitionBy(target).orderBy("stage", "item")))
 

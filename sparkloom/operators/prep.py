@@ -83,7 +83,7 @@ def unescaped(text: Column) -> Column:
 
 
 def html_to_rows(df: DataFrame, key: str, html: str, decode: bool = False) -> DataFrame:
-    """key, title, heading, text, links, n_links of each page; scripts, styles and tags are no text. Links may be in double, single or no quotes. decode: character references too."""
+    """key, title, heading, text, links, n_links of each page; scripts, styles and tags are no text. Links may be in double, single or no quotes. decode: character references too. A null page counts as an empty one."""
     plain = unescaped if decode else lambda c: c
     page = F.coalesce(F.col(html), F.lit(""))
     bare = F.regexp_replace(page, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")

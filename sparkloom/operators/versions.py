@@ -26,7 +26,8 @@ def latest_version(snapshots: DataFrame, key: str = "agent_key", order: tuple[st
 
 
 def catalog_diff(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
-    """key, change {added, removed, changed}; rows without change don't appear."""
-    a, b = old.select(key, F.col(content).alias("a"), F.lit(1).alias("x")), new.select(key, F.col(content).alias("b"), F.lit(1).alias("y"))
+    """key, change {added, removed, changed}; rows without change don't appear. Nulls equal each other, as keys and as content."""
+    a, b = old.select(F.col(key).alias("old_key"), F.col(content).alias("a"), F.lit(1).alias("x")), new.select(F.col(key).alias("new_key"), F.col(content).alias("b"), F.lit(1).alias("y"))
     change = F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
-    return a.join(b, key, "full_outer").select(key, change.alias("change")).filter("change is not null")
+    met = a.join(b, F.col("old_key").eqNullSafe(F.col("new_key")), "full_outer")
+    return met.select(F.coalesce("old_key", "new_key").alias(key), change.alias("change")).filter("change is not null")

@@ -34,14 +34,15 @@ def _query(sql: str):
 
 
 def _hub(spark: SparkSession, documents: DataFrame) -> str:
-    """A hub whose agents are languages; the texts are the files of a skill. Languages are a few."""
+    """A hub whose agents are languages (without one: none); the texts are the files of a skill, a null one an empty line. Languages are a few."""
     hub = f"{shared_folder(spark)}/hub"
-    for lang in sorted(r[0] for r in documents.select("lang").distinct().collect()):
-        documents.filter(F.col("lang") == lang).select("text").write.text(f"{hub}/generic/texts/{lang}/skills")
+    named = documents.select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    for lang in sorted(r[0] for r in named.select("lang").distinct().collect()):
+        named.filter(F.col("lang") == lang).select("text").write.text(f"{hub}/generic/texts/{lang}/skills")
     return hub
 
 
-@_query("SELECT 'generic' AS root, 'texts' AS category, lang AS agent, 'skill' AS kind, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY ALL")
+@_query("SELECT 'generic' AS root, 'texts' AS category, coalesce(lang, 'none') AS agent, 'skill' AS kind, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY ALL")
 def scan_packages(spark, table):
     files = packages.scan_packages(spark, _hub(spark, table("documents")))
     return files.groupBy("root", "category", "agent", "kind").agg(F.sum("size").alias("n_bytes"))
@@ -138,15 +139,15 @@ def flatten_kb_refs(spark, table):
     return manifest.flatten_kb_refs(table("documents").groupBy(F.col("lang").alias("agent_key")).agg(F.collect_set("source").alias("kb_refs")))
 
 
-@_query("SELECT p_partkey, p_name FROM part WHERE p_brand IN (SELECT DISTINCT p_brand FROM part ORDER BY p_brand LIMIT 3) AND p_size BETWEEN 5 AND 30")
+@_query("SELECT p_partkey, p_name FROM part WHERE p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL ORDER BY p_brand LIMIT 3) AND p_size BETWEEN 5 AND 30")
 def facet_filter(spark, table):
-    brands = [r[0] for r in table("part").select("p_brand").distinct().orderBy("p_brand").limit(3).collect()]
+    brands = [r[0] for r in table("part").select("p_brand").dropna().distinct().orderBy("p_brand").limit(3).collect()]
     return manifest.facet_filter(table("part"), p_brand=brands, p_size=(5, 30)).select("p_partkey", "p_name")
 
 
-@_query("SELECT event_id, user_id FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY event_type LIMIT 2) AND TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 10 AND 60")
+@_query("SELECT event_id, user_id FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL ORDER BY event_type LIMIT 2) AND TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 10 AND 60")
 def facet_params(spark, table):
-    kinds = [r[0] for r in table("events").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
+    kinds = [r[0] for r in table("events").select("event_type").dropna().distinct().orderBy("event_type").limit(2).collect()]
     agents = table("events").withColumn("params", F.from_json("props", "map<string,string>"))
     return manifest.facet_filter(agents, {"k": (10, 60)}, event_type=kinds).select("event_id", "user_id")
 
@@ -165,7 +166,7 @@ def parse_pr_title(spark, table):
 
 @_query(
     "SELECT c_custkey, n_nationkey IS NOT NULL AS known, CASE WHEN n_nationkey IS NULL AND c_mktsegment = 'BUILDING' THEN 'warn' WHEN n_nationkey IS NULL THEN 'fail' END AS severity,"
-    " CASE WHEN n_nationkey IS NULL AND c_mktsegment = 'BUILDING' THEN '其他' END AS suggestion FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON c_nationkey = n_nationkey"
+    " CASE WHEN n_nationkey IS NULL AND c_mktsegment = 'BUILDING' THEN '其他' END AS suggestion FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON c_nationkey = n_nationkey AND c_mktsegment IS NOT NULL"
 )
 def assign_taxonomy(spark, table):
     segments = [r[0] for r in table("customer").select("c_mktsegment").distinct().collect()]  # a few
@@ -174,15 +175,15 @@ def assign_taxonomy(spark, table):
     return deps.assign_taxonomy(placed, known, ["root", "category"], generic="BUILDING").select("c_custkey", "known", "severity", "suggestion")
 
 
-@_query("SELECT l_orderkey AS agent_key, l_partkey AS name FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+@_query("SELECT l_orderkey AS agent_key, l_partkey AS name FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_size > 10 AND p_partkey = l_partkey)")
 def missing_platform_deps(spark, table):
     bindings = table("lineitem").select(F.col("l_orderkey").alias("agent_key"), F.col("l_partkey").alias("name"))
     return deps.missing_platform_deps(bindings, table("part").filter("p_size > 10").select(F.col("p_partkey").alias("name")), ["name"])
 
 
 @_query(
-    "WITH b AS (SELECT DISTINCT l_partkey AS name, l_suppkey % 10 AS agent FROM lineitem), p AS (SELECT p_partkey AS name, unnest(range(0, 10)) AS agent FROM part)"
-    " SELECT coalesce(b.name, p.name) AS name, coalesce(b.agent, p.agent) AS agent, CASE WHEN b.name IS NULL THEN 'unused' WHEN p.name IS NULL THEN 'not_bundled' ELSE 'ok' END AS status FROM b FULL JOIN p ON b.name = p.name AND b.agent = p.agent"
+    "WITH b AS (SELECT DISTINCT l_partkey AS name, l_suppkey % 10 AS agent, true AS bound FROM lineitem), p AS (SELECT DISTINCT *, true AS present FROM (SELECT p_partkey AS name, unnest(range(0, 10)) AS agent FROM part))"
+    " SELECT coalesce(b.name, p.name) AS name, coalesce(b.agent, p.agent) AS agent, CASE WHEN b.bound IS NULL THEN 'unused' WHEN p.present IS NULL THEN 'not_bundled' ELSE 'ok' END AS status FROM b FULL JOIN p ON b.name IS NOT DISTINCT FROM p.name AND b.agent IS NOT DISTINCT FROM p.agent"
 )
 def reconcile_bundles(spark, table):
     bound = table("lineitem").select(F.col("l_partkey").alias("name"), (F.col("l_suppkey") % 10).alias("agent"))
@@ -254,14 +255,14 @@ def profile_columns(spark, table):
 
 
 @_query(
-    "SELECT 'o_custkey' AS \"column\", count(*) AS n_rows, CAST(0 AS BIGINT) AS n_nulls, true AS distinct_within, true AS median_within FROM orders"
-    " UNION ALL SELECT 'o_totalprice', count(*), CAST(0 AS BIGINT), true, true FROM orders UNION ALL SELECT 'o_orderstatus', count(*), CAST(0 AS BIGINT), true, NULL FROM orders"
+    "SELECT 'o_custkey' AS \"column\", count(*) AS n_rows, count(*) - count(o_custkey) AS n_nulls, true AS distinct_within, true AS median_within FROM orders"
+    " UNION ALL SELECT 'o_totalprice', count(*), count(*) - count(o_totalprice), true, true FROM orders UNION ALL SELECT 'o_orderstatus', count(*), count(*) - count(o_orderstatus), true, NULL FROM orders"
 )
 def sketch_profile(spark, table):
     """Batches by year as sketches, united; distinct counts and medians against the exact ones: within four standard errors."""
     orders, path = table("orders").select("o_custkey", "o_totalprice", "o_orderstatus", F.year("o_orderdate").alias("year")), f"{shared_folder(spark)}/sketches"
     for year in [r[0] for r in orders.select("year").distinct().collect()]:
-        sketches.store([sketches.sketch_columns(orders.filter(F.col("year") == year).drop("year"), F.lit(year))], path)
+        sketches.store([sketches.sketch_columns(orders.filter(F.col("year").eqNullSafe(F.lit(year))).drop("year"), F.lit(year).cast("int"))], path)
     found = sketches.profile_sketches(spark.read.parquet(path), (0.5,))
     count = lambda c: F.count_distinct(c).alias("exact")
     middle = {r["column"]: r["q1"] for r in found.select("column", "q1").collect()}  # one row a column
@@ -277,7 +278,7 @@ def sketch_reuse(spark, table):
     """Reuse counts from one theta sketch a name and ship mode's batch; a name's agents are fewer than a sketch is exact for."""
     items, path = table("lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("name"), "l_linestatus"), f"{shared_folder(spark)}/reuse"
     for batch in [r[0] for r in items.select("l_linestatus").distinct().collect()]:
-        sketches.store([sketches.sketch_reuse(items.filter(F.col("l_linestatus") == batch), F.lit(batch), "l_orderkey", "name")], path)
+        sketches.store([sketches.sketch_reuse(items.filter(F.col("l_linestatus").eqNullSafe(F.lit(batch))), F.lit(batch).cast("string"), "l_orderkey", "name")], path)
     return sketches.reuse(spark.read.parquet(path), 20)
 
 
@@ -285,8 +286,8 @@ def sketch_reuse(spark, table):
 
 
 @_query(
-    "WITH e AS (SELECT *, lag(event_type) OVER w AS before, lag(event_id % 7) OVER w AS v FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
-    " SELECT user_id, event_id, CASE WHEN event_id % 7 > v THEN 'ok' ELSE 'fail' END AS status FROM e WHERE before IS NOT NULL AND before <> event_type"
+    "WITH e AS (SELECT *, lag(event_type) OVER w AS before, lag(event_id % 7) OVER w AS v, row_number() OVER w AS place FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST))"
+    " SELECT user_id, event_id, CASE WHEN event_id % 7 > v THEN 'ok' WHEN event_id % 7 <= v THEN 'fail' ELSE 'unknown' END AS status FROM e WHERE place > 1 AND before IS DISTINCT FROM event_type"
 )
 def version_audit(spark, table):
     events = table("events").select("user_id", "event_id", "ts", "event_type", F.concat(F.lit("1."), F.col("event_id") % 7, F.lit(".0")).alias("version"))
@@ -299,7 +300,7 @@ def latest_version(spark, table):
 
 
 @_query(
-    "WITH d AS (SELECT DISTINCT l_orderkey AS agent_key, 1 AS stage, CAST(l_partkey AS VARCHAR) AS item FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 2, CAST(l_orderkey AS VARCHAR) FROM lineitem)"
+    "WITH d AS (SELECT DISTINCT l_orderkey AS agent_key, 1 AS stage, CAST(l_partkey AS VARCHAR) AS item FROM lineitem WHERE l_partkey IS NOT NULL UNION ALL SELECT DISTINCT l_orderkey, 2, CAST(l_orderkey AS VARCHAR) FROM lineitem)"
     " SELECT *, CAST(row_number() OVER (PARTITION BY agent_key ORDER BY stage, item) AS INTEGER) AS position FROM d"
 )
 def import_plan(spark, table):
@@ -331,7 +332,7 @@ def import_order(spark, table):
 
 
 @_query(
-    f"WITH RECURSIVE {_REQUIRES}, d AS (SELECT DISTINCT l_orderkey AS t, l_partkey AS i FROM lineitem), w AS (SELECT t, i FROM d UNION SELECT t, b FROM d JOIN r ON i = a)"
+    f"WITH RECURSIVE {_REQUIRES}, d AS (SELECT DISTINCT l_orderkey AS t, l_partkey AS i FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL), w AS (SELECT t, i FROM d UNION SELECT t, b FROM d JOIN r ON i = a)"
     " SELECT t AS agent_key, i AS item, CASE WHEN status IS NULL THEN 1 ELSE stage END AS stage, coalesce(status, 'ok') AS status,"
     " CAST(row_number() OVER (PARTITION BY t ORDER BY CASE WHEN status IS NULL THEN 1 ELSE stage END NULLS LAST, i) AS INTEGER) AS position FROM w LEFT JOIN o ON i = item"
 )
@@ -341,7 +342,7 @@ def transitive_plan(spark, table):
 
 @_query(
     "WITH s AS (SELECT event_type AS t, min(value) AS lo, max(value) AS hi, avg(value) AS mu, stddev_pop(value) AS sd FROM events GROUP BY 1)"
-    " SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS 4 PRECEDING), 4) AS moving_average, round((value - lo) / (hi - lo), 4) AS min_max, round((value - mu) / sd, 4) AS z_score FROM events JOIN s ON event_type = t"
+    " SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts NULLS FIRST, event_id NULLS FIRST ROWS 4 PRECEDING), 4) AS moving_average, round((value - lo) / (hi - lo), 4) AS min_max, round((value - mu) / sd, 4) AS z_score FROM events JOIN s ON event_type IS NOT DISTINCT FROM t"
 )
 def smooth_and_scale(spark, table):
     out = aggregates.smooth_and_scale(table("events").select("event_id", "event_type", "ts", "value"), "event_type", ["ts", "event_id"], "value", 5)
@@ -394,8 +395,8 @@ def related_items(spark, table):
 
 
 @_query(
-    "WITH s AS (SELECT p_brand, sum(p_retailprice) AS total FROM part GROUP BY 1), t AS (SELECT p_brand FROM s ORDER BY total DESC, p_brand LIMIT 5)"
-    " SELECT CASE WHEN p_brand IN (SELECT p_brand FROM t) THEN p_brand ELSE 'other' END AS p_brand, p_brand NOT IN (SELECT p_brand FROM t) AS is_other, round(sum(total), 2) AS total FROM s GROUP BY 1, 2"
+    "WITH s AS (SELECT p_brand, sum(p_retailprice) AS total FROM part GROUP BY 1), t AS (SELECT *, row_number() OVER (ORDER BY total DESC, p_brand NULLS FIRST) > 5 AS is_other FROM s)"
+    " SELECT CASE WHEN is_other THEN 'other' ELSE p_brand END AS p_brand, is_other, round(sum(total), 2) AS total FROM t GROUP BY 1, 2"
 )
 def top_n_with_other(spark, table):
     return aggregates.top_n_with_other(table("part"), "p_brand", "p_retailprice", 5).withColumn("total", F.round("total", 2))
@@ -406,7 +407,7 @@ def top_n_with_other(spark, table):
 
 @_query(
     "WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 10 < 8), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 5 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 10 > 2)"
-    " SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.s <> b.s"
+    " SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.s IS DISTINCT FROM b.s"
 )
 def catalog_diff(spark, table):
     orders = table("orders").select("o_orderkey", "o_orderstatus")
@@ -416,7 +417,7 @@ def catalog_diff(spark, table):
 
 @_query(
     "WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p FROM orders WHERE o_orderkey % 997 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 991 = 5 THEN 'X' ELSE o_orderstatus END AS s, o_totalprice AS p FROM orders WHERE o_orderkey % 1009 <> 7)"
-    " SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.s <> b.s"
+    " SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.s IS DISTINCT FROM b.s OR a.p IS DISTINCT FROM b.p"
 )
 def hash_tree_diff(spark, table):
     """Two releases of orders, alike in all but a few rows; only buckets that differ are read."""
@@ -432,7 +433,7 @@ def hash_tree_diff(spark, table):
 
 @_query(
     "WITH h AS (SELECT l_orderkey AS agent_key, max(l_linenumber = 1) AS m, max(l_linenumber = 2) AS r FROM lineitem GROUP BY 1)"
-    " SELECT agent_key, 'manifest_missing' AS rule, 'fail' AS severity, 'agent.json' AS evidence FROM h WHERE NOT m UNION ALL SELECT agent_key, 'readme_missing', 'warn', 'README.md' FROM h WHERE NOT r"
+    " SELECT agent_key, 'manifest_missing' AS rule, 'fail' AS severity, 'agent.json' AS evidence FROM h WHERE m IS NOT TRUE UNION ALL SELECT agent_key, 'readme_missing', 'warn', 'README.md' FROM h WHERE r IS NOT TRUE"
 )
 def check_structure(spark, table):
     kinds = F.when(F.col("l_linenumber") == 1, "manifest").when(F.col("l_linenumber") == 2, "readme").otherwise("other")
@@ -462,7 +463,7 @@ def check_completeness(spark, table):
     return review.check_completeness(agents, ["system_prompt", "answer"])
 
 
-@_query(" UNION ALL ".join(f"SELECT doc_id AS agent_key, 'prompt_{r}' AS rule, 'warn' AS severity, '{r}' AS evidence FROM documents WHERE NOT regexp_matches(text, '{p}')" for r, p in PROMPT_RULES))
+@_query(" UNION ALL ".join(f"SELECT doc_id AS agent_key, 'prompt_{r}' AS rule, 'warn' AS severity, '{r}' AS evidence FROM documents WHERE regexp_matches(text, '{p}') IS NOT TRUE" for r, p in PROMPT_RULES))
 def lint_prompts(spark, table):
     return review.lint_prompts(table("documents").select(F.col("doc_id").alias("agent_key"), "text"), PROMPT_RULES, text="text")
 
@@ -506,7 +507,7 @@ def review_verdict(spark, table):
         + [f"SELECT lang, 'code_{r}', 'unknown', count(*) FROM l WHERE regexp_matches(line, '{p}') GROUP BY 1" for r, p in CODE_RULES]
         + [f"SELECT lang, 'licence_{r}', '{'warn' if ok else 'unknown'}', 1 FROM documents WHERE regexp_matches(text, '{p}') GROUP BY 1" for r, p, ok in LICENCE_RULES]
     )
-    + ") SELECT 'generic/texts/' || lang AS agent_key, rule, severity, CAST(n AS BIGINT) AS n FROM f"
+    + ") SELECT 'generic/texts/' || coalesce(lang, 'none') AS agent_key, rule, severity, CAST(n AS BIGINT) AS n FROM f"
 )
 def stream_review(spark, table):
     landing = _hub(spark, table("documents"))
@@ -533,7 +534,7 @@ def blocked_phrases(spark, table):
 
 @_query(
     "WITH v AS (SELECT conv_id, string_split(text, ' ')[1] AS v FROM conversations WHERE turn = 0), w AS (SELECT conv_id, unnest(regexp_split_to_array(text, '\\s+')) AS t FROM conversations WHERE turn > 0)"
-    " SELECT conv_id AS agent_key, coalesce(v IN (SELECT t FROM w WHERE w.conv_id = v.conv_id), false) AS covered FROM v"
+    " SELECT conv_id AS agent_key, CASE WHEN v IS NOT NULL THEN EXISTS (SELECT 1 FROM w WHERE w.conv_id = v.conv_id AND t = v) END AS covered FROM v"
 )
 def changelog_coverage(spark, table):
     turns = table("conversations").withColumnRenamed("conv_id", "agent_key")
@@ -628,7 +629,7 @@ def impute(spark, table):
     return prep.impute(holes, ["o_totalprice"], "median").withColumn("o_totalprice", F.round("o_totalprice", 4))
 
 
-@_query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS heading, CAST(len(regexp_extract_all(html, '(?i)<a [^>]*href=\"([^\"]*)\"', 1)) AS INTEGER) AS n_links FROM pages")
+@_query("SELECT page_id, regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(coalesce(html, ''), '(?is)<h1[^>]*>(.*?)</h1>', 1) AS heading, CAST(len(regexp_extract_all(coalesce(html, ''), '(?i)<a [^>]*href=\"([^\"]*)\"', 1)) AS INTEGER) AS n_links FROM pages")
 def html_to_rows(spark, table):
     return prep.html_to_rows(table("pages"), "page_id", "html").select("page_id", "title", "heading", "n_links")
 
@@ -652,7 +653,7 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 @_query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, " + ", ".join(f"count(CASE WHEN o_orderpriority = '{p}' THEN 1 END) AS \"{p}\"" for p in PRIORITIES) + " FROM orders GROUP BY 1")
 def pivot_table(spark, table):
     out = aggregates.pivot_table(table("orders"), [F.year("o_orderdate").alias("year")], "o_orderpriority", PRIORITIES, F.count(F.lit(1)))
-    return out.na.fill(0)
+    return out.na.fill(0, PRIORITIES)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
