@@ -303,8 +303,12 @@ def _rooted(own: DataFrame, surveyed: DataFrame, n: int, percent: int) -> DataFr
     heavy = _heavy(surveyed, size["rows"])
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["entries"] // RANGE))
     classes = checkpointed(described.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
-    texts = own.join(_few(classes.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
-    dealt = texts.mapInArrow(_dealt(n, heavy, ranges), PACKED).repartitionById(ranges, F.col("target"))
+    firsts = classes.select("doc_id").distinct()
+    near = firsts.count() <= MAX_BROADCAST
+    texts = own.join(F.broadcast(firsts) if near else firsts, "doc_id", "left_semi")
+    if not near:  # rows of a shuffle may come in another order when a lost task is run again; its chunks must be the same ones
+        texts = texts.sortWithinPartitions("doc_id", F.xxhash64("text"))
+    dealt = texts.select("text").mapInArrow(_dealt(n, heavy, ranges), PACKED).repartitionById(ranges, F.col("target"))
     told = dealt.mapInArrow(_shared, PACKED).repartition(ranges, "chunk").sortWithinPartitions("chunk")
     alive = checkpointed(told.mapInArrow(_alive(percent, heavy), "class long, n long, left long, columns binary, head binary"))
     if not alive.groupBy("class").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():  # of repeated rows
