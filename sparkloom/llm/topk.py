@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.llm.common import checkpointed
+
 DIMENSIONS = 16
 #: Rows of a block: candidates are dealt to about TASKS blocks within these limits.
 TASKS, FEWEST, MOST_CANDIDATES, MOST_QUERIES = 24, 2_000, 100_000, 20_000
@@ -80,7 +82,7 @@ def search(vectors: DataFrame, queries: str, k: int = 5, scale: int = 256, vec_i
     """query_id, rank, vec_id, score of the k best candidates for each row that the condition `queries` on vec_id picks."""
     placed = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"), F.monotonically_increasing_id().alias("row"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = placed.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).filter(finite)
+    good = checkpointed(placed.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).filter(finite))  # so that row has one meaning on both sides
     asked = good.filter(F.expr(queries.replace(vec_id, "id")))
     n, m = good.count(), asked.count()
     blocks = max(1, -(-n // min(MOST_CANDIDATES, max(FEWEST, n // TASKS))))
