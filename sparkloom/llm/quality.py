@@ -8,7 +8,9 @@ exact (Clopper-Pearson) binomial test of "the false rejection rate exceeds alpha
 / strata. Cutoffs are tried from the loosest to the tightest, and k only grows that way, so fixed-sequence testing needs no
 correction within a stratum; across strata delta is divided (Bonferroni). So with probability 1 - delta, in all strata
 at once, the cutoff rejects at most alpha of the good documents that pass the base rules; what base rules reject is
-no part of this promise. Holdouts must be a random sample of the stratum's good documents.
+no part of this promise. Holdouts must be a random sample of the stratum's good documents. Tails are counted over all
+documents, holdouts included, so rarity isn't quite fixed before they are drawn: the bound holds but for what the holdouts
+themselves move the tails by, each by one in the stratum's size.
 
 Defined results: a null text has no words and fails the base rules; a null stratum is a stratum of its own; a
 stratum with too few good holdouts gets no cutoff (at alpha 0.01 and four strata that is below 436), so only the base rules

@@ -379,7 +379,9 @@ def _sorted_out(width: int):
 
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc, place of all repeated runs of windows; docs: doc_id, text."""
+    """doc, place of all repeated runs of windows; docs: doc_id, text. width: up to 270 bytes, as a place holds 255 windows of an anchor."""
+    if width > 255 + GRAM - 1:
+        raise ValueError(f"width {width} is above {255 + GRAM - 1}")
     bounded_batches(docs.sparkSession, 1024, "2m")
     listed = docs.select(document_key().alias("k"), "text").select("k.*", "text").mapInArrow(_listed(width), ROW)
     dealt = listed.repartition("anchor").sortWithinPartitions("anchor", "body", "doc", "place")

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from test_llm import VOCABULARY, brute_components, docs_of, prose
 
-from sparkloom.llm import jaccard, queries
+from sparkloom.llm import jaccard, queries, suffixes
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -46,3 +46,9 @@ def test_quality_equals_sql_where_cutoffs_act(spark):
     assert rows == set(sql.select(*own.columns).fetchall())
     failed, kept = own.columns.index("base_failed"), own.columns.index("kept")
     assert sum(not r[failed] and not r[kept] for r in rows) > 20
+
+
+def test_suffix_width_is_checked(spark):
+    with pytest.raises(ValueError, match="271"):
+        suffixes.repeats(docs_of(spark, ["a"]), width=271)
+    assert suffixes.repeats(docs_of(spark, ["ab" * 400]), width=270).count()
