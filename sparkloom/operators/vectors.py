@@ -32,8 +32,8 @@ QUERIES = 4_096
 SAMPLE, CENTROIDS = 20_000, 1_024
 #: Rings a unit of distance; distances of unit vectors are at most 2.
 RINGS = 32
-#: Vectors scored at once.
-ROWS = 2_048
+#: Vectors scored at once, and the most scores at once.
+ROWS, SCORES = 2_048, 1 << 21
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -56,17 +56,31 @@ class _Best:
         self.rows = pd.DataFrame({"query": np.zeros(0, np.int64), "key": pd.Series([], dtype=object), "score": np.zeros(0)})
 
     def add(self, queries: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> None:
-        """scores: a row a vector, a column a query."""
-        row, column = np.nonzero(scores >= self.bars[queries] - 1e-6)
+        """scores: a row a vector, a column a query. Only the k + 1 best of each query, one of which may be its own, are looked at further."""
+        row, column = self._front(queries, keys, scores)
         found = pd.DataFrame({"query": queries[column], "key": keys[row], "score": np.round(scores[row, column], 6)})
         found = found[self.own.iloc[found["query"]].to_numpy() != found["key"].to_numpy()]
         if len(found):
             every = pd.concat([self.rows, found]) if len(self.rows) else found
-            self.rows = every.sort_values(["query", "score", "key"], ascending=[True, False, True]).groupby("query").head(self.k)
+            self.rows = every.sort_values(["query", "score", "key"], ascending=[True, False, True], na_position="first").groupby("query").head(self.k)
             full = self.rows.groupby("query")["score"].agg(["size", "min"])
             full = full[full["size"] == self.k]
             self.bars[full.index] = np.maximum(self.bars[full.index], full["min"])
 
+    def _front(self, queries: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of the k + 1 best scores of each column (six decimals, ties by key) that reach its bar."""
+        if len(keys) > self.k + 1:
+            place = np.empty(len(keys), np.int64)
+            place[pd.Series(keys, dtype=object).sort_values(kind="stable", na_position="first").index] = np.arange(len(keys))
+            by = np.rint(scores * 1e6).astype(np.int64)
+            by *= -len(keys)
+            by += place[:, None]
+            row = np.argpartition(by, self.k, axis=0)[: self.k + 1]
+        else:
+            row = np.repeat(np.arange(len(keys))[:, None], len(queries), 1)
+        at, column = np.nonzero(np.take_along_axis(scores, row, 0) >= self.bars[queries] - 1e-6)
+        return row[at, column], column
+
     def batch(self, kind: pa.DataType) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(self.rows["query"], pa.int64()), pa.array(self.rows["key"].tolist(), kind), pa.array(self.rows["score"], pa.float64())], ["number", "key", "score"])
 
@@ -79,8 +93,9 @@ def _scanned(shared, k: int, kind: pa.DataType):
         best, every = _Best(k, own, bars), np.arange(len(own))
         for batch in batches:
             keys, rows = np.array(batch.column("key").to_pylist(), object), _matrix(batch.column("unit"), units.shape[1])
-            for a in range(0, len(keys), ROWS):
-                best.add(every, keys[a : a + ROWS], rows[a : a + ROWS] @ units.T)
+            step = max(1, min(ROWS, SCORES // max(1, len(own))))
+            for a in range(0, len(keys), step):
+                best.add(every, keys[a : a + step], rows[a : a + step] @ units.T)
         yield best.batch(kind)
 
     return scan
@@ -195,8 +210,9 @@ def _met(shared, k: int, kind: pa.DataType, first: bool):
                 bar = np.sqrt(np.maximum(2 - 2 * (best.bars - 1e-6), 0))
                 asked = _ruled_in(near[:, c], distance[a:b].min(), distance[a:b].max(), bar)
                 asked = asked[(home[asked] == c) == first]
-                if len(asked):
-                    best.add(asked, keys[a:b], rows[a:b] @ units[asked].T)
+                step = max(1, min(ROWS, SCORES // max(1, len(asked))))
+                for i in range(a, b if len(asked) else a, step):
+                    best.add(asked, keys[i : min(i + step, b)], rows[i : min(i + step, b)] @ units[asked].T)
         yield best.batch(kind)
 
     return meet
