@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.functions.storage import checkpointed
+from sparkloom.functions.storage import bounded_batches, checkpointed
 from sparkloom.functions.text import let, tokens
 from sparkloom.operators.deps import small
 
+#: N-grams that a task tests at once.
+TESTED = 1 << 18
 #: Bits of the filter for each different n-gram of the corpus, and the most bits (16 MB); beyond it more n-grams pass that don't match.
 BITS, MOST_BITS = 16, 1 << 27
 
@@ -44,15 +46,16 @@ def _sieved(shared, kind: pa.DataType):
         words, bits = shared.value
         for batch in batches:
             lists = batch.column("g")
-            h = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes = np.diff(lists.offsets.to_numpy())
-            slots = h.view(np.uint64) & np.uint64(bits - 1), (h.view(np.uint64) >> np.uint64(32)) & np.uint64(bits - 1)
-            keep = np.ones(len(h), bool)
-            for s in slots:
-                keep &= (words[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) == 1
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row[keep])).cast(kind), pa.array(place[keep]), pa.array(h[keep])], ["key", "place", "h"])
+            hashes, ends = lists.flatten(), np.cumsum(np.diff(lists.offsets.to_numpy()))
+            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            for a in range(0, len(hashes), TESTED):
+                h = hashes.slice(a, TESTED).to_numpy(zero_copy_only=False).view(np.uint64)
+                left = np.arange(len(h))
+                for shift in (0, 32):
+                    s = (h[left] >> np.uint64(shift)) & np.uint64(bits - 1)
+                    left = left[(words[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) == 1]
+                row = np.searchsorted(ends, a + left, side="right")
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)).cast(kind), pa.array(a + left - starts[row]), pa.array(h[left].view(np.int64))], ["key", "place", "h"])
 
     return sieve
 
@@ -67,6 +70,7 @@ def shared_passages(df: DataFrame, key: str, text: str, corpus: DataFrame, corpu
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark, kind = df.sparkSession, df.schema[key].dataType
+    bounded_batches(spark, 1024, "2m")  # a row holds all hashes of a text
     theirs = checkpointed(corpus.select(F.col(corpus_key).alias("item"), F.posexplode(placed_ngrams(F.col(corpus_text), n, mode)).alias("item_place", "h")))
     shared = spark.sparkContext.broadcast(bloom_words(theirs.select("h").distinct()))
     own = df.select(F.col(key).alias("key"), placed_ngrams(F.col(text), n, mode).alias("g"))
