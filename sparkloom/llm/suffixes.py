@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.storage import written
 from sparkloom.llm.common import bounded_batches, checkpointed
 
 WIDTH, GRAM = 100, 16
@@ -391,10 +392,13 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     any_crowded = crowded.count()
     if 0 < any_crowded <= MAX_BROADCAST:
         crowded = F.broadcast(crowded)
-    calm = _fetched(docs, several.join(crowded, "anchor", "left_anti") if any_crowded else several, width).repartition("anchor").sortWithinPartitions("anchor", "doc", "place")
+    fetched = _fetched(docs, several, width)  # shuffles all texts, so once
+    if any_crowded:
+        fetched = written(fetched)
+    calm = (fetched.join(crowded, "anchor", "left_anti") if any_crowded else fetched).repartition("anchor").sortWithinPartitions("anchor", "doc", "place")
     found = [settled.filter("kind = 0").select("doc", "place"), checkpointed(calm.mapInArrow(_sorted_out(width), "doc long, place long"))]
     if any_crowded:
-        pieces = _fetched(docs, several.join(crowded, "anchor", "left_semi"), width)
+        pieces = fetched.join(crowded, "anchor", "left_semi")
         windows = pieces.select("doc", "place", "bytes", F.explode(F.sequence(F.lit(0), F.length("bytes") - width)).alias("w"))
         window = F.substring("bytes", F.col("w") + 1, F.lit(width))
         windows = checkpointed(windows.select("doc", (F.shiftleft(F.shiftright("place", 8) + F.col("w"), 8) + 1).alias("place"), F.xxhash64(F.lit(1), window).alias("h1"), F.xxhash64(F.lit(2), window).alias("h2")))

@@ -101,3 +101,25 @@ def test_reconciling_combines_few_rows_a_task(spark, monkeypatch):
         sizes = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
         distinct = df.select("name", "agent").distinct().count()
         assert len(sizes) > 1 and max(r["count"] for r in sizes) < distinct
+
+
+def test_texts_are_fetched_once(spark, monkeypatch):
+    """op8: with anchors of many segments, all texts were shuffled once more, to fetch theirs."""
+    from sparkloom.llm import suffixes
+
+    calls, fetch = [], suffixes._fetched
+    monkeypatch.setattr(suffixes, "MOST_SEGMENTS", 2)
+    monkeypatch.setattr(suffixes, "_fetched", lambda *a: calls.append(a) or fetch(*a))
+    line = "the line that every document holds, " * 4
+    texts = {i: f"{i * 7919} begins {line}{i * 104729} ends" for i in range(12)} | {20: "x" * 150, 21: "y" + "x" * 150, 22: None}
+    found = {r["doc_id"]: r for r in suffixes.repeat_report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert len(calls) == 1
+    seen = set()
+    for i, text in texts.items():
+        data = (text or "").encode()
+        gone = [False] * len(data)
+        for a in range(len(data) - 99):
+            if data[a : a + 100] in seen:
+                gone[a : a + 100] = [True] * 100
+            seen.add(data[a : a + 100])
+        assert found[i]["n_removed"] == sum(gone)
