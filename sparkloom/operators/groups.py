@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.storage import checkpointed, written
-from sparkloom.operators.search import ngram_sets, prefixes
+from sparkloom.operators.search import fits, ngram_sets, prefixes
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -44,9 +44,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
 
 def _star_links(head: DataFrame, sets: DataFrame, t: float, turn: int) -> DataFrame:
     """Links between each set and one pivot of each n-gram by which it can meet others."""
-    chosen = head.groupBy("h").agg(F.min_by(F.struct("id", "n"), F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("p"), F.count("*").alias("rows")).filter("rows > 1")
-    fits = F.least("n", "p.n") >= t * F.greatest("n", "p.n") - 1e-9
-    met = head.join(chosen, "h").filter((F.col("id") != F.col("p.id")) & fits)
+    chosen = head.groupBy("h").agg(F.min_by(F.struct("id", "n", "rest"), F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("p"), F.count("*").alias("rows")).filter("rows > 1")
+    met = head.join(chosen, "h").filter((F.col("id") != F.col("p.id")) & fits(t, "n", "p.n", "rest", "p.rest"))
     pairs = met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
     return _similar(checkpointed(pairs), sets, t)
 
@@ -58,9 +57,8 @@ def _links_across(head: DataFrame, sets: DataFrame, found: DataFrame, t: float)
     parts = rows.groupBy("h", "component").agg(F.count("*").alias("rows"))
     largest = parts.groupBy("h").agg(F.max_by("component", F.struct("rows", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     mixed = checkpointed(rows.join(largest, "h"))
-    few = mixed.filter("component <> largest").select("h", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    fits = F.least("n", "n_b") >= t * F.greatest("n", "n_b") - 1e-9
-    met = mixed.join(few, "h").filter((F.col("component") != F.col("c_b")) & ((F.col("component") == F.col("largest")) | (F.col("id") < F.col("b"))) & fits)
+    few = mixed.filter("component <> largest").select("h", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("component").alias("c_b"))
+    met = mixed.join(few, "h").filter((F.col("component") != F.col("c_b")) & ((F.col("component") == F.col("largest")) | (F.col("id") < F.col("b"))) & fits(t, "n", "n_b", "rest", "rest_b"))
     return _similar(checkpointed(met.select(F.col("id").alias("a"), "b").distinct()), sets, t)
 
 
@@ -72,7 +70,7 @@ def duplicate_groups(df: DataFrame, key: str, text: str, n: int = 5, t: float =
     link a member; then only sets of different components meet. No link between components is lost, and the pairs inside a group
     are never listed. Texts without an n-gram (null, empty, or fewer than n words) are groups of their own; rows that share a key are one.
     """
-    every = ngram_sets(df, key, text, n, mode)
+    every = ngram_sets(df, key, text, n, mode, t)
     of = every.groupBy("h1", "h2").agg(F.min("id").alias("representative"))
     owned = checkpointed(every.join(of, ["h1", "h2"]).select("id", "representative").distinct())
     sets = checkpointed(every.join(of.select(F.col("representative").alias("id")), "id", "left_semi").dropDuplicates(["id", "h1", "h2"]).select("id", "n", "g"))
