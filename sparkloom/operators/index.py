@@ -122,8 +122,8 @@ class Index:
         self.postings, self.terms = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
 
     def asked(self, queries: DataFrame, query: str, text: str) -> DataFrame:
-        """query, term, idf of the distinct terms of each query that the index has."""
-        each = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(tokens(F.col(text), self.facts["mode"]))).alias("term"))
+        """query, term, idf of the distinct terms of each query that the index has. A query without a name isn't answered."""
+        each = queries.filter(F.col(query).isNotNull()).select(F.col(query).alias("query"), F.explode(F.array_distinct(tokens(F.col(text), self.facts["mode"]))).alias("term"))
         idf = F.log(1 + (F.lit(float(self.facts["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         return checkpointed(each.distinct().join(self.terms, "term").select("query", "term", idf.alias("idf")))
 
